@@ -103,6 +103,17 @@ def count_pairs(p: Prepared, weight) -> DataFrame:
     return pairs.filter(k > 0).select(*keys, weight(k).cast(BIG).alias("_n"))
 
 
+def subsets_of(k: Column) -> Column:
+    """Exact 2^k - 1; beyond 38 digits the sum fails instead of rounding."""
+    one, low = F.lit(1).cast("long"), F.lit(62)
+    small = F.call_function("shiftleft", one, F.least(k, low).cast("int")).cast(BIG)
+    rest = F.greatest(k - low, F.lit(0)).cast("int")
+    big = F.when(rest < 62, F.call_function("shiftleft", one, rest)).otherwise(
+        F.raise_error(F.lit("more than 2^124 subsets for one pair of start and end")).cast("long")
+    )
+    return (small * big.cast(BIG)).cast(BIG) - 1
+
+
 def count_maximal(p: Prepared) -> DataFrame:
     """``A B+ C`` maximal: per end, the starts in the window before its latest b."""
     a, b, c = p.spec.positive
@@ -139,7 +150,7 @@ def count_matches(events: DataFrame, spec: PatternSpec, per_key: bool = False) -
     elif any_policy and spec.shape == ".+." and spec.mode == "maximal":
         found = count_maximal(prepare(events, spec))
     elif any_policy and spec.shape == ".+." and spec.mode == "all":
-        found = count_pairs(prepare(events, spec), lambda k: F.pow(F.lit(2.0), k) - 1)
+        found = count_pairs(prepare(events, spec), subsets_of)
     elif spec.policy == "next" and simple and spec.mode == "maximal" and spec.shape == ".+.":
         found = next_runs(prepare(events, spec)).withColumn("_n", F.lit(1))
     else:
