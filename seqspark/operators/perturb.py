@@ -32,10 +32,9 @@ def uniform(id: Column, seed: int, draw: int = 0) -> Column:
 
 def pick(u: Column, values, weights) -> Column:
     """Map a uniform number to one of ``values`` by weight."""
-    total, seen, out = sum(weights), sum(weights), F.lit(values[-1])
-    for v, w in reversed(list(zip(values, weights))):
-        seen -= w
-        out = F.when(u * total < seen + w, F.lit(v)).otherwise(out) if v != values[-1] else out
+    total, out = sum(weights), F.lit(values[-1])
+    for i in range(len(values) - 2, -1, -1):
+        out = F.when(u * total < sum(weights[: i + 1]), values[i]).otherwise(out)
     return out
 
 
