@@ -80,7 +80,7 @@ c AS (SELECT * FROM events WHERE event_type = 'purchase')"""
 
 # one row per match from (x.user_id, start_ts, end_ts, end_id, event id list l)
 FLAT = """SELECT user_id, start_ts, end_ts, end_id, CAST(len(l) AS BIGINT) AS n_events,
-list_aggregate(list_transform(l, x -> CAST(x AS VARCHAR)), 'string_agg', ',') AS ids FROM m"""
+array_to_string(CAST(l AS VARCHAR[]), ',') AS ids FROM m"""
 
 DELAY = "CASE WHEN event_id % 5 = 0 THEN (event_id * 7919) % 600 ELSE 0 END"
 
