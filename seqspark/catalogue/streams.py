@@ -1,0 +1,113 @@
+"""Streaming jobs over the event table, compared with the batch answer.
+
+Each job reads the events as a file stream, in arrival order, until nothing is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import accuracy_under_disorder, apply_changelog, match
+from ..sources import write_changelog, write_matches
+from ..streaming import current_matches, stream_match, stream_match_batch, stream_sequence_append
+from .matching import COMPACT, MAXIMAL, any_sql, next_sql
+from .registry import A, B, C, arrivals, events, flat, pattern, query, scratch
+
+PORTIONS = 3
+
+
+def event_stream(spark, d, path):
+    """The events in arrival order, written as a few files a stream reads one by one."""
+    rows = arrivals(spark, d).withColumn("ts", F.to_timestamp("ts"))
+    size = rows.agg((F.count(F.lit(1)) / PORTIONS).cast("long") + 1).scalar()
+    rows = rows.withColumn("portion", F.floor((F.col("arrival_seq") - 1) / size) + 1)
+    rows.write.partitionBy("portion").parquet(f"{path}/parts")
+    files = 0
+    for n in range(1, PORTIONS + 1):
+        spark.read.parquet(f"{path}/parts/portion={n}").write.mode("append").parquet(f"{path}/in")
+        files = max(files, len(spark.read.parquet(f"{path}/parts/portion={n}").inputFiles()))
+    schema = rows.drop("portion").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+
+
+def finished(query):
+    query.awaitTermination()
+    return query
+
+
+def batch_store(spark, d, spec):
+    path = scratch(spark)
+    job = stream_match_batch(event_stream(spark, d, path), spec, f"{path}/store", f"{path}/checkpoint")
+    finished(job)
+    m = current_matches(spark, f"{path}/store", spec)
+    return flat(m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}))
+
+
+@query("stream_match_batch_any", any_sql(3))
+def q_store_any(spark, d):
+    return batch_store(spark, d, pattern(A(), B(), C()))
+
+
+@query("stream_match_batch_next", next_sql(3))
+def q_store_next(spark, d):
+    return batch_store(spark, d, pattern(A(), B(), C(), policy="next"))
+
+
+@query("stream_match_batch_maximal", MAXIMAL)
+def q_store_maximal(spark, d):
+    return batch_store(spark, d, pattern(A(), B(kleene=True), C(), mode="maximal"))
+
+
+@query("stream_match_batch_compact", COMPACT)
+def q_store_compact(spark, d):
+    return batch_store(spark, d, pattern(A(), B(kleene=True), C(), mode="maximal_compact"))
+
+
+def keyed(spark, d, spec):
+    path = scratch(spark)
+    log = stream_match(event_stream(spark, d, path), spec, delay="1 day")
+
+    def keep(batch, number):
+        write_changelog(batch, f"{path}/log", number)
+
+    job = log.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
+    finished(job.trigger(availableNow=True).start())
+    m = apply_changelog(None, spark.read.parquet(f"{path}/log"), spec.keys)
+    return flat(m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}))
+
+
+@query("stream_match_maximal", MAXIMAL)
+def q_keyed_maximal(spark, d):
+    return keyed(spark, d, pattern(A(), B(kleene=True), C(), mode="maximal"))
+
+
+@query("stream_match_next", next_sql(3))
+def q_keyed_next(spark, d):
+    return keyed(spark, d, pattern(A(), B(), C(), policy="next"))
+
+
+@query("stream_sequence_append", any_sql(3))
+def q_append(spark, d):
+    path = scratch(spark)
+    found = stream_sequence_append(event_stream(spark, d, path), pattern(A(), B(), C()), delay="1 day")
+    finished(write_matches(found, f"{path}/matches", f"{path}/checkpoint"))
+    m = spark.read.parquet(f"{path}/matches")
+    return flat(m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}))
+
+
+@query("write_matches", any_sql(3))
+def q_write(spark, d):
+    path = scratch(spark)
+    write_matches(match(events(spark, d), pattern(A(), B(), C())), path)
+    return flat(spark.read.parquet(path))
+
+
+@query("accuracy_under_disorder")
+def q_accuracy(spark, d):
+    specs = {
+        "any": pattern(A(), B(), C(), days=1),
+        "next": pattern(A(), B(), C(), days=1, policy="next"),
+    }
+    e = events(spark, d)
+    portion = e.agg((F.count(F.lit(1)) / 3).cast("long")).scalar()
+    return accuracy_under_disorder(e, specs, [0.2, 0.7], rounds=3, rows_per_round=portion)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import duration_ticks, ticks
@@ -36,29 +35,62 @@ def diff_matches(
     new match is an insert and nothing is taken back.
     """
     keys = slot_keys(old, keys)
-    old, new = old.select(*keys, *CORE), new.select(*keys, *CORE)
-    gone = old.join(new, [*keys, "event_ids"], "left_anti")
-    come = new.join(old, [*keys, "event_ids"], "left_anti")
-    if not with_correction:
-        return as_changes(come, keys, "insert")
     slot = [*keys, "end_id"]
-    was = gone.select(*slot, F.col("event_ids").alias("_was"), F.col("match_id").alias("old_match_id"))
-    now = F.col("event_ids")
-    grown = (F.size(F.array_except("_was", now)) == 0) & (F.size(now) > F.size("_was"))
-    if first_plain:
-        grown = grown & (F.get(now, F.lit(0)) == F.get("_was", F.lit(0)))
-    pairs = come.join(was, slot).filter(grown)
-    best = F.row_number().over(W.partitionBy(*slot, "_was").orderBy("n_events", "match_id"))
-    one = F.row_number().over(
-        W.partitionBy(*slot, "event_ids").orderBy(F.size("_was").desc(), "old_match_id")
+    sides = [m.select(*keys, *CORE, F.lit(n).alias("_side")) for n, m in enumerate((old, new))]
+    both_sides = sides[0].unionByName(sides[1]).repartition(*[F.col(k) for k in slot])
+    # One shuffle by slot serves both groupings; only what changed is collected.
+    changed = both_sides.groupBy(*slot, *[c for c in CORE if c != "end_id"]).agg(
+        F.min("_side").alias("_lo"), F.max("_side").alias("_hi")
+    )
+    changed = changed.filter("_lo = _hi")
+    row = F.struct("n_events", "match_id", "start_ts", "end_ts", "event_ids")
+    groups = changed.groupBy(*slot).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_lo") == 0, row))).alias("_gone"),
+        F.array_sort(F.collect_list(F.when(F.col("_lo") == 1, row))).alias("_come"),
     )
-    pairs = pairs.withColumn("_best", best).filter("_best = 1").withColumn("_one", one).filter("_one = 1")
-    updates = pairs.select(F.lit("update").alias("kind"), *keys, *CORE, "old_match_id")
-    used_old = updates.select(*slot, F.col("old_match_id").alias("match_id"))
-    used_new = updates.select(*slot, "match_id")
-    inserts = as_changes(come.join(used_new, [*slot, "match_id"], "left_anti"), keys, "insert")
-    deletes = as_changes(gone.join(used_old, [*slot, "match_id"], "left_anti"), keys, "delete")
-    return updates.unionByName(inserts).unionByName(deletes)
+
+    def change(kind, m, was):
+        return F.struct(F.lit(kind).alias("kind"), *[m[c].alias(c) for c in CORE if c != "end_id"],
+                        was.alias("old_match_id"))
+
+    nothing = F.lit(None).cast("long")
+    if not with_correction:
+        out = F.transform("_come", lambda m: change("insert", m, nothing))
+        return unpack(groups, out, keys)
+
+    def grown(g, m):
+        ok = (m["n_events"] > g["n_events"]) & (F.size(F.array_except(g["event_ids"], m["event_ids"])) == 0)
+        if first_plain:
+            ok = ok & (F.get(m["event_ids"], F.lit(0)) == F.get(g["event_ids"], F.lit(0)))
+        return ok
+
+    def target(g):
+        return F.get(F.filter("_come", lambda m: grown(g, m)), F.lit(0))["match_id"]
+
+    # Largest old match first, so that it is the one a new match replaces.
+    wish = F.transform(F.reverse("_gone"), lambda g: F.struct(g["match_id"].alias("was"), target(g).alias("now")))
+    groups = groups.withColumn("_wish", wish)
+
+    def replaced(m):
+        return F.get(F.filter("_wish", lambda w: w["now"] == m["match_id"]), F.lit(0))["was"]
+
+    groups = groups.withColumn(
+        "_put",
+        F.transform("_come", lambda m: change_from(change, m, replaced(m))),
+    )
+    taken = F.transform("_put", lambda x: x["old_match_id"])
+    lost = F.filter("_gone", lambda g: ~F.coalesce(F.array_contains(taken, g["match_id"]), F.lit(False)))
+    out = F.concat("_put", F.transform(lost, lambda m: change("delete", m, nothing)))
+    return unpack(groups, out, keys)
+
+
+def change_from(change, m, was):
+    return F.when(was.isNull(), change("insert", m, was)).otherwise(change("update", m, was))
+
+
+def unpack(groups: DataFrame, changes, keys) -> DataFrame:
+    rows = groups.select(*keys, "end_id", F.explode(changes).alias("_x"))
+    return rows.select("*", "_x.*").drop("_x").select("kind", *keys, *CORE, "old_match_id")
 
 
 def invalidate(old: DataFrame, new: DataFrame, keys=()) -> DataFrame:

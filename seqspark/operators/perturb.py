@@ -23,10 +23,10 @@ WEIGHTS = (30, 20, 10, 5, 3, 2, 1)
 def uniform(id: Column, seed: int, draw: int = 0) -> Column:
     """A repeatable number in [0, 1) for an integer id."""
     m, (a, b) = F.lit(MODULUS).cast("long"), MULTIPLIERS
-    x = F.pmod(id.cast("long"), m)
-    x = F.pmod(x * a + (seed + 1) * b + draw * 1_000_003, m)
-    for _ in range(3):
-        x = F.pmod(x * a + 11, m)
+    x = F.pmod(F.pmod(id.cast("long"), m) * a + (seed + 1) * b + draw * 1_000_003, m)
+    # Squaring keeps different draws for one id apart; the products stay below 2^63.
+    for _ in range(2):
+        x = F.pmod(x * x + x * b + 11, m)
     return x / F.lit(float(MODULUS))
 
 
@@ -51,7 +51,7 @@ def inject_disorder(
     unit = unit or (60_000_000 if timestamp else 1)
     moved = uniform(F.col(id), seed) < prob
     lag = F.when(moved, pick(uniform(F.col(id), seed, 1), list(delays), list(weights))).otherwise(0)
-    out = df.withColumn("out_of_order", moved).withColumn("_at", ticks(df, ts) + lag * unit)
+    out = df.withColumn("out_of_order", moved).withColumn("_at", ticks(df, ts) + lag.cast("long") * unit)
     return row_numbers(out, "_at", id, chunk or 1440 * unit, "arrival_seq").drop("_at")
 
 
@@ -65,7 +65,7 @@ def inject_delay(
     unit = unit or (1_000_000 if timestamp else 1)
     steps = F.floor(uniform(F.col(id), seed, 1) * (hi - lo + 1)) + lo
     lag = F.when(uniform(F.col(id), seed) < prob, steps).otherwise(0)
-    return df.withColumn("ingest_ts", from_ticks(df, ts, ticks(df, ts) + lag * unit))
+    return df.withColumn("ingest_ts", from_ticks(df, ts, ticks(df, ts) + lag.cast("long") * unit))
 
 
 def inject_duplicates(df: DataFrame, prob: float, seed: int = 0, *, id: str = "event_id") -> DataFrame:

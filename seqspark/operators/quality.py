@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import bucket_of
 from ..spec import PatternSpec
 from .match import match_many
 from .perturb import inject_disorder
@@ -16,7 +15,7 @@ from .sets import compare_matches
 
 def accuracy_under_disorder(
     events: DataFrame, specs: dict[str, PatternSpec], probs: Sequence[float], *, rounds: int = 4,
-    rows_per_round: int, with_correction: bool = False, seed: int = 0, ts: str = "ts", id: str = "event_id",
+    rows_per_round: int | Column, with_correction: bool = False, seed: int = 0, ts: str = "ts", id: str = "event_id",
 ) -> DataFrame:
     """Precision and recall per disorder level and query.
 
@@ -28,7 +27,7 @@ def accuracy_under_disorder(
     out = None
     for prob in probs:
         arrived = inject_disorder(events, prob, seed=seed, ts=ts, id=id)
-        part = F.least(bucket_of(F.col("arrival_seq") - 1, rows_per_round), F.lit(rounds - 1))
+        part = F.least(F.floor((F.col("arrival_seq") - 1) / rows_per_round), F.lit(rounds - 1))
         arrived = arrived.withColumn("_part", part)
         found = None
         for n in [rounds - 1] if with_correction else range(rounds):

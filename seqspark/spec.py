@@ -25,8 +25,10 @@ UNIT_MICROS = {
     "ms": 1_000,
     "s": 1_000_000,
     "sec": 1_000_000,
+    "second": 1_000_000,
     "m": 60_000_000,
     "min": 60_000_000,
+    "minute": 60_000_000,
     "h": 3_600_000_000,
     "hour": 3_600_000_000,
     "d": 86_400_000_000,
@@ -38,8 +40,8 @@ def micros(duration: timedelta | str) -> int:
     """Length of a ``timedelta`` or of a text such as ``"10 min"`` in microseconds."""
     if isinstance(duration, timedelta):
         return duration // timedelta(microseconds=1)
-    found = re.fullmatch(r"\s*(\d+)\s*([a-z]+?)s?\s*", duration.lower())
-    unit = found and (found[2] if found[2] in UNIT_MICROS else found[2] + "s")
+    found = re.fullmatch(r"\s*(\d+)\s*([a-z]+)\s*", duration.lower())
+    unit = found and (found[2] if found[2] in UNIT_MICROS else found[2].removesuffix("s"))
     if not found or unit not in UNIT_MICROS:
         raise ValueError(f"not a duration: {duration!r} (units: {', '.join(UNIT_MICROS)})")
     return int(found[1]) * UNIT_MICROS[unit]

@@ -40,16 +40,19 @@ def stream_sequence_append(sdf: DataFrame, spec: PatternSpec, delay: str = "10 m
 
     steps = list(spec.steps)
     n = len(steps) - 1
-    out = side(0, steps[0], False)
+    out = side(0, steps[0], False).withColumn("_u0", F.unix_micros("_t0"))
     for i in range(1, n + 1):
-        on = (F.col(f"_k{i}") == F.col("_k0")) & (F.col(f"_t{i}") > F.col(f"_t{i - 1}"))
-        on = on & (F.col(f"_t{i}") <= F.col("_t0") + span)
+        before, mine = F.col(f"_t{i - 1}"), F.col(f"_t{i}")
+        on = (F.col(f"_k{i}") == F.col("_k0")) & (mine > before) & (mine <= before + span)
         for k in spec.keys:
             on = on & (F.col(f"_{i}_{k}") == F.col(f"_0_{k}"))
         out = out.join(side(i, steps[i], i == n), on)
+        # A stream keeps one event time: the latest step's.
+        out = out.withColumn(f"_u{i}", F.unix_micros(mine)).drop(f"_t{i - 1}")
+        out = out.filter(F.col(f"_u{i}") - F.col("_u0") <= width)
     ids = F.array(*[F.col(f"_id{i}") for i in range(n + 1)])
     return out.select(
         *[F.col(f"_0_{k}").alias(k) for k in spec.keys],
-        F.col("_t0").alias("start_ts"), F.col(f"_t{n}").alias("end_ts"), F.col(f"_id{n}").alias("end_id"),
+        F.timestamp_micros("_u0").alias("start_ts"), F.col(f"_t{n}").alias("end_ts"), F.col(f"_id{n}").alias("end_id"),
         F.lit(n + 1).alias("n_events"), ids.alias("event_ids"), F.xxhash64(ids).alias("match_id"),
     )

@@ -89,7 +89,7 @@ class KeyedMatcher(StatefulProcessor):
         known = {(e[0], e[1]): (e[0], e[1], e[3], e[2]) for e in self.events.get()} if self.events.exists() else {}
         fresh = set()
         for pdf in rows:
-            for t, i, own, flags in zip(pdf["_t"], pdf["_id"], pdf["_own"], pdf["_flags"]):
+            for t, i, own, flags in zip(pdf["tick"], pdf["eid"], pdf["own"], pdf["flags"]):
                 if (t, i) not in known:
                     known[(t, i)] = (int(t), int(i), [bool(f) for f in flags], bool(own))
                     fresh.add(int(t))
@@ -168,41 +168,41 @@ def stream_match(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     within = micros(spec.within)
     width = max(1, within)
-    timed = sdf.withColumn("_ts", F.col(spec.ts).cast("timestamp")).withWatermark("_ts", delay)
-    t = F.unix_micros("_ts")
+    timed = sdf.withColumn("event_time", F.col(spec.ts).cast("timestamp")).withWatermark("event_time", delay)
+    t = F.unix_micros("event_time")
     own = bucket_of(t, width)
     used = F.lit(False)
     for s in steps:
         used = used | F.coalesce(as_column(s.when), F.lit(False))
     rows = timed.filter(used).select(
-        *spec.keys, "_ts", t.alias("_t"), F.col(spec.id).cast("long").alias("_id"),
-        F.array(*[F.coalesce(as_column(s.when), F.lit(False)) for s in steps]).alias("_flags"),
+        *spec.keys, "event_time", t.alias("tick"), F.col(spec.id).cast("long").alias("eid"),
+        F.array(*[F.coalesce(as_column(s.when), F.lit(False)) for s in steps]).alias("flags"),
         F.explode(F.array(F.struct(own.alias("k"), F.lit(True).alias("own")),
-                          F.struct((own + 1).alias("k"), F.lit(False).alias("own")))).alias("_b"),
-    ).withColumns({"_k": F.col("_b.k"), "_own": F.col("_b.own")}).drop("_b")
+                          F.struct((own + 1).alias("k"), F.lit(False).alias("own")))).alias("b"),
+    ).withColumns({"bucket": F.col("b.k"), "own": F.col("b.own")}).drop("b")
     key_fields = [sdf.schema[k] for k in spec.keys]
     out = T.StructType(
         [
             *key_fields,
             T.StructField("kind", T.StringType()),
-            T.StructField("_start", T.LongType()),
-            T.StructField("_end", T.LongType()),
+            T.StructField("start_tick", T.LongType()),
+            T.StructField("end_tick", T.LongType()),
             T.StructField("end_id", T.LongType()),
             T.StructField("event_ids", T.ArrayType(T.LongType())),
-            T.StructField("_old", T.ArrayType(T.LongType())),
+            T.StructField("old_ids", T.ArrayType(T.LongType())),
         ]
     )
     processor = KeyedMatcher(
         [s.kleene for s in steps], within, spec.policy, spec.keys, out, with_correction, width,
         width // 1000 + 1,
     )
-    changes = rows.groupBy(*spec.keys, "_k").transformWithStateInPandas(
+    changes = rows.groupBy(*spec.keys, "bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="EventTime"
     )
     return changes.select(
         "kind", *spec.keys,
-        F.timestamp_micros("_start").alias("start_ts"), F.timestamp_micros("_end").alias("end_ts"),
+        F.timestamp_micros("start_tick").alias("start_ts"), F.timestamp_micros("end_tick").alias("end_ts"),
         "end_id", F.size("event_ids").alias("n_events"), "event_ids",
         F.xxhash64("event_ids").alias("match_id"),
-        F.when(F.col("_old").isNotNull(), F.xxhash64("_old")).alias("old_match_id"),
+        F.when(F.col("old_ids").isNotNull(), F.xxhash64("old_ids")).alias("old_match_id"),
     )

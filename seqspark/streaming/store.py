@@ -65,7 +65,7 @@ def correct(
     events = fresh.select(*columns)
     if seen is not None:
         events = events.unionByName(seen.filter(near).select(*columns))
-    ends = affected_ends(fresh.select(*columns), events, spec)
+    ends = affected_ends(fresh.select(*columns), events, spec).persist()
     new = rematch(events, ends, spec).select(*spec.keys, *CORE)
 
     log = read_store(spark, f"{store}/changes", revision)
@@ -80,6 +80,7 @@ def correct(
         old, new, spec.keys, first_plain=not spec.positive[0].kleene, with_correction=with_correction
     )
     changes.write.mode("overwrite").parquet(f"{store}/changes/revision={revision}")
+    ends.unpersist()
 
 
 def stream_match_batch(
