@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import bucket_of
@@ -142,14 +143,14 @@ def next_maximal(p: Prepared, ends: DataFrame | None) -> DataFrame:
     found = match_windows(p, "maximal")
     keys = p.spec.keys
     last = steps[-1].name
-    order = F.struct(F.col(last)["t"], F.col(last)["id"])
-    whole = F.struct(*[c for c in found.columns if c not in keys])
     if p.spec.shape == "++.":
         # Same first event and different splits always differ at the split.
         first = F.col(steps[0].name)
-        same = [F.get(first, F.lit(0))["id"].alias("_first"), F.element_at(first, -1)["id"].alias("_split")]
-        best = found.groupBy(*keys, *same).agg(F.min_by(whole, order).alias("_m"))
-        return best.select(*keys, "_m.*")
+        split = W.partitionBy(*keys, F.get(first, F.lit(0))["id"], F.element_at(first, -1)["id"])
+        place = F.rank().over(split.orderBy(F.col(last)["t"]))
+        return found.withColumn("_place", place).filter("_place = 1").drop("_place")
+    order = F.struct(F.col(last)["t"], F.col(last)["id"])
+    whole = F.struct(*[c for c in found.columns if c not in keys])
     first_id = F.get("event_ids", F.lit(0)).alias("_first")
     groups = found.groupBy(*keys, first_id).agg(
         F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("match_id").alias("k"), whole.alias("m")))).alias("_all")
