@@ -1,7 +1,7 @@
 """JSON messages of several kinds as one event table.
 
-Every kind is parsed to an array of canonical event structs, so a message table with mixed
-kinds is read once and exploded.
+Every message becomes an array of canonical event structs, so a table with mixed kinds is
+read once, parsed once and exploded.
 """
 
 from __future__ import annotations
@@ -50,8 +50,7 @@ def event(name, ts, source, kind, symbol, value=None, value_str=None, position=N
     )
 
 
-def abc_events(text: Column, seq: Column) -> Column:
-    m = F.from_json(text, ABC)
+def abc_events(m: Column, seq: Column) -> Column:
     name = F.concat(m["symbol"], m["id"].cast("string"))
     return F.array(event(name, m["timestamp"], "Abc", m["symbol"], m["price"], m["volume"]))
 
@@ -66,13 +65,12 @@ def readings(m: Column, source: str, kinds, seq: Column) -> list[Column]:
     ]
 
 
-def fitbit_events(text: Column, seq: Column) -> Column:
-    m = F.from_json(text, FITBIT)["fitbit"]
-    return F.array(*readings(m, "Fitbit", FITBIT_READINGS, seq))
+def fitbit_events(m: Column, seq: Column) -> Column:
+    return F.array(*readings(m["fitbit"], "Fitbit", FITBIT_READINGS, seq))
 
 
-def scale_events(text: Column, seq: Column) -> Column:
-    m = F.from_json(text, SCALE)["scale"]
+def scale_events(m: Column, seq: Column) -> Column:
+    m = m["scale"]
     name = F.concat(F.lit("bmiCat_"), seq.cast("string"))
     category = event(
         name, m["timestamp"], "Scale", F.lit("BmiCat"), F.lit(CATEGORY_CODE), value_str=m["bmiCategory"]
@@ -80,8 +78,7 @@ def scale_events(text: Column, seq: Column) -> Column:
     return F.array(*readings(m, "Scale", SCALE_READINGS, seq), category)
 
 
-def location_events(text: Column, seq: Column) -> Column:
-    m = F.from_json(text, LOCATION)
+def location_events(m: Column, seq: Column) -> Column:
     position = F.struct(
         m["location"].alias("location"),
         parse_event_time(m["dateEntered"], tz=TZ).alias("date_entered"),
@@ -98,41 +95,48 @@ def location_events(text: Column, seq: Column) -> Column:
     )
 
 
-# Message kind (capitalised topic) to parser.
-MESSAGE_KINDS: dict[str, Callable[[Column, Column], Column]] = {
-    "Abc": abc_events,
-    "Fitbit": fitbit_events,
-    "Scale": scale_events,
-    "Location": location_events,
-    "Locations": location_events,
+# Message kind (capitalised topic) to JSON schema and event builder.
+MESSAGE_KINDS: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
+    "Abc": (ABC, abc_events),
+    "Fitbit": (FITBIT, fitbit_events),
+    "Scale": (SCALE, scale_events),
+    "Location": (LOCATION, location_events),
 }
 
 
-def explode_events(df: DataFrame, events: Column, json_col: str) -> DataFrame:
+def explode_events(df: DataFrame, kind: Column, names, json_col: str, seq: str) -> DataFrame:
+    """Parse each message once, by the schema of its kind, then build its events."""
     rest = [c for c in df.columns if c != json_col]
-    return df.select(*rest, F.col(json_col).alias("_raw"), F.explode(events).alias("_ev")).select(
-        *rest, "_ev.*", "_raw"
+    text = F.col(json_col)
+    parsed = df.select(
+        *rest, text.alias("_raw"),
+        *[F.when(kind == n, F.from_json(text, MESSAGE_KINDS[n][0])).alias(f"_m_{n}") for n in names],
+        kind.alias("_kind"),
     )
+    made = F.lit(None)
+    for n in names:
+        made = F.when(F.col("_kind") == n, MESSAGE_KINDS[n][1](F.col(f"_m_{n}"), F.col(seq))).otherwise(made)
+    return parsed.select(*rest, F.explode(made).alias("_ev"), "_raw").select(*rest, "_ev.*", "_raw")
 
 
 def normalise_abc(df: DataFrame, json_col: str = "value", seq: str = "arrival_seq") -> DataFrame:
     """Letter messages: one event, type = symbol, value = volume, symbol = price."""
-    return explode_events(df, abc_events(F.col(json_col), F.col(seq)), json_col)
+    return explode_events(df, F.lit("Abc"), ["Abc"], json_col, seq)
 
 
 def normalise_fitbit(df: DataFrame, json_col: str = "value", seq: str = "arrival_seq") -> DataFrame:
     """Fitbit messages: Steps, Stairs and Naps."""
-    return explode_events(df, fitbit_events(F.col(json_col), F.col(seq)), json_col)
+    return explode_events(df, F.lit("Fitbit"), ["Fitbit"], json_col, seq)
 
 
 def normalise_scale(df: DataFrame, json_col: str = "value", seq: str = "arrival_seq") -> DataFrame:
     """Scale messages: Weight, Height, Bmi and BmiCat (a text)."""
-    return explode_events(df, scale_events(F.col(json_col), F.col(seq)), json_col)
+    return explode_events(df, F.lit("Scale"), ["Scale"], json_col, seq)
 
 
 def normalise_location(df: DataFrame, json_col: str = "value", seq: str = "arrival_seq") -> DataFrame:
     """Location messages: one event whose type is the room, with the position nested."""
-    return explode_events(df, location_events(F.col(json_col), F.col(seq)), json_col)
+    return explode_events(df, F.lit("Location"), ["Location"], json_col, seq)
 
 
 def normalise(
@@ -141,11 +145,8 @@ def normalise(
     """Mixed messages: the parser is picked per row by the kind (case of its first letter
     does not matter).  Rows of an unknown kind give no event."""
     kind = capitalise_source(kind_col)
-    kind = F.when(F.upper(kind) == "ABC", "Abc").otherwise(kind)
-    parsed = F.lit(None)
-    for name, parser in MESSAGE_KINDS.items():
-        parsed = F.when(kind == name, parser(F.col(json_col), F.col(seq))).otherwise(parsed)
-    return explode_events(df, parsed, json_col)
+    kind = F.when(F.upper(kind) == "ABC", "Abc").when(kind == "Locations", "Location").otherwise(kind)
+    return explode_events(df, kind, ["Abc", "Fitbit", "Scale", "Location"], json_col, seq)
 
 
 def quarantine(df: DataFrame, ts: str = "ts", also: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.time import bucket_of, duration_ticks, from_ticks, ticks
 from ..operators.corrections import CORE, apply_changelog, diff_matches
-from ..operators.lateness import affected_ends, rematch
+from ..operators.lateness import affected_ends, near_ends
+from ..operators.match import match_at_end
 from ..plans.base import relevant_events
 from ..spec import PatternSpec
 
@@ -66,7 +67,9 @@ def correct(
     if seen is not None:
         events = events.unionByName(seen.filter(near).select(*columns))
     ends = affected_ends(fresh.select(*columns), events, spec).persist()
-    new = rematch(events, ends, spec).select(*spec.keys, *CORE)
+    # The plans below read these events several times.
+    around = near_ends(events, ends, spec).persist()
+    new = match_at_end(around, spec, ends).select(*spec.keys, *CORE)
 
     log = read_store(spark, f"{store}/changes", revision)
     if log is None:
@@ -81,6 +84,7 @@ def correct(
     )
     changes.write.mode("overwrite").parquet(f"{store}/changes/revision={revision}")
     ends.unpersist()
+    around.unpersist()
 
 
 def stream_match_batch(
