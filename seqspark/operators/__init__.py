@@ -24,6 +24,7 @@ from .match import (
 )
 from .perturb import inject_delay, inject_disorder, inject_duplicates
 from .quality import accuracy_under_disorder
+from .sizing import fit_to_data
 from .sets import (
     compare_matches,
     dedup_events,

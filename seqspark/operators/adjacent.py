@@ -24,7 +24,7 @@ def contiguous_runs(p: Prepared) -> DataFrame:
         event = event.withField(f"_ok_{s.name}", p.flag(s))
     rows = p.df.withColumn("_e", event)
     hops = [~p.flag(s) if s.kleene else F.lit(True) for s in steps[:-1]]
-    runs = next_chain(rows, keys, p.chunk, hops, ties=True).filter(p.flag(steps[0]))
+    runs = next_chain(rows, keys, p.chunk, hops, ties=True, levels=p.levels).filter(p.flag(steps[0]))
 
     link = F.col("hop0")
     runs = runs.withColumn(f"_at_{steps[0].name}", F.col("_e"))
@@ -57,7 +57,7 @@ def contiguous_runs(p: Prepared) -> DataFrame:
 def with_run(p, rows, runs, step, after):
     """Replace the first event of a one-or-more step by all its events up to the next step."""
     keys = p.spec.keys
-    ends = next_chain(rows, keys, p.chunk, [~p.flag(step)], ties=True)
+    ends = next_chain(rows, keys, p.chunk, [~p.flag(step)], ties=True, levels=p.levels)
     ends = ends.filter(p.flag(step) & in_window(p, F.col("_e")["t"], F.col("hop0")["t"]))
     lists = ends.groupBy(*keys, F.col("hop0")["id"].alias("_stop")).agg(
         F.array_sort(F.collect_list("_e")).alias("_run")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace as with_fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def prefix_counts(p: Prepared, rows: DataFrame, depth: int) -> DataFrame:
             ways = F.lit(1) if width == 0 else F.col(f"_a{i}_{j - 1}")
             value = F.when(F.col(f"_is{j}"), ways).cast(BIG)
             measures[f"_a{i}_{j}"] = ("sum", value, True)
-        rows = running(rows, p.spec.keys, "_t", p.chunk, measures)
+        rows = running(rows, p.spec.keys, "_t", p.chunk, measures, levels=p.levels)
         for name in measures:
             rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast(BIG))
     return rows
@@ -89,12 +91,12 @@ def count_pairs(p: Prepared, weight) -> DataFrame:
     one = F.when(p.flag(b), F.lit(1))
     # b strictly before c, and b up to and including the time of a
     measures = {"_before": ("sum", one, True), "_upto": ("sum", one, False)}
-    rows = running(p.df.withColumn("_t", t), keys, "_t", p.chunk, measures)
+    rows = running(p.df.withColumn("_t", t), keys, "_t", p.chunk, measures, levels=p.levels)
     event = F.col("_e")
     for name in measures:
         event = event.withField(name, F.coalesce(F.col(name), F.lit(0)))
     rows = rows.withColumn("_e", event).drop("_t", *measures)
-    q = Prepared(rows, p.source, p.spec, p.within, p.chunk)
+    q = with_fields(p, df=rows)
     starts = rows.filter(p.flag(a)).select(*keys, "_e")
     pairs = ends_frame(q, None).join(early_frame(q, starts, None), meet_on(keys, p.spec.salt))
     start, end = F.col("_e"), F.col(c.name)
@@ -128,11 +130,11 @@ def count_maximal(p: Prepared) -> DataFrame:
         F.col("_e")["id"].alias("_end"), F.lit(True).alias("_probe"),
     )
     one = {"_n": ("sum", F.when(F.col("_a"), F.lit(1)), True)}
-    rows = running(rows.unionByName(probes), keys, "_t", p.chunk, one)
+    rows = running(rows.unionByName(probes), keys, "_t", p.chunk, one, levels=p.levels)
     rows = rows.withColumn("_n", F.coalesce("_n", F.lit(0)))
     # the starts before the latest b grow with b, so the maximum is the latest b's
     latest = {"_nb": ("max", F.when(F.col("_b"), F.col("_n")), True)}
-    rows = running(rows, keys, "_t", p.chunk, latest).filter(F.col("_end").isNotNull())
+    rows = running(rows, keys, "_t", p.chunk, latest, levels=p.levels).filter(F.col("_end").isNotNull())
     per_end = rows.groupBy(*keys, "_end").agg(
         F.max(F.when(~F.col("_probe"), F.coalesce("_nb", F.lit(0)))).alias("hi"),
         F.max(F.when(F.col("_probe"), F.col("_n"))).alias("lo"),

@@ -34,7 +34,7 @@ def next_runs(p: Prepared) -> DataFrame:
     steps = p.spec.positive
     if any(depends(s) for s in steps):
         return conditional_runs(p)
-    chained = next_chain(p.df, p.spec.keys, p.chunk, [p.flag(s) for s in steps[1:]])
+    chained = next_chain(p.df, p.spec.keys, p.chunk, [p.flag(s) for s in steps[1:]], levels=p.levels)
     runs = unfold(chained.filter(p.flag(steps[0])), steps[0], steps[1:], F.col("_e"), "hop0")
     last = F.col(steps[-1].name)
     return runs.filter(last.isNotNull() & in_window(p, F.col(steps[0].name)["t"], last["t"]))
@@ -84,7 +84,7 @@ def next_prefixes(p: Prepared) -> DataFrame:
     if any(depends(s) for s in [*lead, *tail]):
         raise ValueError("prefix matches take conditions on earlier events in the one-or-more step only")
     keys = p.spec.keys
-    tails = next_chain(p.df, keys, p.chunk, [p.flag(s) for s in tail]).filter(p.flag(many))
+    tails = next_chain(p.df, keys, p.chunk, [p.flag(s) for s in tail], levels=p.levels).filter(p.flag(many))
     rows = tails.filter(F.col("hop0").isNotNull()).select(*keys, "_e", "hop0")
     event = F.col("_e")
     if not lead:
@@ -95,7 +95,7 @@ def next_prefixes(p: Prepared) -> DataFrame:
         if len(lead) == 1:
             runs = p.df.filter(p.flag(lead[0])).withColumn(lead[0].name, event)
         else:
-            runs = next_chain(p.df, keys, p.chunk, [p.flag(s) for s in lead[1:]])
+            runs = next_chain(p.df, keys, p.chunk, [p.flag(s) for s in lead[1:]], levels=p.levels)
             runs = unfold(runs.filter(p.flag(lead[0])), lead[0], lead[1:], event, "hop0")
         runs = runs.select(*keys, *[s.name for s in lead])
         start, fits = F.col(lead[0].name)["t"], event["t"] > F.col(lead[-1].name)["t"]
@@ -125,7 +125,7 @@ def runs_between(p: Prepared) -> DataFrame:
     a, b, c = p.spec.positive
     keys = p.spec.keys
     starts = next_runs(p).select(*keys, a.name, c.name)
-    ends = next_chain(p.df, keys, p.chunk, [p.flag(c)]).filter(p.flag(b) & F.col("hop0").isNotNull())
+    ends = next_chain(p.df, keys, p.chunk, [p.flag(c)], levels=p.levels).filter(p.flag(b) & F.col("hop0").isNotNull())
     ends = ends.filter(in_window(p, F.col("_e")["t"], F.col("hop0")["t"]))
     runs = ends.groupBy(*keys, F.col("hop0").alias(c.name)).agg(
         F.array_sort(F.collect_list("_e")).alias("_bs")

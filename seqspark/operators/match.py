@@ -22,7 +22,7 @@ def count_negated(p: Prepared) -> Prepared:
     one = F.when(p.flag(negated), F.lit(1))
     timed = p.df.withColumn("_t", F.col("_e")["t"])
     measures = {"_neg_before": ("sum", one, True), "_neg_upto": ("sum", one, False)}
-    scanned = running(timed, p.spec.keys, "_t", p.chunk, measures)
+    scanned = running(timed, p.spec.keys, "_t", p.chunk, measures, levels=p.levels)
     event = F.col("_e")
     for name in measures:
         event = event.withField(name, F.coalesce(F.col(name), F.lit(0)))

@@ -50,7 +50,7 @@ def with_previous(p: Prepared) -> Prepared:
     when = F.col("_e")["t"]
     measures = {f"_pre_{s.name}": ("max", F.when(p.flag(b), when), True) for b, s in pairs}
     timed = p.df.withColumn("_t", when)
-    scanned = running(timed, p.spec.keys, "_t", p.chunk, measures)
+    scanned = running(timed, p.spec.keys, "_t", p.chunk, measures, levels=p.levels)
     event = F.col("_e")
     for name in measures:
         event = event.withField(name, F.col(name))

@@ -12,6 +12,9 @@ from ..functions.time import duration_ticks, from_ticks, ticks
 from ..spec import PatternSpec, Step
 
 
+SHORT_CHUNK = 300_000_000  # five minutes in ticks
+
+
 def as_column(condition: Column | str) -> Column:
     return F.expr(condition) if isinstance(condition, str) else condition
 
@@ -42,6 +45,7 @@ class Prepared:
     spec: PatternSpec
     within: int
     chunk: int
+    levels: int = 2
     rejected: bool | None = None
 
     def flag(self, step: Step) -> Column:
@@ -62,6 +66,8 @@ def prepare(events: DataFrame, spec: PatternSpec, *, keep_all: bool = False) ->
     """
     within = duration_ticks(events, spec.ts, spec.within)
     chunk = max(1, within if spec.chunk is None else duration_ticks(events, spec.ts, spec.chunk))
+    # Years of chunks below a few minutes are too many for one group per key.
+    short = chunk < SHORT_CHUNK and "timestamp" in events.schema[spec.ts].dataType.simpleString()
     df = events if keep_all else relevant_events(events, spec)
     for name in [spec.ts, *spec.keys]:
         df = df.filter(F.col(name).isNotNull())
@@ -78,7 +84,8 @@ def prepare(events: DataFrame, spec: PatternSpec, *, keep_all: bool = False) ->
     flags = [
         F.coalesce(as_column(s.when), F.lit(False)).alias(step_flag(spec, s)) for s in spec.steps
     ]
-    return Prepared(df.select(*spec.keys, event.alias("_e"), *flags), events, spec, within, chunk)
+    narrow = df.select(*spec.keys, event.alias("_e"), *flags)
+    return Prepared(narrow, events, spec, within, chunk, 3 if short else 2)
 
 
 def visible(p: Prepared, step: Step) -> Column:

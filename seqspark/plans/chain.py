@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.time import bucket_of
 from .base import both
+from .scans import carry_over
 
 
-def next_chain(df: DataFrame, by, width: int, hops: list[Column], *, ties: bool = False) -> DataFrame:
+def next_chain(df: DataFrame, by, width: int, hops: list[Column], *, ties: bool = False, levels: int = 2) -> DataFrame:
     """Add ``hop0``: the next event for which ``hops[0]`` holds, with its own field
     ``nxt``: the next event after it for which ``hops[1]`` holds, and so on.
 
@@ -48,13 +49,13 @@ def next_chain(df: DataFrame, by, width: int, hops: list[Column], *, ties: bool
         return F.when(found.isNull(), ahead(i)).otherwise(whole)
 
     chunks = local.groupBy(*keys).agg(*[F.min(target(i)).alias(f"_h{i}") for i in range(last + 1)])
-    ahead_of = W.partitionBy(*by).orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, -1)
     for i in range(last, -1, -1):
         head = F.col(f"_h{i}")
         if i < last:
             rest = resolve(head["nxt"], i + 1, lambda j: F.col(f"_c{j}"))
             head = F.when(head.isNotNull(), head.withField("nxt", rest))
-        chunks = chunks.withColumn(f"_c{i}", F.last(head, ignorenulls=True).over(ahead_of))
+        # The nearest head ahead is the smallest one: heads sort by time.
+        chunks = carry_over(chunks, by, {f"_c{i}": ("min", head)}, True, levels)
 
     carried = chunks.select(*[F.col(k).alias(f"_by_{k}") for k in keys], *[f"_c{i}" for i in range(last + 1)])
     joined = local.join(carried, both([F.col(k) == F.col(f"_by_{k}") for k in keys]))

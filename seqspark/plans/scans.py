@@ -21,6 +21,22 @@ AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 FAR_BACK = W.unboundedPreceding
 
 
+def carry_over(totals: DataFrame, by, measures, reverse: bool, levels: int) -> DataFrame:
+    """Add to each (key, chunk) what all chunks before it (after it, in reverse) add up to.
+
+    With two levels a key's chunks are scanned as one small group; with three they are
+    themselves cut into runs of a thousand.
+    """
+    if levels > 2:
+        strict = {n: (kind, value, True) for n, (kind, value) in measures.items()}
+        outer = totals.withColumnRenamed("_chunk", "_at")
+        out = running(outer, list(by), "_at", 1000, strict, reverse=reverse, levels=levels - 1)
+        return out.withColumnRenamed("_at", "_chunk")
+    along = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
+    before = W.partitionBy(*by).orderBy(along).rowsBetween(FAR_BACK, -1)
+    return totals.select("*", *[AGGREGATES[k](v).over(before).alias(n) for n, (k, v) in measures.items()])
+
+
 def running(
     df: DataFrame,
     by: list[str],
@@ -29,12 +45,14 @@ def running(
     measures: dict[str, tuple[str, Column, bool]],
     *,
     reverse: bool = False,
+    levels: int = 2,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min`` columns along the long column ``order``.
 
     ``measures`` maps a new column to (aggregate, value, strict).  A strict measure leaves
     out the row itself and rows with an equal ``order``; otherwise both are included.
-    ``reverse`` runs from the latest row back.
+    ``reverse`` runs from the latest row back.  ``levels=3`` also splits the table of chunk
+    totals, for chunks so short that one key has millions of them.
     """
     names = list(measures)
     base = df.select(
@@ -47,16 +65,15 @@ def running(
     def agg(name):
         return AGGREGATES[measures[name][0]](f"_m_{name}")
 
-    along = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
-    before = W.partitionBy(*by).orderBy(along).rowsBetween(FAR_BACK, -1)
     edge = (F.col("_chunk") + 1) * width if reverse else F.col("_chunk") * width - 1
     totals = base.groupBy(*by, "_chunk").agg(*[agg(n).alias(f"_m_{n}") for n in names])
-    carry = totals.select(
+    before = {f"_b_{n}": (measures[n][0], F.col(f"_m_{n}")) for n in names}
+    carry = carry_over(totals, by, before, reverse, levels).select(
         *by,
-        "_chunk",
         edge.alias(order),
+        "_chunk",
         F.lit(True).alias("_carry"),
-        *[agg(n).over(before).alias(f"_m_{n}") for n in names],
+        *[F.col(f"_b_{n}").alias(f"_m_{n}") for n in names],
     )
     rows = base.unionByName(carry, allowMissingColumns=True)
     key = F.col(order).desc() if reverse else F.col(order).asc()

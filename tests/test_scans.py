@@ -92,3 +92,35 @@ def test_disturbances(spark):
     counts = {r.d: r["count"] / n for r in lag.groupBy("d").count().collect()}
     assert set(counts) == {0, *range(3, 10)}
     assert all(0.06 < counts[d] < 0.082 for d in range(3, 10))
+
+
+def test_three_levels_equal_two(data):
+    events, df = data
+    for reverse in (False, True):
+        measures = {"s": ("sum", F.col("event_id"), True), "m": ("max", F.col("event_id"), False)}
+        two, three = (
+            {tuple(r) for r in running(df, ["key"], "ts", 1, measures, reverse=reverse, levels=n).collect()}
+            for n in (2, 3)
+        )
+        assert two == three and len(two) == len(events)
+
+
+def test_busy_key_is_cut_into_even_tasks(spark):
+    """One key holds a third of all rows; cut to the data, no task group gets far above the limit."""
+    from helpers import spec
+
+    from seqspark import count_matches, fit_to_data
+    from seqspark.functions import bucket_of
+
+    n, limit = 60_000, 500
+    df = spark.range(n).selectExpr(
+        "id AS event_id", "id div 3 AS ts", "substring('abc', int(id % 7 % 3) + 1, 1) AS kind",
+        "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 1000 END AS key",
+    )
+    s = spec("a b c", 2000)
+    cut = fit_to_data(df, s, limit)
+    assert cut.salt >= 3 and cut.chunk <= 2000 // 3
+    sizes = df.groupBy("key", bucket_of(F.col("ts"), cut.chunk).alias("k")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= limit * 1.5
+    assert count_matches(df, s).first() == count_matches(df, cut).first()
+    assert fit_to_data(df, spec("a b", 5), limit).salt == 1
