@@ -25,7 +25,7 @@ def only_ends(df: DataFrame, ends: DataFrame | None) -> DataFrame:
 
 def ends_frame(p: Prepared, ends: DataFrame | None) -> DataFrame:
     last = p.spec.positive[-1]
-    df = only_ends(p.df.filter(p.flag(last)), ends)
+    df = only_ends(p.rows(last), ends)
     df = df.select(*p.spec.keys, F.col("_e").alias(last.name))
     own = F.col(last.name)
     return end_side(df, own["t"], max(1, p.within), p.spec.salt, own["id"])
@@ -50,7 +50,7 @@ def match_combinations(p: Prepared, ends: DataFrame | None = None) -> DataFrame:
     last = steps[-1]
     out, right = ends_frame(p, ends), last
     for step in reversed(steps[:-1]):
-        cand = p.df.filter(p.flag(step)).select(*p.spec.keys, "_e")
+        cand = p.rows(step).select(*p.spec.keys, "_e")
         cand = early_frame(p, cand, ends).withColumnRenamed("_e", step.name)
         mine = F.col(step.name)["t"]
         inside = (mine < F.col(right.name)["t"]) & (F.col(last.name)["t"] - mine <= p.within)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace as with_fields
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +67,7 @@ def count_combinations(p: Prepared) -> DataFrame:
     off = [F.lit(False).alias(f"_is{i}") for i in range(depth)]
     end = F.when(p.flag(last), F.col("_e")["id"]).alias("_end")
     rows = p.df.select(*keys, t.alias("_t"), *flags, end, F.lit(False).alias("_probe"))
-    probes = p.df.filter(p.flag(last)).select(
+    probes = p.rows(last).select(
         *keys, (t - p.within).alias("_t"), *off, F.col("_e")["id"].alias("_end"), F.lit(True).alias("_probe")
     )
     counted = prefix_counts(p, rows.unionByName(probes), depth).filter(F.col("_end").isNotNull())
@@ -96,7 +94,7 @@ def count_pairs(p: Prepared, weight) -> DataFrame:
     for name in measures:
         event = event.withField(name, F.coalesce(F.col(name), F.lit(0)))
     rows = rows.withColumn("_e", event).drop("_t", *measures)
-    q = with_fields(p, df=rows)
+    q = p.having(rows)
     starts = rows.filter(p.flag(a)).select(*keys, "_e")
     pairs = ends_frame(q, None).join(early_frame(q, starts, None), meet_on(keys, p.spec.salt))
     start, end = F.col("_e"), F.col(c.name)
@@ -125,7 +123,7 @@ def count_maximal(p: Prepared) -> DataFrame:
     rows = p.df.select(
         *keys, t.alias("_t"), p.flag(a).alias("_a"), p.flag(b).alias("_b"), end, F.lit(False).alias("_probe")
     )
-    probes = p.df.filter(p.flag(c)).select(
+    probes = p.rows(c).select(
         *keys, (t - p.within).alias("_t"), F.lit(False).alias("_a"), F.lit(False).alias("_b"),
         F.col("_e")["id"].alias("_end"), F.lit(True).alias("_probe"),
     )

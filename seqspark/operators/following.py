@@ -58,9 +58,9 @@ def conditional_runs(p: Prepared) -> DataFrame:
     steps = p.spec.positive
     first = steps[0]
     start = F.col(first.name)["t"]
-    runs = p.df.filter(p.flag(first)).select(*p.spec.keys, F.col("_e").alias(first.name))
+    runs = p.rows(first).select(*p.spec.keys, F.col("_e").alias(first.name))
     for before, step in zip(steps, steps[1:]):
-        rows = p.df.filter(p.flag(step)).select(*p.spec.keys, "_e")
+        rows = p.rows(step).select(*p.spec.keys, "_e")
         pairs = from_start(p, runs, rows, start).filter(F.col("_e")["t"] > F.col(before.name)["t"])
         if step.cross_when:
             pairs = pairs.filter(step.cross_when(F.col("_e"), bound_steps(p, step)))
@@ -89,11 +89,11 @@ def next_prefixes(p: Prepared) -> DataFrame:
     event = F.col("_e")
     if not lead:
         # The start is itself the first event the step takes.
-        runs = p.df.filter(p.flag(many)).select(*keys, event.alias("_from"))
+        runs = p.rows(many).select(*keys, event.alias("_from"))
         start, fits = F.col("_from")["t"], event >= F.col("_from")
     else:
         if len(lead) == 1:
-            runs = p.df.filter(p.flag(lead[0])).withColumn(lead[0].name, event)
+            runs = p.rows(lead[0]).withColumn(lead[0].name, event)
         else:
             runs = next_chain(p.df, keys, p.chunk, [p.flag(s) for s in lead[1:]], levels=p.levels)
             runs = unfold(runs.filter(p.flag(lead[0])), lead[0], lead[1:], event, "hop0")

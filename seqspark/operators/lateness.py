@@ -154,8 +154,8 @@ def affected_ends(late: DataFrame, events: DataFrame, spec: PatternSpec) -> Data
     last = spec.positive[-1]
     p, q = prepare(late, spec), prepare(events, spec)
     width = max(1, p.within)
-    ends = q.df.filter(q.flag(last)).select(*spec.keys, F.col("_e")["t"].alias("_t"), F.col("_e")["id"].alias("end_id"))
-    own = p.df.filter(p.flag(last)).select(*spec.keys, F.col("_e")["id"].alias("end_id"))
+    ends = q.rows(last).select(*spec.keys, F.col("_e")["t"].alias("_t"), F.col("_e")["id"].alias("end_id"))
+    own = p.rows(last).select(*spec.keys, F.col("_e")["id"].alias("end_id"))
     touched = p.df.select(*spec.keys, F.col("_e")["t"].alias("_late")).distinct()
     pairs = end_side(ends, F.col("_t"), width).join(early_side(touched, F.col("_late"), width), [*spec.keys, "_k"])
     near = (F.col("_late") < F.col("_t")) & (F.col("_t") - F.col("_late") <= p.within)

@@ -26,7 +26,7 @@ def count_negated(p: Prepared) -> Prepared:
     event = F.col("_e")
     for name in measures:
         event = event.withField(name, F.coalesce(F.col(name), F.lit(0)))
-    return with_fields(p, df=scanned.withColumn("_e", event).drop("_t", *measures))
+    return p.having(scanned.withColumn("_e", event).drop("_t", *measures))
 
 
 def run(events: DataFrame, spec: PatternSpec, ends: DataFrame | None, rejected: bool) -> DataFrame:

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataclasses import replace as with_fields
-
 from ..plans.base import Prepared, both, either, finish
 from ..plans.joins import meet_on
 from ..plans.scans import running
@@ -25,12 +23,15 @@ def cand(step: Step) -> Column:
     return F.col(f"_c_{step.name}")
 
 
-def end_windows(p: Prepared, ends: DataFrame | None = None) -> DataFrame:
-    """One row per end event with ``_c_<step>``: the step's candidates in time order."""
+def end_windows(p: Prepared, early_p: Prepared, ends: DataFrame | None = None) -> DataFrame:
+    """One row per end event with ``_c_<step>``: the step's candidates in time order.
+
+    The candidates come from ``early_p``, whose events may carry more fields.
+    """
     *early, last = p.spec.positive
     meet = meet_on(p.spec.keys, p.spec.salt)
     marks = [p.flag(s).alias(f"_is_{s.name}") for s in early]
-    rows = p.df.filter(either([p.flag(s) for s in early])).select(*p.spec.keys, "_e", *marks)
+    rows = early_p.df.filter(either([p.flag(s) for s in early])).select(*p.spec.keys, "_e", *marks)
     mine, end = F.col("_e")["t"], F.col(last.name)["t"]
     pairs = ends_frame(p, ends).join(early_frame(p, rows, ends), meet)
     pairs = pairs.filter((mine < end) & (end - mine <= p.within))
@@ -54,7 +55,7 @@ def with_previous(p: Prepared) -> Prepared:
     event = F.col("_e")
     for name in measures:
         event = event.withField(name, F.col(name))
-    return with_fields(p, df=scanned.withColumn("_e", event).drop("_t", *measures))
+    return p.having(scanned.withColumn("_e", event).drop("_t", *measures))
 
 
 def maximal_sets(p: Prepared, step: Step, mine: Column, end: Column) -> Column:
@@ -104,9 +105,9 @@ def match_windows(p: Prepared, mode: str, ends: DataFrame | None = None) -> Data
                     f"step {step.name}: conditions on earlier events are not defined for "
                     "maximal matches when the previous step is one-or-more"
                 )
-        p = with_previous(p)
     end = F.col(last.name)["t"]
-    w = end_windows(p, ends).withColumn("_head", end).withColumn("_after", F.lit(None).cast("long"))
+    q = p if mode == "all" else with_previous(p)
+    w = end_windows(p, q, ends).withColumn("_head", end).withColumn("_after", F.lit(None).cast("long"))
     for i in range(len(steps) - 2, -1, -1):
         step, right = steps[i], steps[i + 1]
         mine = F.filter(cand(step), lambda e: e["t"] < F.col("_head"))
@@ -128,7 +129,7 @@ def match_windows(p: Prepared, mode: str, ends: DataFrame | None = None) -> Data
             w = w.withColumn(step.name, F.col("_pick")["set"]).withColumn("_after", F.col("_pick")["after"])
             w = w.withColumn("_first", F.col("_pick")["first"])
             w = w.withColumn("_head", F.get(F.col(step.name), F.lit(0))["t"])
-    return finish(checked(w, p, mode), p)
+    return finish(checked(w, q, mode), q)
 
 
 def checked(w: DataFrame, p: Prepared, mode: str) -> DataFrame:

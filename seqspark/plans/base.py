@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from dataclasses import replace as with_fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,12 +48,20 @@ class Prepared:
     chunk: int
     levels: int = 2
     rejected: bool | None = None
+    base: DataFrame | None = None
 
     def flag(self, step: Step) -> Column:
         return F.col(step_flag(self.spec, step))
 
-    def first_flag(self, step: Step) -> Column:
-        return F.col("_f" + step_flag(self.spec, step)[2:])
+    def rows(self, step: Step) -> DataFrame:
+        """The step's events; on an untouched table the bare condition reaches the scan."""
+        if self.base is None:
+            return self.df.filter(self.flag(step))
+        return narrowed(self.base.filter(as_column(step.when)), self.source, self.spec)
+
+    def having(self, df: DataFrame) -> Prepared:
+        """The same with a frame that carries more than the table does."""
+        return with_fields(self, df=df, base=None)
 
     def time(self, tick: Column) -> Column:
         return from_ticks(self.source, self.spec.ts, tick)
@@ -71,6 +80,12 @@ def prepare(events: DataFrame, spec: PatternSpec, *, keep_all: bool = False) ->
     df = events if keep_all else relevant_events(events, spec)
     for name in [spec.ts, *spec.keys]:
         df = df.filter(F.col(name).isNotNull())
+    narrow = narrowed(df, events, spec)
+    return Prepared(narrow, events, spec, within, chunk, 3 if short else 2, None, df)
+
+
+def narrowed(df: DataFrame, events: DataFrame, spec: PatternSpec) -> DataFrame:
+    """Keys, ``_e`` and the step flags of the given rows."""
     event = F.struct(
         ticks(events, spec.ts).alias("t"),
         F.col(spec.id).alias("id"),
@@ -84,8 +99,7 @@ def prepare(events: DataFrame, spec: PatternSpec, *, keep_all: bool = False) ->
     flags = [
         F.coalesce(as_column(s.when), F.lit(False)).alias(step_flag(spec, s)) for s in spec.steps
     ]
-    narrow = df.select(*spec.keys, event.alias("_e"), *flags)
-    return Prepared(narrow, events, spec, within, chunk, 3 if short else 2)
+    return df.select(*spec.keys, event.alias("_e"), *flags)
 
 
 def visible(p: Prepared, step: Step) -> Column:
