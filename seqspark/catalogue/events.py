@@ -97,17 +97,17 @@ def q_delay(spark, d):
     return inject_delay(events(spark, d), 0.4, 120, 240, seed=3).select("event_id", "ts", "ingest_ts")
 
 
-DIS_U = f"({lehmer(5, 1)} * 71)"
+def disorder(prob: float, seed: int) -> str:
+    """Events with ``out_of_order`` and ``arrival_seq``."""
+    u = "(u1 * 71)"
+    return f"""SELECT * EXCLUDE (u0, u1, lag), row_number() OVER (ORDER BY ts + to_minutes(CASE WHEN out_of_order
+      THEN lag ELSE 0 END), event_id) AS arrival_seq FROM (SELECT *, u0 < {prob} AS out_of_order,
+      CASE WHEN {u} < 30 THEN 1 WHEN {u} < 50 THEN 2 WHEN {u} < 60 THEN 3 WHEN {u} < 65 THEN 5 WHEN {u} < 68 THEN 10
+      WHEN {u} < 70 THEN 20 ELSE 60 END AS lag
+      FROM (SELECT *, {lehmer(seed)} AS u0, {lehmer(seed, 1)} AS u1 FROM events))"""
 
 
-@query(
-    "inject_disorder",
-    f"""WITH x AS (SELECT *, {lehmer(5)} < 0.2 AS out_of_order, CASE WHEN {DIS_U} < 30 THEN 1 WHEN {DIS_U} < 50 THEN 2
-      WHEN {DIS_U} < 60 THEN 3 WHEN {DIS_U} < 65 THEN 5 WHEN {DIS_U} < 68 THEN 10 WHEN {DIS_U} < 70 THEN 20
-      ELSE 60 END AS lag FROM events)
-    SELECT event_id, out_of_order, row_number() OVER (ORDER BY ts + to_minutes(CASE WHEN out_of_order THEN lag ELSE 0 END),
-      event_id) AS arrival_seq FROM x""",
-)
+@query("inject_disorder", f"SELECT event_id, out_of_order, arrival_seq FROM ({disorder(0.2, 5)})")
 def q_disorder(spark, d):
     out = inject_disorder(events(spark, d), 0.2, seed=5)
     return out.select("event_id", "out_of_order", F.col("arrival_seq").cast("long").alias("arrival_seq"))
@@ -260,5 +260,5 @@ def q_json(spark, d):
     broken = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{oops "), body)).otherwise(body)
     events(spark, d).select(broken.alias("value")).write.text(path)
     good, _ = quarantine(read_json_events(spark, path))
-    return good.select("event_id", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"),
-                       "symbol", "price", "volume")
+    at = F.convert_timezone(None, F.lit("UTC"), F.col("ts").cast("timestamp_ntz"))
+    return good.select("event_id", at.alias("ts"), "symbol", "price", "volume")

@@ -26,7 +26,7 @@ from ..operators import (
     watermark_delay,
 )
 from ..sources import EventSource, source_table
-from .matching import COMPACT, FLAT, MAXIMAL, any_sql, next_sql
+from .matching import COMPACT, MAXIMAL, any_sql, next_sql
 from .registry import ARR, A, B, C, arrivals, events, flat, ids, pattern, query
 
 TYPES = ("view", "click", "purchase", "signup", "error")
@@ -147,12 +147,6 @@ def q_watermark(spark, d):
     return watermark_delay(global_stats(scored(spark, d)), 259_200_000.0)
 
 
-# The late events, and the time seen so far when each one arrives.
-SEEN = f"""{LATE}, seen AS (SELECT *, max(ts) OVER (ORDER BY arrival_seq) AS latest FROM st),
-bound AS (SELECT min(ts) AS oldest FROM arr)"""
-DAY = 86_400_000_000
-
-
 @query(
     "affected_range",
     """SELECT event_id, greatest(lo, oldest) AS from_ts, least(hi, latest) AS to_ts FROM (
@@ -219,7 +213,7 @@ def old_and_new(spark, d, spec):
 
 def on_time(sql: str) -> str:
     """The same SQL over the events that were on time."""
-    return sql.replace("FROM events", "FROM (SELECT * FROM main.events WHERE event_id % 5 <> 0)")
+    return sql.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 5 <> 0)")
 
 
 CHANGES = """old_m AS ({old}), new_m AS ({new}),

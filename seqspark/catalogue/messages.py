@@ -25,7 +25,8 @@ def text():
 
 
 def stamp(col="ts"):
-    return F.to_timestamp_ntz(F.date_format(col, "yyyy-MM-dd HH:mm:ss")).alias("ts")
+    at = F.col(col) if isinstance(col, str) else col
+    return F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz")).alias("ts")
 
 
 def abc():

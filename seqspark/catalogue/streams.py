@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import accuracy_under_disorder, apply_changelog, match
 from ..sources import write_changelog, write_matches
 from ..streaming import current_matches, stream_match, stream_match_batch, stream_sequence_append
+from .events import disorder
 from .matching import COMPACT, MAXIMAL, any_sql, next_sql
 from .registry import A, B, C, arrivals, events, flat, pattern, query, scratch
 
@@ -102,7 +103,35 @@ def q_write(spark, d):
     return flat(spark.read.parquet(path))
 
 
-@query("accuracy_under_disorder")
+LEVELS = (0.2, 0.7)
+
+
+def accuracy_sql() -> str:
+    """Per level and query: the matches of every portion so far against the final ones."""
+    sides = {"any": any_sql(1), "next": next_sql(1)}
+    ctes, parts = [], []
+    for p in LEVELS:
+        arr = f"arr{int(p * 10)}"
+        ctes.append(
+            f"""{arr} AS (SELECT *, least((arrival_seq - 1) // (SELECT count(*) // 3 FROM events), 2) AS part
+            FROM ({disorder(p, 0)}))"""
+        )
+        for name, sql in sides.items():
+            rounds = []
+            for n in range(3):
+                seen = f"(SELECT * FROM {arr} WHERE part <= {n})"
+                rounds.append(f"SELECT ids FROM ({sql.replace('FROM events', 'FROM ' + seen).replace('JOIN events', 'JOIN ' + seen)})")
+            parts.append(
+                f"""SELECT {p}::DOUBLE AS prob, '{name}' AS query_id,
+                count(*) FILTER (f.ids IS NOT NULL AND t.ids IS NOT NULL) AS tp,
+                count(*) FILTER (t.ids IS NULL) AS fp, count(*) FILTER (f.ids IS NULL) AS fn
+                FROM ({" UNION ".join(rounds)}) f FULL JOIN (SELECT DISTINCT ids FROM ({sql})) t ON f.ids = t.ids"""
+            )
+    return f"""WITH {", ".join(ctes)} SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall
+    FROM ({" UNION ALL ".join(parts)})"""
+
+
+@query("accuracy_under_disorder", accuracy_sql())
 def q_accuracy(spark, d):
     specs = {
         "any": pattern(A(), B(), C(), days=1),
@@ -110,4 +139,4 @@ def q_accuracy(spark, d):
     }
     e = events(spark, d)
     portion = e.agg((F.count(F.lit(1)) / 3).cast("long")).scalar()
-    return accuracy_under_disorder(e, specs, [0.2, 0.7], rounds=3, rows_per_round=portion)
+    return accuracy_under_disorder(e, specs, LEVELS, rounds=3, rows_per_round=portion)

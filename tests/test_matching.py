@@ -156,3 +156,16 @@ def test_subset_guard(spark):
     with pytest.raises(Exception, match="subsets"):
         match(df, spec(ABPC, 50, max_subset_candidates=4)).collect()
     assert count_matches(df, spec(ABPC, 50)).first().n_matches == 2**18 - 1
+
+
+def test_condition_may_be_a_pandas_udf(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("boolean")
+    def is_b(kind: pd.Series) -> pd.Series:
+        return kind.str.upper() == "B"
+
+    df = frame(spark, named(WORKED))
+    steps = [Step("a", "kind = 'a'"), Step("b", is_b("kind")), Step("c", "kind = 'c'")]
+    assert len(id_sets(match(df, PatternSpec(steps, within=10)))) == 15
