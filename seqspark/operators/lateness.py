@@ -152,7 +152,8 @@ def affected_ends(late: DataFrame, events: DataFrame, spec: PatternSpec) -> Data
     the ends up to one window after it, and the event itself when it is an end.
     """
     last = spec.positive[-1]
-    p, q = prepare(late, spec), prepare(events, spec)
+    p = prepare(late, spec, keep_all=spec.policy == "contiguous")
+    q = prepare(events, spec)
     width = max(1, p.within)
     ends = q.rows(last).select(*spec.keys, F.col("_e")["t"].alias("_t"), F.col("_e")["id"].alias("end_id"))
     own = p.rows(last).select(*spec.keys, F.col("_e")["id"].alias("end_id"))

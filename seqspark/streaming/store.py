@@ -22,6 +22,9 @@ from ..plans.base import relevant_events
 from ..spec import PatternSpec
 
 
+HOUR = 3_600_000_000
+
+
 def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Revisions older than ``before``; None while there is none."""
     try:
@@ -31,6 +34,13 @@ def read_store(spark: SparkSession, path: str, before: int | None = None) -> Dat
     return df if before is None else df.filter(F.col("revision") < before)
 
 
+def bucket_width(events: DataFrame, spec: PatternSpec) -> int:
+    """Width of a folder of stored events: the window, for timestamps at least an hour."""
+    width = max(1, duration_ticks(events, spec.ts, spec.within))
+    timestamp = "timestamp" in events.schema[spec.ts].dataType.simpleString()
+    return max(width, HOUR) if timestamp else width
+
+
 def current_matches(spark: SparkSession, store: str, spec: PatternSpec) -> DataFrame:
     """The matches after all corrections so far."""
     return apply_changelog(None, spark.read.parquet(f"{store}/changes"), spec.keys)
@@ -47,25 +57,24 @@ def correct(
         dropped.write.mode("overwrite").parquet(f"{store}/dropped/revision={revision}")
     used = batch if spec.policy == "contiguous" else relevant_events(batch, spec)
     used = used.dropDuplicates([*spec.keys, spec.id])
-    width = max(1, duration_ticks(used, spec.ts, spec.within))
+    width = bucket_width(used, spec)
     fresh = used.withColumn("time_bucket", bucket_of(ticks(used, spec.ts), width))
+    span = fresh.agg(F.min("time_bucket"), F.max("time_bucket")).first()
+    if span[0] is None:
+        return
     seen = read_store(spark, f"{store}/events", revision)
     if seen is not None:
+        # Ends that can change lie up to one window ahead, their events up to three back.
+        seen = seen.filter(F.col("time_bucket").between(span[0] - 3, span[1] + 1))
         known = seen.select("time_bucket", *spec.keys, spec.id)
         fresh = fresh.join(known, ["time_bucket", *spec.keys, spec.id], "left_anti")
     here = f"{store}/events/revision={revision}"
     fresh.write.mode("overwrite").partitionBy("time_bucket").parquet(here)
-
     fresh = spark.read.schema(fresh.schema).parquet(here)
-    span = fresh.agg(F.min("time_bucket"), F.max("time_bucket")).first()
-    if span[0] is None:
-        return
-    # Ends that can change lie up to one window ahead, their events up to three back.
-    near = F.col("time_bucket").between(span[0] - 3, span[1] + 1)
     columns = [c for c in fresh.columns if c != "time_bucket"]
     events = fresh.select(*columns)
     if seen is not None:
-        events = events.unionByName(seen.filter(near).select(*columns))
+        events = events.unionByName(seen.select(*columns))
     ends = affected_ends(fresh.select(*columns), events, spec).persist()
     # The plans below read these events several times.
     around = near_ends(events, ends, spec).persist()
