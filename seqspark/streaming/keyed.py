@@ -31,8 +31,11 @@ def end_matches(events, end, steps, within, policy):
     inside = [e for e in events if end[0] - within <= e[0] < end[0]]
     of = [[e for e in inside if e[2][i]] for i in range(last + 1)]
 
+    # Of several ends at one time the lowest id is the next one.
+    ends = of[last] + [e for e in events if e[0] == end[0] and e[1] <= end[1] and e[2][last]]
+
     def after(i, t):
-        return next((e for e in of[i] + ([end] if i == last else []) if e[0] > t), None)
+        return next((e for e in (ends if i == last else of[i]) if e[0] > t), None)
 
     if policy == "next":
         for a in of[0]:

@@ -35,7 +35,7 @@ def test_store_survives_restart(spark, tmp_path):
 
 @pytest.mark.parametrize("text,policy,mode", [("a+ b+ c", "any", "maximal"), ("a b+ c", "next", "maximal")])
 def test_keyed_state_survives_restart(spark, tmp_path, text, policy, mode):
-    events = random_events(8, n=70, keys=2, span=24)
+    events = random_events(8, n=100, keys=1, kinds="abc")
     s = spec(text, "7 min", policy=policy, mode=mode)
     inbox = tmp_path / "in"
 
