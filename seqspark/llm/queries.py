@@ -11,6 +11,7 @@ from .boilerplate import dedup_lines
 from .common import table
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .oracles import ORACLES
 from .packing import pack_documents
 from .pages import main_text
 from .quality import quality_rules
@@ -19,8 +20,9 @@ from .sharding import uniform_shards
 from .similarity import jaccard_groups
 from .vectors import dedup_vectors
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def tokenizer() -> str:
