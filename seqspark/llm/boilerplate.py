@@ -49,16 +49,18 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
     return wide.join(often.select("__h1", "__h2", "__first"), ["__h1", "__h2"])
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 5, keep_first: bool = True, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 5, keep_first: bool = True, text: str = "text", site: str = "source", key: str = "doc_id", reread: bool = False) -> DataFrame:
     """Remove from every text the lines that stand on ``min_sites`` or more distinct sites.
 
     Returns all input columns with the cleaned text, and ``n_lines``, ``n_removed`` (columns of these names are
     replaced). With ``keep_first`` the first occurrence in order of (key, place) stays, so no text is lost everywhere.
     Lines are compared whole; lines without a word are never removed. Null texts stay null with 0 lines; null sites
     are no site; rows with one key are told apart by a row number, and equal rows are separate; ties in the key go by
-    row number; an empty table gives no rows. Every document stays.
+    row number; an empty table gives no rows. Every document stays. ``reread`` says that ``docs`` is a table of files,
+    which gives the same rows in the same order each time it is read; otherwise it is written once first.
     """
     docs = replace_columns(docs, ["n_lines", "n_removed", "__row", "__bad", "__order"])
+    docs = docs if reread else keep(docs, "documents")
     # the row number starts with the key's order, so min(row, place) is the first occurrence
     rows = docs.withColumn("__order", F.monotonically_increasing_id())
     rows = rows.withColumn("__row", F.struct(F.col(key).alias("k"), F.col("__order").alias("r"))).drop("__order")

@@ -38,7 +38,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_groups(table(spark, sf_dir, "documents"), reread=True)
 
 
 @query
@@ -102,7 +102,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"), reread=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, replace_columns
+from .common import keep
 from .components import components
 from .shingles import overlap, set_key, shingle_sets
 
@@ -292,7 +292,7 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
     return rows.select("grp", "i", "j", "block", "node", "comp", "n", "sig").mapInPandas(run, "hub long, node long").distinct()
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", reread: bool = False) -> DataFrame:
     """Per row: ``key``, n_shingles (size of its set) and component_id, the smallest key reachable by links.
 
     Two texts are linked when the Jaccard similarity of their sets is 3/4 or more; the result is that of comparing all
@@ -303,10 +303,11 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null and empty texts have n_shingles 0 and are their own component; a null key is carried (component_id is the
     smallest key that is not null, else null); rows with one key are compared each by itself; repeated rows fall
-    together; an empty table gives no rows; other columns are not carried. ``docs`` must give the same rows in the
-    same order when read twice (a table of files does).
+    together; an empty table gives no rows; other columns are not carried. ``reread`` says that ``docs`` is a table of
+    files, which gives the same rows in the same order each time it is read; otherwise it is written once first.
     """
-    docs = replace_columns(docs, ["__row", "__key"]).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    docs = docs if reread else keep(docs, "documents")
     docs = docs.withColumn("__row", F.monotonically_increasing_id())
     common = common_shingles(docs, docs.count(), "__text")
     rows = describe(docs, common, "__text")

@@ -118,4 +118,4 @@ def test_components(spark, edges):
 
 def test_repeated_rows_fall_together(spark):
     df = spark.range(300).select((F.col("id") % 3).alias("doc_id"), F.lit("the same few words in all of the rows").alias("text"))
-    assert {tuple(r) for r in jaccard_groups(df).collect()} == {(0, 4, 0), (1, 4, 0), (2, 4, 0)}
+    assert {tuple(r) for r in jaccard_groups(df).collect()} == {(0, 5, 0), (1, 5, 0), (2, 5, 0)}
