@@ -243,6 +243,21 @@ def q_ohlcv(spark, d):
     return read_ohlcv_events(spark, path).drop("event_id").na.fill(-1, ["symbol"])
 
 
+@query(
+    "ohlcv_event_ids",
+    f"""SELECT {TICKER} AS key, count(*) AS ticks, count(DISTINCT (event_id // 50, value, user_id)) AS ids FROM events
+    GROUP BY 1""",
+)
+def q_ohlcv_ids(spark, d):
+    """Fifty ticks share a time; ids tell all of them apart that differ in a field."""
+    path = scratch(spark)
+    v = F.col("value")
+    cols = [F.expr(TICKER), F.floor(F.col("event_id") / 50), v, v + 1, v - 1, v + 0.5, F.col("user_id")]
+    events(spark, d).select(F.concat_ws(",", *[c.cast("string") for c in cols]).alias("value")).write.text(path)
+    ids = read_ohlcv_events(spark, path).groupBy("key")
+    return ids.agg(F.count(F.lit(1)).alias("ticks"), F.countDistinct("event_id").alias("ids"))
+
+
 @query(
     "read_json_events",
     """SELECT event_id, timezone('EET', date_trunc('second', ts)) AT TIME ZONE 'UTC' AS ts, event_type AS symbol,

@@ -141,7 +141,19 @@ def mixed(spark, d):
     UNION ALL SELECT * FROM ({LOCATION_SQL}) WHERE arrival_seq % 5 = 3""",
 )
 def q_mixed(spark, d):
-    return plain(normalise(mixed(spark, d)))
+    return plain(quarantine(normalise(mixed(spark, d)))[0])
+
+
+@query(
+    "normalise_rejected",
+    f"""SELECT event_id AS arrival_seq, {KIND} AS kind, CASE WHEN event_id % 35 = 0 THEN '{{"id": 1, "price": "oops"}}'
+    ELSE '{{"x": 1}}' END AS text FROM events WHERE event_id % 35 = 0 OR event_id % 5 = 4""",
+)
+def q_rejected(spark, d):
+    """Unknown kinds, and letters whose price is no number."""
+    damaged = F.when(F.col("arrival_seq") % 35 == 0, '{"id": 1, "price": "oops"}').otherwise(F.col("value"))
+    bad = quarantine(normalise(mixed(spark, d).withColumn("value", damaged)))[1]
+    return bad.select("arrival_seq", "kind", F.col("_raw").alias("text"))
 
 
 @query(

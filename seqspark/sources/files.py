@@ -48,10 +48,12 @@ def ticker_code(col: str) -> Column:
 def read_ohlcv_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """``key,ts,open,peak,low,close,volume`` with a ticker code and an id.
 
-    The id is a hash of the row's key and time, so it does not depend on file splits.
+    The id is 128 bits of the whole row, so ticks of one ticker and time differ, rows that are equal in every field are
+    one event, and nothing depends on file splits.
     """
     df = delimited(spark, path, OHLCV, streaming)
-    return df.select(F.xxhash64("key", "ts").alias("event_id"), "*", ticker_code("key").alias("symbol"))
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.select(F.md5(row).alias("event_id"), "*", ticker_code("key").alias("symbol"))
 
 
 def read_json_events(spark: SparkSession, path: str, streaming: bool = False, tz: str = "EET") -> DataFrame:

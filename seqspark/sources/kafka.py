@@ -21,11 +21,16 @@ def kafka_options(servers: str, topics: Sequence[str], headers: bool = False) ->
 
 
 def kafka_messages(raw: DataFrame, headers: bool = False) -> DataFrame:
-    """Kafka rows as (kind, value, arrival_seq, ingest_ts, key[, headers])."""
+    """Kafka rows as (kind, value, arrival_seq, ingest_ts, partition, offset, key[, headers]).
+
+    Offsets order one partition only, so ``arrival_seq`` is (ingest time, topic, partition, offset): unique, and the
+    order of arrival over all partitions.
+    """
     extra = ["headers"] if headers else []
+    order = F.struct(F.unix_micros("timestamp").alias("at"), "topic", "partition", "offset")
     return raw.select(
         F.col("topic").alias("kind"), F.col("value").cast("string").alias("value"),
-        F.col("offset").alias("arrival_seq"), F.col("timestamp").alias("ingest_ts"),
+        order.alias("arrival_seq"), F.col("timestamp").alias("ingest_ts"), "partition", "offset",
         F.col("key").cast("string").alias("key"), *extra,
     )
 
@@ -41,8 +46,17 @@ def read_kafka_events(
 
 def replay_options(servers: str, topics: Sequence[str], start_ms: int, end_ms: int) -> dict[str, str]:
     """Batch options that read the records between two times."""
-    span = {"startingTimestamp": str(start_ms), "endingTimestamp": str(end_ms)}
-    return {**kafka_options(servers, topics), **span}
+    options = kafka_options(servers, topics)
+    del options["startingOffsets"]  # a time and an offset to start from exclude each other
+    return {**options, "startingTimestamp": str(start_ms), "endingTimestamp": str(end_ms)}
+
+
+def read_kafka_range(
+    spark: SparkSession, servers: str, topics: Sequence[str], start_ms: int, end_ms: int, headers: bool = False
+) -> DataFrame:
+    """The records between two times, as a batch."""
+    options = replay_options(servers, topics, start_ms, end_ms) | {"includeHeaders": str(headers).lower()}
+    return kafka_messages(spark.read.format("kafka").options(**options).load(), headers)
 
 
 def replay_range(events: DataFrame, start: Column, end: Column, types: Sequence[str] = (), ts: str = "ts") -> DataFrame:

@@ -18,6 +18,7 @@ POSITION = (
     "total_activations:int,recent_activations:int>"
 )
 TZ = "EET"
+PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 ABC = "id long, timestamp string, symbol string, price int, volume double"
 FITBIT = "fitbit struct<timestamp:string,steps:double,stairs:double,naps:double>"
@@ -105,18 +106,29 @@ MESSAGE_KINDS: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
 
 
 def explode_events(df: DataFrame, kind: Column, names, json_col: str, seq: str) -> DataFrame:
-    """Parse each message once, by the schema of its kind, then build its events."""
-    rest = [c for c in df.columns if c != json_col]
+    """Parse each message once, by the schema of its kind, then build its events.
+
+    No message is lost: one of an unknown kind, or whose text does not parse, gives one row without event, and one
+    with a damaged field keeps its text in ``_corrupt_record`` on all its events; ``quarantine`` returns both.
+    """
+    rest = [c for c in df.columns if c not in (json_col, "_corrupt_record")]
     text = F.col(json_col)
     parsed = df.select(
         *rest, text.alias("_raw"),
-        *[F.when(kind == n, F.from_json(text, MESSAGE_KINDS[n][0])).alias(f"_m_{n}") for n in names],
+        *[
+            F.when(kind == n, F.from_json(text, f"{MESSAGE_KINDS[n][0]}, _corrupt_record string", PERMISSIVE)).alias(f"_m_{n}")
+            for n in names
+        ],
         kind.alias("_kind"),
     )
     made = F.lit(None)
     for n in names:
         made = F.when(F.col("_kind") == n, MESSAGE_KINDS[n][1](F.col(f"_m_{n}"), F.col(seq))).otherwise(made)
-    return parsed.select(*rest, F.explode(made).alias("_ev"), "_raw").select(*rest, "_ev.*", "_raw")
+    damaged = F.coalesce(*[F.col(f"_m_{n}")["_corrupt_record"] for n in names])
+    known = F.coalesce(F.col("_kind").isin(*names), F.lit(False))
+    damaged = F.when(known, damaged).otherwise(F.coalesce("_raw", F.lit("")))
+    out = parsed.select(*rest, F.explode_outer(made).alias("_ev"), "_raw", damaged.alias("_corrupt_record"))
+    return out.select(*rest, "_ev.*", "_raw", "_corrupt_record")
 
 
 def normalise_abc(df: DataFrame, json_col: str = "value", seq: str = "arrival_seq") -> DataFrame:
@@ -143,7 +155,7 @@ def normalise(
     df: DataFrame, kind_col: str = "kind", json_col: str = "value", seq: str = "arrival_seq"
 ) -> DataFrame:
     """Mixed messages: the parser is picked per row by the kind (case of its first letter
-    does not matter).  Rows of an unknown kind give no event."""
+    does not matter).  Rows of an unknown kind have no event and go to ``quarantine``."""
     kind = capitalise_source(kind_col)
     kind = F.when(F.upper(kind) == "ABC", "Abc").when(kind == "Locations", "Location").otherwise(kind)
     return explode_events(df, kind, ["Abc", "Fitbit", "Scale", "Location"], json_col, seq)

@@ -32,6 +32,10 @@ def test_check_and_ohlcv(spark, tmp_path):
     rows = sq.read_ohlcv_events(spark, str(tmp_path / "o")).orderBy("ts").collect()
     assert [(r.symbol, r.close) for r in rows] == [(2, 1.75), (None, 2.0)]
     assert rows[0].event_id != rows[1].event_id
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x").write_text("FB,10,1,2,1,1,100\nFB,10,1,2,1,1,200\nFB,10,1,2,1,,200\n")
+    ids = [r.event_id for r in sq.read_ohlcv_events(spark, str(tmp_path / "t")).collect()]
+    assert len(set(ids)) == 3
 
 
 def test_json_and_quarantine(spark, tmp_path):
@@ -60,7 +64,9 @@ def test_every_kind(spark):
         (7, "ABC", message(id=5, timestamp=at, symbol="c", price=1, volume=1.0)),
     ]
     df = spark.createDataFrame(rows, "arrival_seq long, kind string, value string")
-    out = {r.name: r for r in sq.normalise(df).collect()}
+    good, bad = sq.quarantine(sq.normalise(df))
+    assert sorted((r.arrival_seq, r._raw) for r in bad.collect()) == [(5, "{}"), (6, message(Terminate=True, message="stop"))]
+    out = {r.name: r for r in good.collect()}
     assert set(out) == {"b4", "steps_2", "stairs_2", "naps_2", "weight_3", "height_3", "bmi_3", "bmiCat_3", "location_4", "c5"}
     assert (out["b4"].event_type, out["b4"].value, out["b4"].symbol, out["b4"].source) == ("b", 9.5, 3, "Abc")
     assert (out["naps_2"].event_type, out["naps_2"].symbol, out["naps_2"].value) == ("Naps", 4, 1.0)
@@ -73,6 +79,12 @@ def test_every_kind(spark):
     assert sq.until_sentinel(before).count() == 5
 
 
+def test_damaged_fields_are_rejected(spark):
+    rows = [(1, message(id=1, timestamp="2025-07-01T10:00:00", symbol="b", price="oops")), (2, "{broken"), (3, None)]
+    good, bad = sq.quarantine(sq.normalise_abc(spark.createDataFrame(rows, "arrival_seq long, value string")))
+    assert good.count() == 0 and sorted((r.arrival_seq, r._raw) for r in bad.collect()) == [(n, v) for n, v in rows]
+
+
 def test_topics_and_kafka_options(spark):
     df = spark.createDataFrame([('{"fitbit": {}}',), ('{"scale": 1}',), ('{"location": "x"}',), ('{"id": 1}',)], "value string")
     assert [r.topic for r in sq.with_topic(df).collect()] == ["Fitbit", "Scale", "Locations", "Abc"]
@@ -81,10 +93,11 @@ def test_topics_and_kafka_options(spark):
     assert options["includeHeaders"] == "true"
     assert replay_options("h", ["x"], 5, 9)["endingTimestamp"] == "9"
     raw = spark.createDataFrame(
-        [("Abc", bytearray(b"{}"), bytearray(b"k"), 3, dt.datetime(2024, 1, 1))],
-        "topic string, value binary, key binary, offset long, timestamp timestamp",
+        [("Abc", bytearray(b"{}"), bytearray(b"k"), p, o, dt.datetime(2024, 1, 1, h)) for p, o, h in ((1, 3, 5), (0, 7, 4), (0, 8, 5))],
+        "topic string, value binary, key binary, partition int, offset long, timestamp timestamp",
     )
-    assert tuple(kafka_messages(raw).first())[:3] == ("Abc", "{}", 3)
+    got = kafka_messages(raw).orderBy("arrival_seq").collect()
+    assert [(r.kind, r.value, r.partition, r.offset) for r in got] == [("Abc", "{}", 0, 7), ("Abc", "{}", 0, 8), ("Abc", "{}", 1, 3)]
 
 
 def test_unmap_refuses_unknown(spark):
