@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -39,9 +37,9 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder on storage all executors share (the checkpoint folder)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seq-")
-    return os.path.join(base, f"seq-{uuid.uuid4().hex}")
+    """A new folder on storage all executors share: below the checkpoint folder, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return f"{base.rstrip('/')}/seq-{uuid.uuid4().hex}"
 
 
 def A(**kw) -> Step:

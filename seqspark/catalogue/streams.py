@@ -14,21 +14,18 @@ from .events import disorder
 from .matching import COMPACT, MAXIMAL, any_sql, next_sql
 from .registry import A, B, C, arrivals, events, flat, pattern, query, scratch
 
-PORTIONS = 3
+PORTIONS, FILES = 3, 4
 
 
 def event_stream(spark, d, path):
-    """The events in arrival order, written as a few files a stream reads one by one."""
-    rows = arrivals(spark, d).withColumn("ts", F.to_timestamp("ts"))
-    size = rows.agg((F.count(F.lit(1)) / PORTIONS).cast("long") + 1).scalar()
-    rows = rows.withColumn("portion", F.floor((F.col("arrival_seq") - 1) / size) + 1)
-    rows.write.partitionBy("portion").parquet(f"{path}/parts")
-    files = 0
-    for n in range(1, PORTIONS + 1):
-        spark.read.parquet(f"{path}/parts/portion={n}").write.mode("append").parquet(f"{path}/in")
-        files = max(files, len(spark.read.parquet(f"{path}/parts/portion={n}").inputFiles()))
-    schema = rows.drop("portion").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+    """The events in arrival order, one write of FILES files per portion; a stream reads a portion at a time."""
+    rows = arrivals(spark, d).withColumn("ts", F.to_timestamp("ts")).persist()
+    size = rows.agg((F.count(F.lit(1)) / PORTIONS).cast("long") + 1).first()[0]
+    portion = F.floor((F.col("arrival_seq") - 1) / size)
+    for n in range(PORTIONS):
+        rows.where(portion == n).repartition(FILES).write.mode("append").parquet(f"{path}/in")
+    rows.unpersist()
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
 
 
 def finished(query):
