@@ -19,8 +19,12 @@ def bound_steps(p: Prepared, upto: Step) -> dict[str, Column]:
     return out
 
 
-def greedy(p: Prepared, events: Column, step: Step) -> Column:
-    """Walk the candidates in time order and take each one the conditions accept."""
+def walk(p: Prepared, step: Step, cross: bool = True):
+    """(start, accept, add): the state of the events taken, whether it accepts one more, and the state with it.
+
+    ``n``, ``total``, ``lo`` and ``hi`` skip null values. Without ``cross`` only conditions on the step's own events
+    count.
+    """
     kind = p.df.schema["_e"].dataType
     attr = step.agg_on or "t"
     number = kind[attr].dataType.simpleString() if step.agg_on else "bigint"
@@ -40,7 +44,7 @@ def greedy(p: Prepared, events: Column, step: Step) -> Column:
     )
 
     def accept(acc, e):
-        fresh = acc["n"] == 0
+        fresh = F.size(acc["taken"]) == 0
         ok = []
         if step.first_when is not None:
             ok.append(~fresh | e[f"_first_{step.name}"])
@@ -48,23 +52,30 @@ def greedy(p: Prepared, events: Column, step: Step) -> Column:
             ok.append(fresh | step.iter_when(e, F.element_at(acc["taken"], -1)))
         if step.agg_when:
             ok.append(fresh | step.agg_when(e, acc))
-        if step.cross_when:
+        if step.cross_when and cross:
             ok.append(step.cross_when(e, bound_steps(p, step)))
-        return F.coalesce(both(ok), F.lit(False))
+        return F.coalesce(both(ok), F.lit(False)) if ok else F.lit(True)
 
-    def merge(acc, e):
+    def add(acc, e):
         v = e[attr]
-        more = state(
+        return state(
             F.concat(acc["taken"], F.array(e)),
-            acc["n"] + 1,
-            acc["total"] + v.cast("double"),
+            acc["n"] + v.isNotNull().cast("int"),
+            acc["total"] + F.coalesce(v.cast("double"), F.lit(0.0)),
             F.least(acc["lo"], v),
             F.greatest(acc["hi"], v),
             v,
         )
-        return F.when(accept(acc, e), more).otherwise(acc)
 
-    return F.aggregate(events, start, merge, lambda acc: acc["taken"])
+    return start, accept, add
+
+
+def greedy(p: Prepared, events: Column, step: Step) -> Column:
+    """Walk the candidates in time order and take each one the conditions accept."""
+    start, accept, add = walk(p, step)
+    return F.aggregate(
+        events, start, lambda acc, e: F.when(accept(acc, e), add(acc, e)).otherwise(acc), lambda acc: acc["taken"]
+    )
 
 
 def holds(p: Prepared, events: Column, step: Step) -> Column:

@@ -16,7 +16,7 @@ from ..plans.joins import meet_on
 from ..plans.scans import running
 from ..spec import Step
 from .combos import early_frame, ends_frame
-from .folds import bound_steps, depends, greedy, holds
+from .folds import bound_steps, depends, greedy, holds, walk
 
 
 def cand(step: Step) -> Column:
@@ -83,16 +83,26 @@ def maximal_sets(p: Prepared, step: Step, mine: Column, end: Column) -> Column:
 
 
 def all_subsets(p: Prepared, step: Step, mine: Column) -> Column:
-    """Every non-empty subset of the candidates; refuses sets that are too large."""
+    """Every non-empty subset of the candidates that the step's own conditions accept event by event.
+
+    Subsets grow in time order and a rejected one is never continued, so the work follows the valid subsets, not all
+    of them. ``max_subset_candidates`` is a guard for those who want one; there is none by default.
+    """
     limit = p.spec.max_subset_candidates
-    n = F.size(mine)
-    text = F.concat(
-        F.lit(f"step {step.name}: "), n.cast("string"),
-        F.lit(f" candidates in one window, all subsets are listed up to {limit}"),
-    )
-    top = F.when(n <= limit, F.pow(F.lit(2.0), n).cast("long")).otherwise(F.raise_error(text).cast("long"))
-    numbers = F.when(n > 0, F.sequence(F.lit(1).cast("long"), top - 1))
-    return F.transform(numbers, lambda bits: F.filter(mine, lambda e, i: F.getbit(bits, i) == 1))
+    if limit is not None:
+        n = F.size(mine)
+        text = F.concat(
+            F.lit(f"step {step.name}: "), n.cast("string"),
+            F.lit(f" candidates in one window, all subsets are listed up to {limit}"),
+        )
+        mine = F.when(n > limit, F.raise_error(text).cast(f"array<{p.df.schema['_e'].dataType.simpleString()}>")).otherwise(mine)
+    start, accept, add = walk(p, step, cross=False)
+
+    def grow(found, e):
+        return F.concat(found, F.transform(F.filter(found, lambda s: accept(s, e)), lambda s: add(s, e)))
+
+    found = F.aggregate(mine, F.array(start), grow)
+    return F.filter(F.transform(found, lambda s: s["taken"]), lambda s: F.size(s) > 0)
 
 
 def match_windows(p: Prepared, mode: str, ends: DataFrame | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ class PatternSpec:
     ts: str = "ts"
     id: str = "event_id"
     payload: Sequence[str] = ()
-    max_subset_candidates: int = 16
+    max_subset_candidates: int | None = None
     chunk: timedelta | str | int | None = None
     salt: int = 1
 

@@ -158,6 +158,23 @@ def test_subset_guard(spark):
     assert count_matches(df, spec(ABPC, 50)).first().n_matches == 2**18 - 1
 
 
+def test_only_valid_subsets_grow(spark):
+    """Eighteen falling candidates under a rising condition: the valid sets are those of one event."""
+    events = [{"event_id": i, "ts": i, "kind": k, "key": 1, "v": 100 - i} for i, k in enumerate("a" + "b" * 18 + "c", 1)]
+    df = spark.createDataFrame(events, "event_id long, ts long, kind string, key int, v int")
+    b = Step("b", "kind = 'b'", kleene=True, iter_when=lambda e, last: e["v"] > last["v"])
+    s = PatternSpec([Step("a", "kind = 'a'"), b, Step("c", "kind = 'c'")], within=50, payload=["v"])
+    assert id_sets(match(df, s)) == {(1, i, 20) for i in range(2, 20)}
+
+
+def test_average_skips_nulls(spark):
+    rows = [(1, 1, "a", None), (2, 2, "b", 4), (3, 3, "b", None), (4, 4, "b", 6), (5, 5, "c", None)]
+    df = spark.createDataFrame(rows, "event_id long, ts long, kind string, v int")
+    b = Step("b", "kind = 'b'", kleene=True, agg_when=lambda e, s: (s["n"] == 0) | (e["v"] > s["total"] / s["n"]), agg_on="v")
+    s = PatternSpec([Step("a", "kind = 'a'"), b, Step("c", "kind = 'c'")], within=50, payload=["v"])
+    assert (1, 2, 4, 5) in id_sets(match(df, s))
+
+
 def test_condition_may_be_a_pandas_udf(spark):
     import pandas as pd
     from pyspark.sql import functions as F
