@@ -45,6 +45,12 @@ def duration_ticks(df: DataFrame, name: str, duration: timedelta | str | int) ->
     return int(duration)
 
 
+def in_ms(df: DataFrame, name: str, tick: Column) -> Column:
+    """Ticks of a time column as milliseconds; numeric time columns keep their own unit."""
+    per = 1 if isinstance(df.schema[name].dataType, T.IntegralType) else 1000
+    return tick / F.lit(float(per))
+
+
 def bucket_of(tick: Column, width: int) -> Column:
     """Exact floor(tick / width) on longs."""
     w = F.lit(int(width)).cast("long")

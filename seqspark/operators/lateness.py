@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import bucket_of, duration_ticks, from_ticks, ticks
+from ..functions.time import in_ms, bucket_of, duration_ticks, from_ticks, ticks
 from ..plans.base import as_column, prepare
 from ..plans.joins import early_side, end_side
 from ..plans.scans import running
@@ -22,12 +22,6 @@ IN_ORDER, MINOR, LATE = "in_order", "minor", "late"
 ARRIVALS = 1_000_000
 
 
-def ms(df: DataFrame, ts: str, tick: Column) -> Column:
-    """Ticks as milliseconds; numeric time columns keep their own unit."""
-    per = duration_ticks(df, ts, "1 ms") if "timestamp" in df.schema[ts].dataType.simpleString() else 1
-    return tick / F.lit(float(per))
-
-
 def running_max_ts(df: DataFrame, by=("source", "event_type"), *, ts="ts", order="arrival_seq", chunk=ARRIVALS):
     """The latest event time seen so far among the rows with the same ``by``."""
     timed = df.withColumn("_t", ticks(df, ts))
@@ -46,7 +40,7 @@ def classify_lateness(
     """
     timed = df.withColumn("_t", ticks(df, ts))
     out = running(timed, list(by), order, chunk, {"_max": ("max", F.col("_t"), False)})
-    out = out.withColumn("lateness_ms", ms(df, ts, F.col("_max") - F.col("_t"))).drop("_t", "_max")
+    out = out.withColumn("lateness_ms", in_ms(df, ts, F.col("_max") - F.col("_t"))).drop("_t", "_max")
     known = [c for c in sources.columns if c != "est_interval_ms"]
     out = out.join(sources, known, "left")
     lag = F.col("lateness_ms")
@@ -58,7 +52,7 @@ def observed_intervals(df: DataFrame, by=("event_type",), *, ts="ts") -> DataFra
     """Mean gap between events per type (``actual_interval_ms``)."""
     t = ticks(df, ts)
     gap = (F.max(t) - F.min(t)) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))
-    return df.groupBy(*by).agg(ms(df, ts, gap).alias("actual_interval_ms"))
+    return df.groupBy(*by).agg(in_ms(df, ts, gap).alias("actual_interval_ms"))
 
 
 def lateness_score(
@@ -70,7 +64,7 @@ def lateness_score(
     ``actual`` (from :func:`observed_intervals`) switches the second term on.  In-order
     events score 0, minor ones have no score.
     """
-    window = ms(df, ts, F.lit(float(duration_ticks(df, ts, within))))
+    window = in_ms(df, ts, F.lit(float(duration_ticks(df, ts, within))))
     rate = F.coalesce(F.col("est_interval_ms"), F.lit(0)).cast("double")
     gap = F.lit(0.0)
     out = df

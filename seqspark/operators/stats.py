@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..functions.time import ticks
+from ..functions.time import bucket_of, in_ms, ticks
 
 
 def late_measures():
@@ -26,9 +27,9 @@ def event_stats(df: DataFrame) -> DataFrame:
 
 
 def global_stats(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row of totals with ``events_per_sec`` over the span of ``ts``."""
-    t = ticks(df, ts)
-    span = (F.max(t) - F.min(t)) / F.lit(1_000_000.0)
+    """One row of totals with ``events_per_sec`` over the span of ``ts``; per 1000 units where time is numeric."""
+    t = in_ms(df, ts, ticks(df, ts))
+    span = (F.max(t) - F.min(t)) / F.lit(1000.0)
     rate = F.count(F.lit(1)) / F.nullif(span, F.lit(0.0))
     return df.agg(*late_measures(), rate.alias("events_per_sec"))
 
@@ -39,8 +40,8 @@ def stats_rollup(df: DataFrame) -> DataFrame:
 
 
 def latency_stats(m: DataFrame, detect: str = "detect_ts", ingest: str = "ingest_ts") -> DataFrame:
-    """Max, min and mean of detection minus ingestion of the first event, in ms."""
-    lag = (ticks(m, detect) - ticks(m, ingest)) / F.lit(1000.0)
+    """Max, min and mean of detection minus ingestion of the first event, in ms (in their own unit if numeric)."""
+    lag = in_ms(m, detect, ticks(m, detect)) - in_ms(m, ingest, ticks(m, ingest))
     return m.agg(
         F.count(F.lit(1)).alias("matches"), F.max(lag).alias("max_ms"),
         F.min(lag).alias("min_ms"), F.avg(lag).alias("avg_ms"),
@@ -81,10 +82,16 @@ def match_aggregates(m: DataFrame, step: str, attr: str) -> DataFrame:
     )
 
 
-def slide_stats(m: DataFrame, slide: str, detect: str = "detect_ts", ingest: str = "ingest_ts") -> DataFrame:
-    """Matches and latency per slide of end time."""
-    lag = (ticks(m, detect) - ticks(m, ingest)) / F.lit(1000.0)
-    out = m.groupBy(F.window("end_ts", slide).alias("w")).agg(
+def slide_stats(m: DataFrame, slide: str | int, detect: str = "detect_ts", ingest: str = "ingest_ts") -> DataFrame:
+    """Matches and latency per slide of end time; a number of units where end time is numeric."""
+    lag = in_ms(m, detect, ticks(m, detect)) - in_ms(m, ingest, ticks(m, ingest))
+    if isinstance(m.schema["end_ts"].dataType, IntegralType):
+        width = int(slide)
+        start = bucket_of(ticks(m, "end_ts"), width) * width
+        slot = F.struct(start.alias("start")).alias("w")
+    else:
+        slot = F.window("end_ts", slide).alias("w")
+    out = m.groupBy(slot).agg(
         F.count(F.lit(1)).alias("matches"), F.max(lag).alias("max_ms"),
         F.min(lag).alias("min_ms"), F.avg(lag).alias("avg_ms"),
     )
