@@ -142,6 +142,27 @@ def q_latency(spark, d):
     return out.select("matches", *[F.round(c, 1).alias(c) for c in ("max_ms", "min_ms", "avg_ms")])
 
 
+@query(
+    "latency_stats_numeric",
+    """SELECT count(*) AS matches, max(l) AS max_ms, min(l) AS min_ms, round(avg(l), 6) AS avg_ms FROM (
+    SELECT CAST(event_id % 11 AS DOUBLE) AS l FROM events)""",
+)
+def q_latency_numeric(spark, d):
+    e = events(spark, d).select(F.col("event_id").alias("ingest_ts"), (F.col("event_id") + F.col("event_id") % 11).alias("detect_ts"))
+    return latency_stats(e).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query(
+    "slide_stats_numeric",
+    """SELECT event_id // 500 * 500 AS slide_start, count(*) AS matches, max(event_id % 11)::DOUBLE AS max_ms FROM events GROUP BY 1""",
+)
+def q_slide_numeric(spark, d):
+    e = events(spark, d).select(
+        F.col("event_id").alias("end_ts"), F.col("event_id").alias("ingest_ts"), (F.col("event_id") + F.col("event_id") % 11).alias("detect_ts")
+    )
+    return slide_stats(e, 500).select("slide_start", "matches", "max_ms")
+
+
 @query(
     "slide_stats",
     f"""WITH {DETECTED} SELECT time_bucket(INTERVAL 6 HOUR, end_ts, TIMESTAMP '1970-01-01') AS slide_start,

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy_under_disorder, apply_changelog, match
 from ..sources import write_changelog, write_matches
-from ..streaming import current_matches, stream_match, stream_match_batch, stream_sequence_append
+from ..streaming import current_matches, stream_dropped, stream_match, stream_match_batch, stream_sequence_append
 from .events import disorder
 from .matching import COMPACT, MAXIMAL, any_sql, next_sql
-from .registry import A, B, C, arrivals, events, flat, pattern, query, scratch
+from .registry import ARR, A, B, C, arrivals, events, flat, pattern, query, scratch
 
 PORTIONS, FILES = 3, 4
 
@@ -84,6 +84,21 @@ def q_keyed_next(spark, d):
     return keyed(spark, d, pattern(A(), B(), C(), policy="next"))
 
 
+@query(
+    "stream_match_dropped",
+    f"""WITH {ARR}, cut AS (SELECT *, (arrival_seq - 1) // (SELECT count(*) // {PORTIONS} + 1 FROM events) AS part FROM arr),
+    latest AS (SELECT part, max(ts) AS ts FROM cut GROUP BY part)
+    SELECT event_id, ts FROM cut c WHERE ts <= (SELECT date_trunc('milliseconds', max(l.ts)) FROM latest l WHERE l.part < c.part)
+    - INTERVAL 2 HOUR""",
+)
+def q_dropped(spark, d):
+    """What a keyed job with a delay of two hours leaves out."""
+    path = scratch(spark)
+    finished(stream_dropped(event_stream(spark, d, path), f"{path}/side", f"{path}/checkpoint", "2 hours"))
+    late = spark.read.parquet(f"{path}/side/late")
+    return late.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query("stream_sequence_append", any_sql(3))
 def q_append(spark, d):
     path = scratch(spark)

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import bucket_of, duration_ticks, from_ticks, ticks
+from ..functions.time import bucket_of, duration_ticks, ticks
 from ..operators.corrections import CORE, apply_changelog, diff_matches
 from ..operators.lateness import affected_ends, near_ends
 from ..operators.match import match_at_end
@@ -29,7 +29,9 @@ def read_store(spark: SparkSession, path: str, before: int | None = None) -> Dat
     """Revisions older than ``before``; None while there is none."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     return df if before is None else df.filter(F.col("revision") < before)
 
@@ -51,6 +53,14 @@ def correct(
     gate: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> None:
     """Take in one batch of events as ``revision`` (safe to repeat)."""
+    batch = batch.persist()  # its source is read once, however often the plans below look at it
+    try:
+        _correct(batch, revision, spec, store, with_correction, gate)
+    finally:
+        batch.unpersist()
+
+
+def _correct(batch, revision, spec, store, with_correction, gate) -> None:
     spark = batch.sparkSession
     if gate is not None:
         batch, dropped = gate(batch)
@@ -59,13 +69,15 @@ def correct(
     used = used.dropDuplicates([*spec.keys, spec.id])
     width = bucket_width(used, spec)
     fresh = used.withColumn("time_bucket", bucket_of(ticks(used, spec.ts), width))
-    span = fresh.agg(F.min("time_bucket"), F.max("time_bucket")).first()
-    if span[0] is None:
+    if fresh.isEmpty():
         return
+    # Ends that can change lie up to one window ahead, their events up to three back. Only the
+    # buckets around the batch's own are read, so one stray old event costs its few buckets.
+    touched = fresh.select("time_bucket").distinct().persist()
+    near = touched.select(F.explode(F.sequence(F.col("time_bucket") - 3, F.col("time_bucket") + 1)).alias("time_bucket")).distinct()
     seen = read_store(spark, f"{store}/events", revision)
     if seen is not None:
-        # Ends that can change lie up to one window ahead, their events up to three back.
-        seen = seen.filter(F.col("time_bucket").between(span[0] - 3, span[1] + 1))
+        seen = seen.withColumn("time_bucket", F.col("time_bucket").cast("long")).join(near, "time_bucket", "left_semi")
         known = seen.select("time_bucket", *spec.keys, spec.id)
         fresh = fresh.join(known, ["time_bucket", *spec.keys, spec.id], "left_anti")
     here = f"{store}/events/revision={revision}"
@@ -84,14 +96,15 @@ def correct(
     if log is None:
         old = new.limit(0)
     else:
-        t = F.col("end_ts")
-        lo, hi = (from_ticks(batch, spec.ts, F.lit(int(x) * width)) for x in (span[0] - 1, span[1] + 2))
-        old = apply_changelog(None, log.filter((t >= lo) & (t <= hi)), spec.keys)
+        ends_near = touched.select(F.explode(F.sequence(F.col("time_bucket") - 1, F.col("time_bucket") + 1)).alias("_b")).distinct()
+        log = log.withColumn("_b", bucket_of(ticks(log, "end_ts"), width)).join(ends_near, "_b", "left_semi").drop("_b")
+        old = apply_changelog(None, log, spec.keys)
         old = old.join(ends.select("end_id").distinct(), "end_id", "left_semi")
     changes = diff_matches(
         old, new, spec.keys, first_plain=not spec.positive[0].kleene, with_correction=with_correction
     )
     changes.write.mode("overwrite").parquet(f"{store}/changes/revision={revision}")
+    touched.unpersist()
     ends.unpersist()
     around.unpersist()
 

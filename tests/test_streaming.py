@@ -7,7 +7,7 @@ from helpers import id_sets, random_events, spec
 
 from seqspark import apply_changelog, match
 from seqspark.sources import write_changelog
-from seqspark.streaming import current_matches, stream_match, stream_match_batch
+from seqspark.streaming import current_matches, stream_dropped, stream_match, stream_match_batch
 
 BASE = dt.datetime(2024, 1, 1)
 SCHEMA = "event_id long, ts timestamp, kind string, key long"
@@ -53,6 +53,23 @@ def test_keyed_state_survives_restart(spark, tmp_path, text, policy, mode):
     assert {r.kind for r in log.select("kind").distinct().collect()} > {"insert"}
 
 
+def test_dropped_rows_are_those_the_watermark_leaves_out(spark, tmp_path):
+    events = random_events(9, n=90, keys=1, kinds="abc")
+    s, inbox = spec("a b c", "7 min"), tmp_path / "in"
+    late = events[::6]
+    for k, part in enumerate((([e for e in events if e not in late])[:50], late[:8], [e for e in events if e not in late][50:] + late[8:])):
+        timed(spark, part).coalesce(1).write.mode("append").parquet(str(inbox))
+        stream_dropped(source(spark, inbox), str(tmp_path / "side"), str(tmp_path / "cp1"), "10 minutes").awaitTermination()
+        log = stream_match(source(spark, inbox), s, delay="10 minutes")
+        job = log.writeStream.foreachBatch(lambda b, n: write_changelog(b, str(tmp_path / "log"), n)).option("checkpointLocation", str(tmp_path / "cp"))
+        job.trigger(availableNow=True).start().awaitTermination()
+    lost = {r.event_id for r in spark.read.parquet(str(tmp_path / "side" / "late")).collect()}
+    assert lost
+    kept = [e for e in events if e["id"] not in lost]
+    got = id_sets(apply_changelog(None, spark.read.parquet(str(tmp_path / "log")), ["key"]))
+    assert got == id_sets(match(timed(spark, kept), s))
+
+
 def test_keyed_state_refuses_what_it_cannot_do(spark, tmp_path):
     df = timed(spark, random_events(1, n=5))
     df.write.parquet(str(tmp_path / "in"))
