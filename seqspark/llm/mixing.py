@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, replace_columns, running, values, words
@@ -32,20 +32,20 @@ def share_out(sizes: Sequence[float], weights: Sequence[float], total: float, mo
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, most: float = 2.0,
-             seed: int = 11, text: str = "text", source: str = "source") -> tuple[DataFrame, list[dict]]:
+             seed: int = 11, text: str = "text", source: str = "source", size: Column | None = None) -> tuple[DataFrame, list[dict]]:
     """What the mix takes of every row, and one record per source.
 
     Sources in code point order (null last) weigh ``weights``, repeating, and share ``budget`` times all words. A
     source whose target is k of its sizes and a rest gives every document k times, and then permuted documents until
     the rest is reached; the document at the border gives only its first words, so each source meets its target to
-    the word. The order is a hash of the row's number in the written table, so reruns agree. One row per source comes
+    the word. ``size`` is the number of words where that is known already. The order is a hash of the row's number in the written table, so reruns agree. One row per source comes
     to the driver: the sources are as many as there are weights to state for them.
     """
     names = ["size", "source_size", "target", "taken", "__row", "__src", "__mix", "__before"]
     docs = replace_columns(docs, names)
     rows = keep(
         docs.withColumns({
-            "size": F.size(words(F.col(text))).cast("long"),
+            "size": F.coalesce((F.size(words(F.col(text))) if size is None else size).cast("long"), F.lit(0).cast("long")),
             "__row": F.monotonically_increasing_id(),
             "__src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null")),
         }).withColumn("__mix", F.xxhash64(F.lit(seed), "__row")),
@@ -69,7 +69,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: floa
 
 
 def mix_sources(docs: DataFrame, shards: int = 8, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5,
-                most: float = 2.0, seed: int = 11, text: str = "text", source: str = "source") -> DataFrame:
+                most: float = 2.0, seed: int = 11, text: str = "text", source: str = "source", size: Column | None = None) -> DataFrame:
     """The mix as rows: one per document copy, with ``words`` (taken of it), ``shard`` and ``slot``.
 
     A splitting tree over the output shards partitions the exact number of copies (blocks) of every source: each node
@@ -82,7 +82,7 @@ def mix_sources(docs: DataFrame, shards: int = 8, weights: Sequence[float] = (5,
     """
     results = ["copy", "words", "shard", "slot"]
     docs = replace_columns(docs, [*results, "__unit", "__order", "__ends"])
-    plan, sources = mix_plan(docs, weights, budget, most, seed, text, source)
+    plan, sources = mix_plan(docs, weights, budget, most, seed, text, source, size)
     size = F.nullif(F.col("size"), F.lit(0))
     copies = F.coalesce(F.ceil(F.col("taken") / size), F.lit(0)).cast("int")
     units = (

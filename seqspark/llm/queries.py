@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boilerplate import dedup_lines
-from .common import table
+from .common import table, words
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .oracles import ORACLES
@@ -76,7 +76,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).alias("n"))
+    mixed = mix_sources(docs, size=F.col("n"))
     facts = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
     return mixed.groupBy("__row").agg(*facts, F.sum("words").alias("taken")).drop("__row")
 
