@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy_under_disorder, apply_changelog, match
 from ..sources import write_changelog, write_matches
-from ..streaming import current_matches, stream_dropped, stream_match, stream_match_batch, stream_sequence_append
+from ..streaming import LatenessGate, current_matches, stream_dropped, stream_gate, stream_match, stream_match_batch, stream_sequence_append
 from .events import disorder
+from .late import LATE, rates
 from .matching import COMPACT, MAXIMAL, any_sql, next_sql
 from .registry import ARR, A, B, C, arrivals, events, flat, pattern, query, scratch
 
@@ -99,6 +100,17 @@ def q_dropped(spark, d):
     return late.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+for side, test in (("kept", "accepted"), ("dropped", "NOT accepted")):
+
+    @query(f"stream_gate_{side}", f"WITH {LATE} SELECT event_id, status FROM ok WHERE {test}")
+    def q_gate(spark, d, side=side):
+        """The gate's decisions on the live arrivals, against those on all arrivals at once."""
+        path = scratch(spark)
+        gate = LatenessGate(rates(spark), "3 d", f"{path}/gate", 1.02, 1.0, 2.0, chunk=1000)
+        finished(stream_gate(event_stream(spark, d, path), gate, f"{path}/out", f"{path}/checkpoint"))
+        return spark.read.parquet(f"{path}/out/{side}").select("event_id", "status")
+
+
 @query("stream_sequence_append", any_sql(3))
 def q_append(spark, d):
     path = scratch(spark)

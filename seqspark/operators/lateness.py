@@ -30,16 +30,20 @@ def running_max_ts(df: DataFrame, by=("source", "event_type"), *, ts="ts", order
 
 
 def classify_lateness(
-    df: DataFrame, sources: DataFrame, by=("source", "event_type"), *, ts="ts", order="arrival_seq", chunk=ARRIVALS
+    df: DataFrame, sources: DataFrame, by=("source", "event_type"), *, ts="ts", order="arrival_seq", chunk=ARRIVALS,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``lateness_ms``, ``est_interval_ms``, ``status`` and ``is_late``.
 
     An event is in order when its time is the running maximum of its source and type.
     ``sources`` is a small table (source, event_type, est_interval_ms): an event late by
-    less than the interval is only ``minor``.
+    less than the interval is only ``minor``.  ``state`` (by, latest) holds the latest tick of
+    arrivals before these.
     """
     timed = df.withColumn("_t", ticks(df, ts))
     out = running(timed, list(by), order, chunk, {"_max": ("max", F.col("_t"), False)})
+    if state is not None:
+        out = out.join(state, list(by), "left").withColumn("_max", F.greatest("_max", "latest")).drop("latest")
     out = out.withColumn("lateness_ms", in_ms(df, ts, F.col("_max") - F.col("_t"))).drop("_t", "_max")
     known = [c for c in sources.columns if c != "est_interval_ms"]
     out = out.join(sources, known, "left")
@@ -76,14 +80,20 @@ def lateness_score(
 
 
 def adaptive_threshold(
-    df: DataFrame, factor: float = 1.0, by=("event_type",), *, order="arrival_seq", chunk=ARRIVALS
+    df: DataFrame, factor: float = 1.0, by=("event_type",), *, order="arrival_seq", chunk=ARRIVALS,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``threshold`` (mean score of the type's late events so far, times ``factor``)
-    and ``accepted``: late events pass while their score is at most the threshold."""
+    and ``accepted``: late events pass while their score is at most the threshold.
+    ``state`` (by, total, n) holds the scores of arrivals before these."""
     late = F.col("status") == LATE
     score = F.when(late, F.col("score"))
     measures = {"_sum": ("sum", score, False), "_n": ("sum", F.when(late, F.lit(1)), False)}
     out = running(df, list(by), order, chunk, measures)
+    if state is not None:
+        out = out.join(state, list(by), "left")
+        sums = {"_sum": F.col("_sum") + F.coalesce("total", F.lit(0.0)), "_n": F.col("_n") + F.coalesce("n", F.lit(0))}
+        out = out.withColumns(sums).drop("total", "n")
     out = out.withColumn("threshold", F.when(late, F.col("_sum") / F.col("_n") * factor)).drop("_sum", "_n")
     return out.withColumn("accepted", ~late | (F.col("score") <= F.col("threshold")))
 

@@ -50,7 +50,7 @@ def current_matches(spark: SparkSession, store: str, spec: PatternSpec) -> DataF
 
 def correct(
     batch: DataFrame, revision: int, spec: PatternSpec, store: str, with_correction: bool = True,
-    gate: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    gate: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]] | None = None,
 ) -> None:
     """Take in one batch of events as ``revision`` (safe to repeat)."""
     batch = batch.persist()  # its source is read once, however often the plans below look at it
@@ -63,7 +63,7 @@ def correct(
 def _correct(batch, revision, spec, store, with_correction, gate) -> None:
     spark = batch.sparkSession
     if gate is not None:
-        batch, dropped = gate(batch)
+        batch, dropped = gate(batch, revision)
         dropped.write.mode("overwrite").parquet(f"{store}/dropped/revision={revision}")
     used = batch if spec.policy == "contiguous" else relevant_events(batch, spec)
     used = used.dropDuplicates([*spec.keys, spec.id])
@@ -111,12 +111,12 @@ def _correct(batch, revision, spec, store, with_correction, gate) -> None:
 
 def stream_match_batch(
     sdf: DataFrame, spec: PatternSpec, store: str, checkpoint: str, with_correction: bool = True,
-    gate: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    gate: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]] | None = None,
 ):
     """Run :func:`correct` on every micro-batch; returns the started query.
 
-    ``gate`` may split a batch into (kept, dropped), e.g. by lateness score; dropped
-    events go to ``store/dropped``.
+    ``gate`` may split a batch, given its revision, into (kept, dropped), e.g. a ``LatenessGate``;
+    dropped events go to ``store/dropped``.
     """
 
     def take(batch: DataFrame, number: int) -> None:

@@ -84,7 +84,7 @@ def test_without_correction_short_matches_stay(spark, tmp_path):
 def test_gate_puts_rejected_events_aside(spark, tmp_path):
     events = named(WALK)
     s = spec("a b c", 10)
-    store = feed(spark, tmp_path, [events], s, gate=lambda b: (b.filter("event_id <> 12"), b.filter("event_id = 12")))
+    store = feed(spark, tmp_path, [events], s, gate=lambda b, n: (b.filter("event_id <> 12"), b.filter("event_id = 12")))
     assert spark.read.parquet(f"{store}/dropped").count() == 1
     assert all(12 not in m for m in id_sets(current_matches(spark, store, s)))
 

@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from helpers import id_sets, random_events, spec
 
-from seqspark import apply_changelog, match
+from seqspark import adaptive_threshold, apply_changelog, classify_lateness, lateness_score, match
 from seqspark.sources import write_changelog
-from seqspark.streaming import current_matches, stream_dropped, stream_match, stream_match_batch
+from seqspark.streaming import LatenessGate, current_matches, stream_dropped, stream_match, stream_match_batch
 
 BASE = dt.datetime(2024, 1, 1)
 SCHEMA = "event_id long, ts timestamp, kind string, key long"
@@ -70,6 +70,27 @@ def test_dropped_rows_are_those_the_watermark_leaves_out(spark, tmp_path):
     assert got == id_sets(match(timed(spark, kept), s))
 
 
+@pytest.mark.parametrize("factor", [0.5, 1.0, 1.5])
+def test_gate_decides_alike_for_any_cut_into_batches(spark, tmp_path, factor):
+    events = random_events(4, n=80, keys=2, kinds="ab")
+    rows = [(e["id"], (e["t"] * 7919) % 97, e["kind"], e["key"], i) for i, e in enumerate(events)]
+    df = spark.createDataFrame(rows, "event_id long, ts long, event_type string, source long, arrival_seq long").persist()
+    sources = spark.createDataFrame([("a", 3), ("b", 9)], "event_type string, est_interval_ms long")
+    late = classify_lateness(df, sources, chunk=10)
+    whole = adaptive_threshold(lateness_score(late, 50), factor, chunk=10)
+    want = {r.event_id: r.accepted for r in whole.collect()}
+    for cuts in ((0, 80), (0, 1, 2, 40, 80), (0, 13, 26, 80)):
+        gate = LatenessGate(sources, 50, str(tmp_path / str(len(cuts))), factor, chunk=10)
+        got = {}
+        for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            part = df.where((df.arrival_seq >= lo) & (df.arrival_seq < hi))
+            for _ in range(2):  # a repeated batch decides the same
+                kept, dropped = gate(part, n)
+                got |= {r.event_id: True for r in kept.collect()} | {r.event_id: False for r in dropped.collect()}
+        assert got == want
+    assert len(set(want.values())) == 2 or factor == 1.5
+
+
 def test_keyed_state_refuses_what_it_cannot_do(spark, tmp_path):
     df = timed(spark, random_events(1, n=5))
     df.write.parquet(str(tmp_path / "in"))
