@@ -5,13 +5,12 @@ import os
 import pytest
 
 FOLDER = os.environ.get("SEQ_TABLES", "/root/testdata/sf0.001")
-SLOW = ("stream_", "accuracy_", "diff_", "apply_", "rematch_")
 
 
 def names():
-    from __spark_entry__ import queries
+    from seqspark.catalogue import QUERIES
 
-    return [n for n in queries() if not n.startswith(SLOW)]
+    return list(QUERIES)
 
 
 def test_every_oracle_has_a_query():
@@ -21,7 +20,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-@pytest.mark.parametrize("name", names()[::4])
+@pytest.mark.parametrize("name", names())
 def test_query(spark, name):
     import duckdb
 
