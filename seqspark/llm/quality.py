@@ -43,18 +43,19 @@ RULES = (
 BASE = ("few_words", "repeated_words")
 
 
-def _repeats(w: Column) -> Column:
-    """Words in windows of three words that occur twice or more in the array.
+def _windows(w: Column) -> Column:
+    """One hash per window of three words."""
+    n = F.size(w)
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(n >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
+
 
-    One hash per window, sorted with its place: equal neighbours are repeats, so cost is n log n for any text.
+def _repeats(h: Column) -> Column:
+    """Words in windows that occur twice or more, from the hashes of a text's windows.
+
+    Where a hash repeats, hashes are sorted with their places and equal neighbours are repeats, so cost is n log n for
+    any text.
     """
-    n = F.size(w)
-    grams = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-    )
-    hashes = F.transform(grams, lambda g: g["h"])
-    in_order = F.array_sort(grams)
 
     def covered(s: Column) -> Column:
         twice = F.filter(
@@ -70,15 +71,16 @@ def _repeats(w: Column) -> Column:
         )
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(i, i + 1, i + 2)))))
 
-    # array_sort once, bound to a name by a one-element transform so that it is not evaluated per element
-    repeats = F.get(F.transform(F.array(in_order), covered), F.lit(0))
-    return F.when(n < 4, 0).when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(repeats)
+    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    # sorted once: a lambda over an array of one names the sorted array
+    repeats = F.get(F.transform(F.array(placed), covered), F.lit(0))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(repeats)
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures of every whole text; null text counts as empty. Columns of the same names are replaced."""
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
-    docs = replace_columns(docs, [*names, "__t", "__w", "__l"])
+    docs = replace_columns(docs, [*names, "__h", "__w", "__l"])
     t = F.coalesce(F.col(text), F.lit(""))
     plain = t
     for s in SYMBOLS:
@@ -86,16 +88,17 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     stop = sorted({w for line in STOP_WORDS.values() for w in line.split()})
     with_lines = F.filter(F.split(t, "\n"), lambda x: F.length(without_spaces(x)) > 0)
     bare = F.transform("__w", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))
-    measured = compute_once(compute_once(docs, {"__w": words(t), "__l": with_lines}), {
+    parts = compute_once(compute_once(docs, {"__w": words(t), "__l": with_lines}), {"__h": _windows(F.col("__w"))})
+    measured = compute_once(parts, {
         "n_words": F.size("__w").cast("long"),
         "word_chars": F.length(without_spaces(t)).cast("long"),
         "n_symbols": (F.length(t) - F.length(plain)).cast("long"),
         "n_lines": F.size("__l").cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": _repeats(F.col("__w")).cast("long"),
+        "n_repeat_words": _repeats(F.col("__h")).cast("long"),
         "n_stop_words": F.size(F.array_intersect(bare, F.array(*[F.lit(w) for w in stop]))).cast("long"),
     })
-    return measured.drop("__w", "__l")
+    return measured.drop("__w", "__l", "__h")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
