@@ -8,8 +8,8 @@ for a very busy key or none at all, and is dropped once the watermark has passed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,9 @@ from ..functions.time import bucket_of
 from ..plans.base import as_column
 from ..spec import PatternSpec, micros
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -122,6 +125,8 @@ class KeyedMatcher(StatefulProcessor):
             out.append([*key[:-1], kind, times[ev[0]], times[ev[-1]], ev[-1], ev,
                         [int(x) for x in was.split(",")] if was is not None else None])
         if out:
+            import pandas as pd
+
             yield pd.DataFrame(out, columns=self.columns)
 
     def changes(self, old, new, end):
