@@ -11,12 +11,13 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import in_ms, bucket_of, duration_ticks, from_ticks, ticks
+from ..functions.time import duration_ticks, from_ticks, in_ms, ticks
 from ..plans.base import as_column, prepare
 from ..plans.joins import early_side, end_side
 from ..plans.scans import running
 from ..spec import PatternSpec
 from .match import match_at_end
+from .near import near_ends
 
 IN_ORDER, MINOR, LATE = "in_order", "minor", "late"
 ARRIVALS = 1_000_000
@@ -167,18 +168,6 @@ def affected_ends(late: DataFrame, events: DataFrame, spec: PatternSpec) -> Data
     return pairs.filter(near).select(*spec.keys, "end_id").union(own).distinct()
 
 
-def near_ends(events: DataFrame, ends: DataFrame, spec: PatternSpec) -> DataFrame:
-    """Events in the time buckets that decide the matches of the given ends."""
-    width = max(1, duration_ticks(events, spec.ts, spec.within))
-    own = bucket_of(ticks(events, spec.ts), width)
-    marked = events.withColumn("_k", own)
-    wanted = events.select(*spec.keys, F.col(spec.id).alias("end_id"), own.alias("_k"))
-    wanted = wanted.join(ends.select("end_id").distinct(), "end_id", "left_semi")
-    k = F.col("_k")
-    wanted = wanted.select(*spec.keys, F.explode(F.array(k, k - 1, k - 2)).alias("_k")).distinct()
-    return marked.join(wanted, [*spec.keys, "_k"], "left_semi").drop("_k")
-
-
 def rematch(events: DataFrame, ends: DataFrame, spec: PatternSpec) -> DataFrame:
     """Recompute the matches of the given ends from the events around them."""
-    return match_at_end(near_ends(events, ends, spec), spec, ends)
+    return match_at_end(near_ends(events, ends, spec), spec, ends, near=True)

@@ -13,6 +13,7 @@ from ..spec import PatternSpec
 from .adjacent import contiguous_runs
 from .combos import match_combinations
 from .following import next_maximal, next_prefixes, next_runs
+from .near import near_ends
 from .windows import match_windows
 
 
@@ -65,11 +66,14 @@ def match(events: DataFrame, spec: PatternSpec) -> DataFrame:
     return run(events, spec, None, False)
 
 
-def match_at_end(events: DataFrame, spec: PatternSpec, ends: DataFrame) -> DataFrame:
+def match_at_end(events: DataFrame, spec: PatternSpec, ends: DataFrame, near: bool = False) -> DataFrame:
     """Only the matches that end in the given events (column ``end_id``).
 
-    Policy any reads just the windows of those ends.
+    Policy any reads just the windows of those ends; the other policies first narrow the
+    events to the time buckets around them, unless ``near`` says that this is done.
     """
+    if spec.policy != "any" and not near:
+        events = near_ends(events, ends, spec)
     return run(events, spec, ends, False)
 
 

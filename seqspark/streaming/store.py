@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.time import bucket_of, duration_ticks, ticks
 from ..operators.corrections import CORE, apply_changelog, diff_matches
-from ..operators.lateness import affected_ends, near_ends
+from ..operators.lateness import affected_ends
 from ..operators.match import match_at_end
+from ..operators.near import near_ends
 from ..plans.base import relevant_events
 from ..spec import PatternSpec
 
@@ -90,7 +91,7 @@ def _correct(batch, revision, spec, store, with_correction, gate) -> None:
     ends = affected_ends(fresh.select(*columns), events, spec).persist()
     # The plans below read these events several times.
     around = near_ends(events, ends, spec).persist()
-    new = match_at_end(around, spec, ends).select(*spec.keys, *CORE)
+    new = match_at_end(around, spec, ends, near=True).select(*spec.keys, *CORE)
 
     log = read_store(spark, f"{store}/changes", revision)
     if log is None:
