@@ -132,12 +132,13 @@ def row_numbers(df: DataFrame, order: str, tie: str, width: int, name: str) -> D
     """Number all rows 1, 2, ... by the long column ``order``, ties by ``tie``.
 
     Rows are numbered inside chunks of ``order`` and shifted by what lies before the
-    chunk, so no task sees the whole table.
+    chunk, so no task sees the whole table; the table of chunk sizes is itself scanned in
+    runs of a thousand, twice over.
     """
     base = df.withColumn("_chunk", bucket_of(F.col(order), width))
-    before = W.orderBy("_chunk").rowsBetween(FAR_BACK, -1)
-    sizes = base.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    sizes = base.groupBy(F.col("_chunk").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    shift = running(sizes, [], "_at", 1000, {"_shift": ("sum", F.col("_n"), True)}, levels=3)
+    shift = shift.select(F.col("_at").alias("_chunk"), F.coalesce("_shift", F.lit(0)).alias("_shift"))
     local = F.row_number().over(W.partitionBy("_chunk").orderBy(order, tie))
     numbered = base.withColumn("_local", local).join(shift, "_chunk")
     return numbered.select(*df.columns, (F.col("_local") + F.col("_shift")).alias(name))
