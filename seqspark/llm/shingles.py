@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 
 WORDS = 5
-CHUNK = 1 << 20  # bytes that are hashed at a time; a longer text is a chunk of its own
+CHUNK = 1 << 18  # bytes that are hashed at a time; a longer text is a chunk of its own
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -99,8 +99,12 @@ def test_blocks_of_a_group_meet_completely(spark, monkeypatch):
     base = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
     rows = [(1, i, i % 9, len(s), signature(s)) for i in range(60) for s in [base[rng.random(len(base)) < 0.97]]]
     df = spark.createDataFrame([(g, n, c, k, bytearray(s)) for g, n, c, k, s in rows], "grp long, node long, comp long, n long, sig binary")
-    got = {(r[0], r[1]) for r in tree_pairs(df).collect()}
-    assert got == {(i, j) for j in range(60) for i in range(j) if i % 9 != j % 9}
+    meetings = tree_pairs(df.drop("sig"), df.select("node", "sig")).collect()
+    got = [(min(x, y), max(x, y)) for r in meetings for x, y in zip(r["x"], r["y"])]
+    assert len(meetings) > 50 and len(got) == len(set(got))
+    assert set(got) == {(i, j) for j in range(60) for i in range(j) if i % 9 != j % 9}
+    assert all(c == x % 9 and d == y % 9 for r in meetings for x, y, c, d in zip(r["x"], r["y"], r["cx"], r["cy"]))
+
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (5, 4), (4, 9), (7, 7)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(50)]])
