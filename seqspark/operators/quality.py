@@ -23,7 +23,7 @@ def accuracy_under_disorder(
     After every portion the matches so far are published; without correction nothing is
     ever taken back, with correction the last portion's matches stand.
     """
-    truth = match_many(events, specs).select("query_id", "match_id")
+    truth = match_many(events, specs).select("query_id", "match_id", "event_ids")
     out = None
     for prob in probs:
         arrived = inject_disorder(events, prob, seed=seed, ts=ts, id=id)
@@ -31,7 +31,7 @@ def accuracy_under_disorder(
         arrived = arrived.withColumn("_part", part)
         found = None
         for n in [rounds - 1] if with_correction else range(rounds):
-            published = match_many(arrived.filter(F.col("_part") <= n), specs).select("query_id", "match_id")
+            published = match_many(arrived.filter(F.col("_part") <= n), specs).select("query_id", "match_id", "event_ids")
             found = published if found is None else found.unionByName(published)
         level = compare_matches(found, truth, ["query_id"]).select(F.lit(float(prob)).alias("prob"), "*")
         out = level if out is None else out.unionByName(level)

@@ -24,16 +24,20 @@ def distinct_matches(m: DataFrame) -> DataFrame:
 
 
 def compare_matches(found: DataFrame, truth: DataFrame, by=(), key: str = "match_id") -> DataFrame:
-    """True and false positives, false negatives, precision and recall per group."""
+    """True and false positives, false negatives, precision and recall per group.
+
+    The key is a hash, so where both tables list ``event_ids`` these are compared with it.
+    """
     by = list(by)
-    f = found.select(*by, key).distinct().withColumn("_f", F.lit(1))
-    t = truth.select(*by, key).distinct().withColumn("_t", F.lit(1))
+    same = [key, *(["event_ids"] if "event_ids" in found.columns and "event_ids" in truth.columns else [])]
+    f = found.select(*by, *same).distinct().withColumn("_f", F.lit(1))
+    t = truth.select(*by, *same).distinct().withColumn("_t", F.lit(1))
     hit, extra, missed = (
         F.count_if(F.col("_f").isNotNull() & F.col("_t").isNotNull()),
         F.count_if(F.col("_t").isNull()),
         F.count_if(F.col("_f").isNull()),
     )
-    counts = f.join(t, [*by, key], "full_outer").groupBy(*by).agg(
+    counts = f.join(t, [*by, *same], "full_outer").groupBy(*by).agg(
         hit.alias("tp"), extra.alias("fp"), missed.alias("fn")
     )
     tp = F.col("tp")
