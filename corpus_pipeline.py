@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row per document copy, the copy at a source's border cut to the words it gives."""
-    mixed = mix_sources(docs.select(*COLUMNS)).where("words > 0")
+    mixed = mix_sources(docs.select(*COLUMNS), reread=True).where("words > 0")
     # a copy that gives all its words stays as it is
     parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     first_words = F.array_join(F.slice(parts, 1, F.col("words").cast("int")), "")

@@ -41,12 +41,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: floa
     the word. ``size`` is the number of words where that is known already. The order is a hash of the row's number in the written table, so reruns agree. One row per source comes
     to the driver: the sources are as many as there are weights to state for them.
     """
-    names = ["size", "source_size", "target", "taken", "__row", "__src", "__mix", "__before"]
-    docs = replace_columns(docs, names)
+    if "__row" not in docs.columns:
+        docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = replace_columns(docs, ["size", "source_size", "target", "taken", "__src", "__mix", "__before"])
     rows = keep(
         docs.withColumns({
             "size": F.coalesce((F.size(words(F.col(text))) if size is None else size).cast("long"), F.lit(0).cast("long")),
-            "__row": F.monotonically_increasing_id(),
             "__src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null")),
         }).withColumn("__mix", F.xxhash64(F.lit(seed), "__row")),
         "mix-rows",
@@ -69,7 +69,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: floa
 
 
 def mix_sources(docs: DataFrame, shards: int = 8, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5,
-                most: float = 2.0, seed: int = 11, text: str = "text", source: str = "source", size: Column | None = None) -> DataFrame:
+                most: float = 2.0, seed: int = 11, text: str = "text", source: str = "source", size: Column | None = None, reread: bool = False) -> DataFrame:
     """The mix as rows: one per document copy, with ``words`` (taken of it), ``shard`` and ``slot``.
 
     A splitting tree over the output shards partitions the exact number of copies (blocks) of every source: each node
@@ -78,18 +78,22 @@ def mix_sources(docs: DataFrame, shards: int = 8, weights: Sequence[float] = (5,
     Numbers are given in two levels, so a source with most rows is spread over many tasks. Documents of which nothing
     is taken give one row with words 0 and no shard. Null texts have size 0 and are not taken; null sources are one
     source, the last; equal rows are separate documents; an empty table gives no rows; input columns with the names
-    of results are replaced.
+    of results are replaced. ``reread`` says that ``docs`` is a table of files, which gives the same rows in the same order
+    each time it is read; otherwise it is written once first.
     """
-    results = ["copy", "words", "shard", "slot"]
-    docs = replace_columns(docs, [*results, "__unit", "__order", "__ends"])
-    plan, sources = mix_plan(docs, weights, budget, most, seed, text, source, size)
-    size = F.nullif(F.col("size"), F.lit(0))
-    copies = F.coalesce(F.ceil(F.col("taken") / size), F.lit(0)).cast("int")
+    results = ["size", "source_size", "target", "copy", "words", "shard", "slot"]
+    count = F.size(words(F.col(text))) if size is None else size
+    docs = docs if reread else keep(docs, "documents")
+    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    # the draw moves row numbers only; documents join their copies at the end
+    narrow = docs.select("__row", F.col(source).alias("__source"), count.alias("__count"))
+    plan, sources = mix_plan(narrow, weights, budget, most, seed, source="__source", size=F.col("__count"))
+    copies = F.coalesce(F.ceil(F.col("taken") / F.nullif(F.col("size"), F.lit(0))), F.lit(0)).cast("int")
     units = (
         plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), copies - 1))))
         .withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
         .withColumn("__order", F.xxhash64(F.lit(seed + 1), "__row", "copy"))
-        .drop("__passes", "__mix")
+        .select("__row", "__src", "size", "source_size", "target", "copy", "words", "__order")
     )
     units = keep(units, "mix-units")
     some, none = units.where("words > 0"), units.where("words <= 0")
@@ -110,4 +114,5 @@ def mix_sources(docs: DataFrame, shards: int = 8, weights: Sequence[float] = (5,
     )
     dealt = running(dealt, "shard", "__order", "__row", "slot")
     none = none.withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
-    return dealt.unionByName(none.select(*dealt.columns)).drop("__src", "__order")
+    dealt = dealt.unionByName(none.select(*dealt.columns)).select("__row", *results)
+    return replace_columns(docs, results).join(dealt, "__row")

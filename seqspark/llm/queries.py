@@ -77,7 +77,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).alias("n"))
-    mixed = mix_sources(docs, size=F.col("n"))
+    mixed = mix_sources(docs, size=F.col("n"), reread=True)
     facts = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
     return mixed.groupBy("__row").agg(*facts, F.sum("words").alias("taken")).drop("__row")
 
