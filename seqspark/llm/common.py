@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside: whole texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def values(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
     """A small table made on the driver as one literal; callers state why its size is bounded."""
     text = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 from .components import components
 from .shingles import overlap, set_key, shingle_sets
 
@@ -418,24 +418,8 @@ def verify_meetings(meetings: DataFrame, docs: DataFrame) -> DataFrame:
     return keep(rows.select("meet", "node", "text", "x", "y", "cx", "cy").mapInArrow(run, "a long, b long"), "links")
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", reread: bool = False) -> DataFrame:
-    """Per row: ``key``, n_shingles (size of its set) and component_id, the smallest key reachable by links.
-
-    Two texts are linked when the Jaccard similarity of their sets is 3/4 or more; the result is that of comparing all
-    pairs. Steps: (1) rows with one set become one node; (2) prefix tokens (rare shingles first) meet, only nodes that
-    share one can be linked; (3) every node is compared with the first, then with the last node of each of its
-    tokens where their sizes and signatures allow a link, which joins a family of copies without listing its pairs;
-    (4) nodes that share a token but are still in different components meet in signature trees, and what the trees'
-    bounds leave is compared exactly.
-
-    Null and empty texts have n_shingles 0 and are their own component; a null key is carried (component_id is the
-    smallest key that is not null, else null); rows with one key are compared each by itself; repeated rows fall
-    together; an empty table gives no rows; other columns are not carried. ``reread`` says that ``docs`` is a table of
-    files, which gives the same rows in the same order each time it is read; otherwise it is written once first.
-    """
-    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    docs = docs if reread else keep(docs, "documents")
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+def _linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Described rows, nodes (set, node, least key, n) and components of the nodes that are linked."""
     common = common_shingles(docs, docs.count(), "__text")
     rows = describe(docs, common, "__text")
     full = rows.where("n > 0")
@@ -461,11 +445,34 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rer
     members = with_component(members, groups).select("grp", "node", "comp", "n")
     found = verify_meetings(tree_pairs(members, sigs), docs)
     groups = components(links.unionByName(found))
+    return rows, nodes, groups
+
+
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", reread: bool = False) -> DataFrame:
+    """Per row: ``key``, n_shingles (size of its set) and component_id, the smallest key reachable by links.
+
+    Two texts are linked when the Jaccard similarity of their sets is 3/4 or more; the result is that of comparing all
+    pairs. Steps: (1) rows with one set become one node; (2) prefix tokens (rare shingles first) meet, only nodes that
+    share one can be linked; (3) every node is compared with the first, then with the last node of each of its
+    tokens where their sizes and signatures allow a link, which joins a family of copies without listing its pairs;
+    (4) nodes that share a token but are still in different components meet in signature trees, and what the trees'
+    bounds leave is compared exactly.
+
+    Null and empty texts have n_shingles 0 and are their own component; a null key is carried (component_id is the
+    smallest key that is not null, else null); rows with one key are compared each by itself; repeated rows fall
+    together; an empty table gives no rows; other columns are not carried. ``reread`` says that ``docs`` is a table of
+    files, which gives the same rows in the same order each time it is read; otherwise it is written once first.
+    """
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    docs = docs if reread else keep(docs, "documents")
+    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    with small_batches(docs.sparkSession):  # every step that runs Python is written before this ends
+        rows, nodes, groups = _linked_nodes(docs)
 
     placed = nodes.join(groups, "node", "left").select("set", "least", F.coalesce("component", "node").alias("component"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = placed.join(ids, "component").select("set", "component_id")
-    named = full.select("__key", "n", "set").join(by_set, "set").select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    named = rows.where("n > 0").select("__key", "n", "set").join(by_set, "set").select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.col("__key").alias("component_id"))
     return named.unionByName(alone)
 
