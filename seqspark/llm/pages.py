@@ -21,10 +21,10 @@ BLOCKS = set(
     "tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = set(
-    "aside button canvas datalist dialog embed footer form head iframe input map menu nav noscript object script search "
-    "select style svg template textarea title".split()
+NEVER = set(
+    "button canvas datalist embed head iframe input map noscript object script select style svg template textarea title".split()
 )
+UNREAD = set("aside dialog footer form header menu nav search".split())
 CONTAINERS = {"article", "main"}
 WORDS = set(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments comentarios "
@@ -32,6 +32,13 @@ WORDS = set(
     "notification popup promo promoted promotion recommended related respond share sharing sidebar sidebars social "
     "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+# of these, words that layouts also put on the element around a whole page
+LAYOUT = set("banner hidden masthead menu modal nav navbar navigation popup sidebar sidebars toolbar widget widgets".split())
+# parts of a name that leave its meaning to the other parts: site-footer is a footer, has-sidebar is not a sidebar
+PLACES = set(
+    "area bar block bottom box col column container content global header holder inner item items left links list main mobile "
+    "module page panel post posts primary right secondary section sec site slot small sub the top unit wrap wrapper".split()
+)
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # elements that end where a like one begins, within one of these parents
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -42,38 +49,129 @@ class Line:
     text: str
     links: int  # characters inside links
     container: int  # number of the article or main element around it; 0: none
+    mark: int = 0  # number of the innermost marked element around it; 0: none
+
+    @property
+    def weight(self) -> int:
+        return max(0, len(self.text) - self.links)
+
+
+@dataclass
+class Mark:
+    """An element that is left unread unless it turns out to hold the page."""
+
+    above: int  # the marked element around it; 0: none
+    kind: str  # layout, remark (comments, adverts, footers) or hidden
+    container: int
+
+
+def marked_name(token: str) -> set[str]:
+    """The words of a class or id that name what the element is: all its parts are words or places."""
+    parts = set(token.replace("_", "-").split("-")) - {""}
+    own = parts & WORDS
+    return own if own and all(x in WORDS or x in PLACES or x.isdigit() for x in parts) else set()
 
 
 class Stripper(HTMLParser):
-    """Markup to lines: one per block with text, an empty one for each unread element."""
+    """Markup to lines: one per block with text, an empty one for each marked element.
+
+    Whether a marked element is unread is decided by ``read_lines`` when the whole page is known.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, unread, container
+        self.open: list[tuple[str, int, int]] = []  # name, mark (-1: never read), container
         self.parts: list[str] = []
-        self.links = self.containers = 0
+        self.marks: list[Mark | None] = [None]
+        self.containers: list[tuple[str, int]] = [("", 0)]  # name, mark
+        self.links = 0
 
-    def state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (0, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.links, self.state()[1]))
+            mark, inside = self.state()
+            self.lines.append(Line(text, self.links, inside, mark))
         self.parts, self.links = [], 0
 
-    def unread(self, tag: str, attrs: list) -> bool:
+    def kind(self, tag: str, attrs: list) -> str:
+        """How an element is marked; empty if it is read."""
         values = {k: (v or "").lower() for k, v in attrs}
         inside = self.state()[1]
-        if tag in UNREAD or tag == "header" and not inside or "hidden" in values or values.get("aria-hidden") == "true":
-            return True
+        if tag in NEVER:
+            return "never"
+        if "hidden" in values or values.get("aria-hidden") == "true":
+            return "hidden"
+        if tag in UNREAD and (tag != "header" or not inside):
+            return "layout" if tag == "form" else "remark"
         if tag in ("body", "html", "main") or tag == "article" and not inside:
-            return False
-        if values.get("role") in ROLES or "display:none" in values.get("style", "").replace(" ", ""):
-            return True
-        names = f"{values.get('class', '')} {values.get('id', '')}".replace("_", " ").replace("-", " ").split()
-        return not WORDS.isdisjoint(names)
+            return ""
+        if "display:none" in values.get("style", "").replace(" ", ""):
+            return "hidden"
+        if values.get("role") in ROLES:
+            return "layout" if values["role"] == "form" else "remark"
+        names = set().union(*map(marked_name, f"{values.get('class', '')} {values.get('id', '')}".split()))
+        return "" if not names else "layout" if names <= LAYOUT else "remark"
+
+    def chain(self, mark: int) -> list[int]:
+        """A mark and those around it."""
+        out = []
+        while mark:
+            out.append(mark)
+            mark = self.marks[mark].above
+        return out
+
+    def read_lines(self) -> list[Line]:
+        """The lines outside unread elements.
+
+        A marked element is read after all when it holds the page: the main element, or the article of a page that
+        has none elsewhere, or the larger share of the characters outside links. Elements named as remarks must leave
+        the page without text to count by their share, as comments may be longer than what they are about.
+        """
+        n = len(self.marks)
+        own, mine = [0] * n, [0] * n  # characters below a mark; without those below remarks
+        held: list[set[str]] = [set() for _ in range(n)]  # article and main elements with text that begin below it
+        for x in self.lines:
+            own[x.mark] += x.weight
+            mine[x.mark] += x.weight
+            if x.container and x.text:
+                name, mark = self.containers[x.container]
+                held[mark].add(name)
+        for m in range(n - 1, 0, -1):
+            own[self.marks[m].above] += own[m]
+            if self.marks[m].kind == "layout":
+                mine[self.marks[m].above] += mine[m]
+            if not self.marks[m].container:
+                held[self.marks[m].above] |= held[m]
+        read, seen = {0}, {}
+        for m in range(1, n):
+            mark = self.marks[m]
+            if mark.above not in read:
+                continue
+            place = mark.above, mark.container
+            if place not in seen:
+                around = {0, *self.chain(mark.above)}
+                scope = [x for x in self.lines if x.container == mark.container or not mark.container]
+                rest = sum(x.weight for x in scope if x.mark in around)
+                layout = {0}
+                for k in range(1, n):
+                    if k in around or self.marks[k].above in layout and self.marks[k].kind == "layout":
+                        layout.add(k)
+                total = sum(x.weight for x in scope if x.mark in layout)
+                seen[place] = rest, total, any(k in around for _, k in self.containers[1:])
+            rest, total, free = seen[place]
+            inner = set() if mark.container else held[m]
+            if "main" in inner and (mark.kind != "hidden" or not free):
+                read.add(m)
+            elif inner and not free and rest < (own[m] if mark.kind == "layout" else min(own[m], SURGE)):
+                read.add(m)
+            elif mark.container or not free:
+                if mark.kind == "layout" and 2 * mine[m] > total or mark.kind == "remark" and rest < SURGE and own[m] >= 10 * SURGE:
+                    read.add(m)
+        return [x for x in self.lines if x.mark in read or not x.text and self.marks[x.mark].above in read]
 
     def close_until(self, at: int) -> None:
         self.flush()
@@ -93,15 +191,21 @@ class Stripper(HTMLParser):
                     break
         if tag in VOID:
             return
-        unread, inside = self.state()
-        if not unread and self.unread(tag, attrs):
+        mark, inside = self.state()
+        kind = self.kind(tag, attrs) if mark >= 0 else ""
+        if kind:
             self.flush()
-            self.lines.append(Line("", 0, inside))
-            unread = True
-        if tag in CONTAINERS and not unread and not inside:
-            self.containers += 1
-            inside = self.containers
-        self.open.append((tag, unread, inside))
+            if kind == "never":
+                self.lines.append(Line("", 0, inside, mark))
+                mark = -1
+            else:
+                self.marks.append(Mark(mark, kind, inside))
+                mark = len(self.marks) - 1
+                self.lines.append(Line("", 0, inside, mark))
+        if tag in CONTAINERS and mark >= 0 and not inside:
+            self.containers.append((tag, mark))
+            inside = len(self.containers) - 1
+        self.open.append((tag, mark, inside))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,7 +215,7 @@ class Stripper(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCKS or self.open[i][1] != (self.open[i - 1][1] if i else False):
+                if tag in BLOCKS or self.open[i][1] != (self.open[i - 1][1] if i else 0):
                     self.close_until(i)
                 elif i == len(self.open) - 1:
                     self.open.pop()
@@ -121,7 +225,7 @@ class Stripper(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if not self.state()[0]:
+        if self.state()[0] >= 0:
             self.parts.append(data)
             if any(x[0] == "a" for x in self.open):
                 self.links += len(data)
@@ -132,7 +236,7 @@ def strip(html: str) -> list[Line]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.read_lines()
 
 
 def main_range(lines: list[Line]) -> tuple[int, int]:

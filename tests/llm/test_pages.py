@@ -26,6 +26,32 @@ def test_extract(html, text):
     assert extract(html) == text
 
 
+BODY = "<h1>Title</h1>" + "".join(f"<p>Sentence {i} of the article, which is long enough to be read as text.</p>" for i in range(4))
+LINES = "\n".join(["Title", *(f"Sentence {i} of the article, which is long enough to be read as text." for i in range(4))])
+REST = '<nav class="menu"><a href="/">Home</a></nav>%s<div class="sidebar">Words beside it.</div><div id="site-footer">Words below the page.</div>'
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div id=page class='has-sidebar'>%s</div>", "<div class='no-sidebar'>%s</div>", "<div class='layout-with-sidebar'>%s</div>",
+    "<div class='nav-open x'>%s</div>", "<form id=aspnetForm>%s</form>", "<div class=sidebar>%s</div>", "<div id=widget><form>%s</form></div>",
+])
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+def test_an_element_around_the_page_is_read(wrapper, inner):
+    assert extract("<body>" + wrapper % (REST % (inner % BODY)) + "</body>") == LINES
+    assert extract("<body>" + REST % (wrapper % (inner % BODY)) + "</body>") == LINES
+    assert extract("<body>" + REST % (inner % (wrapper % BODY)) + "</body>") == LINES
+
+
+def test_marked_elements_beside_the_text_stay_unread():
+    teaser = "<article><p>A teaser of another page, which is long enough to be read as text.</p></article>"
+    remarks = "<article class=comment><p>" + "A long remark on it. " * 100 + "</p></article>"
+    for inner in ("<article>%s</article>", "<div>%s</div>"):
+        for beside in (f"<aside>{teaser}</aside>", f"<div class=sidebar>{teaser}</div>", f"<div id=comments>{remarks}</div>", f"<div hidden>{remarks}</div>"):
+            assert extract("<body>" + REST % (inner % BODY + beside) + "</body>") == LINES
+    assert extract(f"<article>{BODY}<section id=comments>{remarks}</section></article>") == LINES
+    assert extract(f"<main>{BODY}</main><main hidden>{remarks}</main>") == LINES
+
+
 def test_every_page_of_the_table(spark):
     """Between the article's tags stand all of its blocks, and nothing else of the page is text."""
     import html as h
