@@ -11,7 +11,7 @@ from seqspark.llm.mixing import mix_sources
 from seqspark.llm.packing import pack_documents
 from seqspark.llm.quality import quality_rules
 from seqspark.llm.queries import tokenizer
-from seqspark.llm.similarity import jaccard_groups
+from seqspark.llm.similarity import first_of_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,10 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_groups(docs, reread=True).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
+    """One row of each group of near-duplicates: the one with the smallest id, the first of them where ids repeat."""
+    return first_of_groups(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

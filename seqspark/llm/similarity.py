@@ -477,6 +477,24 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rer
     return named.unionByName(alone)
 
 
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each group of ``jaccard_groups``: the one with the smallest key.
+
+    Rows are told apart by their place in ``docs``, a table of files, so exactly one row of a group stays even where
+    keys repeat or are null: nulls come last, the first place decides among equal keys. Null and empty texts are their
+    own group each. All columns are carried.
+    """
+    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    with small_batches(docs.sparkSession):
+        rows, nodes, groups = _linked_nodes(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), "__row"))
+    order = F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__row")).alias("lead")
+    leads = rows.where("n > 0").groupBy("set").agg(order)
+    placed = nodes.join(groups, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
+    best = placed.join(leads, "set").groupBy("component").agg(F.min("lead").alias("lead")).select("lead.__row")
+    kept = keep(best.unionByName(rows.where("n = 0").select("__row")), "firsts")
+    return picked(docs, "__row", kept, "left_semi").drop("__row")
+
+
 def with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Add ``comp``, the node's component. Components are a broadcast if they are FEW, counted, else a shuffle of both."""
     few = groups.count() <= FEW

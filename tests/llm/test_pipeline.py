@@ -58,6 +58,19 @@ def test_one_of_each_group_stays(stages):
     assert sorted(after["doc_id"]) == sorted({g for _, _, g in groups})
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a)] * 5 + [(1, b), (3, b), (None, c), (None, c), (None, d), (2, d), (None, a), (None, ""), (None, "")]
+    path = str(tmp_path / "docs")
+    docs = spark.createDataFrame([(k, t, "en", f"row {n}", 0) for n, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(path)
+    out = corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), SF)
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(3, a), (1, b), (None, c), (2, d), (None, ""), (None, "")])
+    assert all(rows[int(r.source.split()[1])] == (r.doc_id, r.text) for r in got)
+
+
 def test_mix_and_packing(stages):
     before, after = stages[3]
     size = {r.doc_id: len(r.text.split()) for r in before.itertuples()}
