@@ -12,7 +12,7 @@ from .common import compute_once, keep
 
 WORDS = 5
 CONTAINMENT = 0.75
-BANDS, ROWS = 24, 2
+BANDS, ROWS = 32, 2
 
 # Wording of public licenses and of common references to them.
 TEMPLATES = {
@@ -57,8 +57,9 @@ def with_shingles(df: DataFrame, text: str) -> DataFrame:
 def bands(s: Column) -> Column:
     """Hash of every band of a set's MinHash signature: BANDS bands of ROWS minima.
 
-    A window with containment c of a template of its size has similarity c / (2 - c), 0.6 at c = 0.75; it then shares
-    a band with probability 1 - (1 - 0.36)^24 > 0.9999.
+    A window with containment c of a template of its size has similarity c / (2 - c). The best window lies at most half
+    a step, a sixteenth of its size, beside one of the grid, which then holds c - 1/16: 0.52 at c = 0.75; that one
+    shares a band with probability 1 - (1 - 0.27)^32 > 0.9999.
     """
     def lowest(j: Column) -> Column:
         return F.array_min(F.transform(s, lambda x: F.xxhash64(x, j)))
@@ -74,12 +75,14 @@ def template_table(df: DataFrame, templates: dict[str, str]) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and license found: key, license, n_windows, containment, first_shingle.
+    """One row per document and license found: key, license, n_windows, containment, first_shingle, best_containment.
 
     Every whole text is cut into overlapping windows of each template size (in shingles, a step of an eighth). Windows
     without any shingle of a template have no minimum in common with one and are passed over, exactly; the others'
-    bands are looked up among the templates' bands, and what meets is verified by exact containment of the template's
-    shingles in the window. Templates are a parameter: their tables, a row per shingle and band, are broadcast.
+    bands are looked up among the templates' bands. What meets is verified by the exact containment of the template's
+    shingles in the windows at every start within a step of it: a license is found if the best of them, best_containment,
+    suffices, wherever it stands. n_windows counts the windows of the grid that suffice; containment is the largest and
+    first_shingle the first start of these, or those of the best window where none does. Templates are a parameter: their tables, a row per shingle and band, are broadcast.
     Null, empty and short texts give no rows; a null or repeated key is carried, rows being told apart by a row number;
     equal rows give equal results each; an empty table gives no rows; other columns are not carried.
     """
@@ -104,13 +107,30 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contai
         .distinct()
     )
     cut = windows.join(held.withColumnRenamed("__s", "__all"), "__row")
-    cut = compute_once(cut, {"__s": F.array_distinct(F.slice("__all", F.col("__start") + 1, F.col("n")))})
-    banded = cut.select("__key", "__row", "n", "__start", "__s", F.posexplode(bands(F.col("__s"))).alias("__band", "__b"))
+    # the shingles of a window and of a step on both sides of it
+    from_ = F.greatest(F.lit(0), F.col("__start") - step)
+    cut = cut.withColumn("__from", from_).withColumn("__off", (F.col("__start") - F.col("__from")).cast("int"))
+    around = F.slice("__all", F.col("__from").cast("int") + 1, (F.col("__off") + F.col("n") + step).cast("int"))
+    cut = compute_once(cut, {"__s": F.array_distinct(F.slice("__all", F.col("__start").cast("int") + 1, F.col("n"))), "__around": around}).drop("__all")
+    banded = cut.select("__key", "__row", "n", "__start", "__from", "__off", "__s", "__around", F.posexplode(bands(F.col("__s"))).alias("__band", "__b"))
     wanted = facts.select("license", "shingles", "n", F.posexplode(bands(F.col("shingles"))).alias("__band", "__b"))
     met = banded.join(F.broadcast(wanted), ["n", "__band", "__b"]).dropDuplicates(["__row", "n", "__start", "license"])
-    share = F.size(F.array_intersect("__s", "shingles")) / F.col("n")
-    sure = met.withColumn("containment", share).where(F.col("containment") >= containment)
-    found = sure.groupBy("__row", "license").agg(
-        F.first("__key").alias("__key"), F.count("*").alias("n_windows"), F.max("containment").alias("containment"), F.min("__start").cast("long").alias("first_shingle")
+    # a window a step away holds at most a step more of the template
+    share = F.size(F.array_intersect("__s", "shingles"))
+    near = compute_once(met, {"__share": share}).where(F.col("__share") + step >= containment * F.col("n"))
+    starts = F.sequence(F.lit(0), F.least(F.size("__around") - 1, F.col("__off") + step))
+    at = F.transform(
+        starts,
+        lambda i: F.struct((F.size(F.array_intersect(F.slice("__around", i + 1, F.col("n")), "shingles")) / F.col("n")).alias("c"), (-F.col("__from") - i).alias("at")),
     )
-    return found.select(F.col("__key").alias(key), "license", "n_windows", "containment", "first_shingle")
+    near = compute_once(near, {"__best": F.array_max(at), "__c": F.col("__share") / F.col("n")})
+    sure = F.col("__c") >= containment
+    found = near.groupBy("__row", "license").agg(
+        F.first("__key").alias("__key"), F.count_if(sure).alias("n_windows"), F.max(F.when(sure, F.col("__c"))).alias("__c"),
+        F.min(F.when(sure, F.col("__start"))).alias("__start"), F.max("__best").alias("__best"),
+    )
+    found = found.where(F.col("__best.c") >= containment).select(
+        "__key", "license", "n_windows", F.coalesce("__c", "__best.c").alias("containment"),
+        F.coalesce("__start", -F.col("__best.at")).cast("long").alias("first_shingle"), F.col("__best.c").alias("best_containment"),
+    )
+    return found.select(F.col("__key").alias(key), "license", "n_windows", "containment", "first_shingle", "best_containment")

@@ -91,6 +91,23 @@ def test_licenses_like_brute_force(spark, words):
     assert {k[1] for k in got if k[0] == 3} >= {"apache-2.0"} and not [k for k in got if k[0] in (0, 4)]
 
 
+def test_an_edited_license_is_found_wherever_it_stands(spark, words):
+    """Containment just over 3/4, with n // 8 and more starts: the best window of most lies between those of the grid."""
+    changed = TEMPLATES["mit"].split()
+    for i in (12, 30, 48, 66):
+        changed[i] = f"other{i}"
+    want, edited = set(shingles(TEMPLATES["mit"])), " ".join(changed)
+    n = len(want)
+    rows = [(i, " ".join([*words[:i], edited, *words[100:150]])) for i in range(24)]
+    best = {}
+    for i, t in rows:
+        s = shingles(t)
+        best[i] = max(len(want & set(s[a : a + n])) / n for a in range(len(s)))
+    assert all(0.75 <= x < 0.78 for x in best.values()) and len([k for k in brute_licenses(rows) if k[1] == "mit"]) < 24
+    got = [r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["license"] == "mit"]
+    assert {r["doc_id"]: r["best_containment"] for r in got} == best and len(got) == 24
+
+
 def test_license_scan_is_native(docs):
     plan = scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
