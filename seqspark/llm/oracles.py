@@ -89,9 +89,97 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN cleaned USING (doc_id)
 """
 
+TURNS = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), sums AS (
+    -- crc32, bit by bit; keys are ASCII
+    SELECT k, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END)), CAST(4294967295 AS UBIGINT)) % 20 AS d
+    FROM (SELECT DISTINCT k FROM keyed)
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM keyed JOIN sums USING (k)
+), placed AS (
+    SELECT *, row_number() OVER w AS i, lead(role) OVER w AS next_role,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+        regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS t
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), judged AS (
+    SELECT *, t = '' AS blank, t <> '' AND seen AS dup, t <> '' AND NOT seen AND NOT right(t, 1) IN ('.', '!', '?') AS cut,
+        left(role, 1) AS c, next_role IS NOT NULL AND NOT left(role, 1) || left(next_role, 1) IN ('su', 'ua', 'au') AS wrong,
+        count(*) OVER (PARTITION BY conv_id) - i AS later
+    FROM placed
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (wrong) AS illegal, count(*) AS n
+    FROM judged GROUP BY conv_id
+),
+-- behind a row, for the states nothing / system / user / assistant: (cost, audit, lines) of the best edits that follow
+steps AS (
+    SELECT conv_id, n AS todo, {'k': 0, 'a': '', 'l': ''} AS b0, {'k': 10, 'a': 'II', 'l': chr(10) || 'user:' || chr(10) || 'assistant:'} AS b1,
+        {'k': 5, 'a': 'I', 'l': chr(10) || 'assistant:'} AS b2, {'k': 0, 'a': '', 'l': ''} AS b3 FROM facts
+    UNION ALL
+    SELECT conv_id, todo - 1,
+        list_min([y0, {'k': 5 + y2.k, 'a': 'I' || y2.a, 'l': chr(10) || 'user:' || y2.l},
+            {'k': 10 + y3.k, 'a': 'II' || y3.a, 'l': chr(10) || 'user:' || chr(10) || 'assistant:' || y3.l}]),
+        list_min([y1, {'k': 5 + y2.k, 'a': 'I' || y2.a, 'l': chr(10) || 'user:' || y2.l},
+            {'k': 10 + y3.k, 'a': 'II' || y3.a, 'l': chr(10) || 'user:' || chr(10) || 'assistant:' || y3.l}]),
+        list_min([y2, {'k': 5 + y3.k, 'a': 'I' || y3.a, 'l': chr(10) || 'assistant:' || y3.l}]),
+        list_min([y3, {'k': 5 + y2.k, 'a': 'I' || y2.a, 'l': chr(10) || 'user:' || y2.l}])
+    FROM (
+        SELECT conv_id, todo,
+            list_min([drop0] || CASE WHEN may THEN [turn_user] || CASE c WHEN 's' THEN [stay1] WHEN 'u' THEN [stay2] ELSE [] END ELSE [] END) AS y0,
+            list_min([drop1] || CASE WHEN may THEN [turn_user] || CASE c WHEN 'u' THEN [stay2] ELSE [] END ELSE [] END) AS y1,
+            list_min([drop2] || CASE WHEN may THEN [turn_assistant] || CASE c WHEN 'a' THEN [stay3] ELSE [] END ELSE [] END) AS y2,
+            list_min([drop3] || CASE WHEN may THEN [turn_user] || CASE c WHEN 'u' THEN [stay2] ELSE [] END ELSE [] END) AS y3
+        FROM (
+            SELECT s.conv_id, s.todo, j.c, NOT j.blank AND NOT j.dup AS may, CASE WHEN j.cut THEN 5 ELSE 0 END AS e,
+                {'k': 2 + b0.k, 'a': 'D' || b0.a, 'l': b0.l} AS drop0, {'k': 2 + b1.k, 'a': 'D' || b1.a, 'l': b1.l} AS drop1,
+                {'k': 2 + b2.k, 'a': 'D' || b2.a, 'l': b2.l} AS drop2, {'k': 2 + b3.k, 'a': 'D' || b3.a, 'l': b3.l} AS drop3,
+                {'k': 1 + e + b2.k, 'a': 'R' || b2.a, 'l': chr(10) || 'user:' || j.text || b2.l} AS turn_user,
+                {'k': 1 + e + b3.k, 'a': 'R' || b3.a, 'l': chr(10) || 'assistant:' || j.text || b3.l} AS turn_assistant,
+                {'k': e + b1.k, 'a': 'K' || b1.a, 'l': chr(10) || j.role || ':' || j.text || b1.l} AS stay1,
+                {'k': e + b2.k, 'a': 'K' || b2.a, 'l': chr(10) || j.role || ':' || j.text || b2.l} AS stay2,
+                {'k': e + b3.k, 'a': 'K' || b3.a, 'l': chr(10) || j.role || ':' || j.text || b3.l} AS stay3
+            FROM steps s JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = s.todo
+        )
+    )
+), done AS (SELECT conv_id, b0 FROM steps WHERE todo = 0)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, CAST(coalesce(b0.k, 0) AS BIGINT) AS cost, coalesce(b0.a, '') AS audit,
+    sha256(coalesce(substr(b0.l, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+NEGATIVES = """
+WITH valid AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, p.vec_id, a.label = p.label AS same,
+        CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * p.v[i])) AS BIGINT) AS score
+    FROM valid a JOIN valid p ON a.vec_id % 100 = 0 AND a.vec_id <> p.vec_id AND len(a.v) = len(p.v)
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
 ORACLES = {
     "op1_jaccard_join": JACCARD,
     "op2_quality_rules": QUALITY,
     "op5_vectors": VECTORS,
     "op10_line_dedup": LINES,
+    "op12_turn_repair": TURNS,
+    "op13_hard_negatives": NEGATIVES,
 }

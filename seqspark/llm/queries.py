@@ -11,13 +11,16 @@ from .boilerplate import dedup_lines
 from .common import table, words
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .negatives import mine_negatives
 from .oracles import ORACLES
 from .packing import pack_documents
 from .pages import main_text
+from .passages import fit_quality, held_out, score_quality
 from .quality import quality_rules
 from .secret_scan import BASE, scan_secrets
 from .sharding import uniform_shards
 from .similarity import jaccard_groups
+from .turns import repair_report
 from .vectors import dedup_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -107,6 +110,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
