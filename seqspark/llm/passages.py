@@ -56,7 +56,7 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Features of every passage of the texts in ``data`` (UTF-8 bytes; text i begins at starts[i], the next text ends it).
 
     Returns (features, text of each passage). A passage is 64 words of one text, the last one fewer; a text without
-    words has one passage of zeros.
+    words has one passage, an empty text's is all zeros. What else is in ``data`` makes no difference.
     """
     n_texts, size = len(starts), len(data)
     space = _SPACE[data]
@@ -78,18 +78,22 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = int(per_text_passages.sum())
     owner = np.repeat(np.arange(n_texts), per_text_passages)
     out = np.zeros((n, WIDTH), np.float32)
-    if not len(word_at):
+    if not size:
         return out, owner
     passage = base[text_of] + place // PASSAGE
     n_words = np.bincount(passage, minlength=n).astype(np.float32)
     some = np.maximum(n_words, 1)
 
-    # bytes belong to the passage of the last word that begins at or before them
-    word_of = np.maximum(np.cumsum(first[:size] & ~space) - 1, 0)
-    counts = np.bincount(passage[word_of] * N_KINDS + KINDS[data], minlength=n * N_KINDS).reshape(n, N_KINDS)
+    # bytes belong to the passage of the last word of their text that begins at or before them, else to its first one
+    of_byte = np.repeat(base, np.diff(np.append(starts, size)))
+    begun = np.concatenate([[0], passage])[np.cumsum(first[:size] & ~space)]
+    of_byte = np.maximum(of_byte, begun)
+    counts = np.bincount(of_byte * N_KINDS + KINDS[data], minlength=n * N_KINDS).reshape(n, N_KINDS)
     n_bytes = np.maximum(counts.sum(1), 1)
     out[:, :N_KINDS] = np.sqrt(counts / n_bytes[:, None])
 
+    if not len(word_at):
+        return out, owner
     up, down = _powers(size)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
@@ -134,9 +138,9 @@ class GatedAttention:
     prior: float = 0.5
 
     def passages(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encoded passages and their attention energies."""
+        """Encoded passages and their attention energies, in double precision: what is in a batch shows only beyond 12 digits."""
         w = self.weights
-        h = np.tanh(((x - w["mean"]) * w["scale"]) @ w["W"] + w["b"])
+        h = np.tanh(((x.astype(np.float64) - w["mean"]) * w["scale"]) @ w["W"] + w["b"])
         return h, (np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"])) @ w["a"]
 
     def answer(self, z: np.ndarray) -> np.ndarray:
@@ -190,7 +194,8 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 24, batch
                 m[k] = 0.9 * m[k] + 0.1 * d
                 s[k] = 0.999 * s[k] + 0.001 * d * d
                 w[k] = (w[k] - now * m[k] / (np.sqrt(s[k]) + 1e-8)).astype(np.float32)
-    return GatedAttention(w | {"mean": mean.astype(np.float32), "scale": scale.astype(np.float32)}, prior)
+    w = w | {"mean": mean, "scale": scale}
+    return GatedAttention({k: v.astype(np.float64) for k, v in w.items()}, prior)
 
 
 def _slabs(data: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -242,7 +247,7 @@ def score_texts(model: GatedAttention, texts: pa.Array) -> tuple[np.ndarray, np.
         j = min(max(j, i + 1), n)
         add(np.arange(i, j), data[offsets[i] : offsets[j]], (offsets[i:j] - offsets[i]).astype(np.int64))
         i = j
-    return model.answer(z / total[:, None]), passages
+    return np.round(model.answer(z / total[:, None]), 9), passages
 
 
 def held_out(key: Column) -> Column:
@@ -282,7 +287,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, text: str = "text", th
     """Add score (0 to 1, higher: better), predicted (1 from the threshold on) and n_passages to every row.
 
     Every passage of the whole text is encoded and takes part with its attention weight. Null and empty texts have one
-    empty passage; repeated rows have equal scores; input columns named like the new ones are replaced; an empty table
+    empty passage; repeated rows have equal scores (rounded to 9 digits); input columns named like the new ones are replaced; an empty table
     gives no rows. A model without labels answers 0.5, one with a single label a smoothed share of it.
     """
     new = ["score", "predicted", "n_passages"]
