@@ -14,7 +14,6 @@ from ..operators import (
     match_aggregates,
     match_at_end,
     match_many,
-    match_stats,
     negated_matches,
     participating_events,
     route_to_queries,
@@ -321,6 +320,21 @@ def q_count_next(spark, d):
     return number(count_matches(events(spark, d), pattern(A(), B(), C(), policy="next")))
 
 
+@query("count_compact", f"{COUNT} ({COMPACT})")
+def q_count_compact(spark, d):
+    return number(count_matches(events(spark, d), pattern(A(), B(kleene=True), C(), mode="maximal_compact")))
+
+
+@query("count_two_kleene", f"{COUNT} (WITH {ABC}, {SPLITS}, m AS (SELECT * FROM full_m) {FLAT})")
+def q_count_two_kleene(spark, d):
+    return number(count_matches(events(spark, d), pattern(A(kleene=True), B(kleene=True), C(), mode="maximal")))
+
+
+@query("count_next_prefix", f"{COUNT} ({PREFIX})")
+def q_count_prefix(spark, d):
+    return number(count_matches(events(spark, d), pattern(A(), B(kleene=True), C(), policy="next", mode="prefix")))
+
+
 @query(
     "match_contiguous",
     f"""WITH l AS (SELECT *, lead(event_type) OVER w AS t1, lead(event_id) OVER w AS i1,
@@ -359,6 +373,11 @@ def q_negation(spark, d):
     return flat(match(events(spark, d), pattern(A(), N(), C())))
 
 
+@query("count_negation", f"{COUNT} ({NEG.format(no='NOT')})")
+def q_count_negation(spark, d):
+    return number(count_matches(events(spark, d), pattern(A(), N(), C())))
+
+
 @query("negated_matches", NEG.format(no=""))
 def q_negated(spark, d):
     return flat(negated_matches(events(spark, d), pattern(A(), N(), C())))
@@ -495,21 +514,6 @@ def q_aggregates(spark, d):
     )
 
 
-@query(
-    "match_stats",
-    f"""SELECT x.user_id, x.matches, x.late_matches, x.longest, coalesce(n.negated_matches, 0) AS negated_matches FROM (
-    SELECT user_id, count(*) AS matches, count(*) FILTER (end_id % 5 = 0) AS late_matches,
-      max(n_events) AS longest FROM ({MAXIMAL}) GROUP BY user_id) x
-    LEFT JOIN (SELECT user_id, count(*) AS negated_matches FROM ({NEG.format(no="")}) GROUP BY user_id) n
-    ON n.user_id = x.user_id""",
-)
-def q_match_stats(spark, d):
-    e = events(spark, d)
-    m = match(e, pattern(A(), B(kleene=True), C(), mode="maximal")).withColumn("is_ooo", F.col("end_id") % 5 == 0)
-    out = match_stats(m, ["user_id"], negated_matches(e, pattern(A(), N(), C())))
-    return out.filter("matches > 0").withColumn("longest", F.col("longest").cast("long"))
-
-
 @query("distinct_matches", MAXIMAL)
 def q_distinct(spark, d):
     m = match(events(spark, d), pattern(A(), B(kleene=True), C(), mode="maximal"))

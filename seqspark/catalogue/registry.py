@@ -42,6 +42,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/seq-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows from a new table on shared storage: what several plans read is made once."""
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def A(**kw) -> Step:
     return Step("a", "event_type = 'view'", **kw)
 

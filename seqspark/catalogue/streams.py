@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy_under_disorder, apply_changelog, match
 from ..sources import write_changelog, write_matches
-from ..streaming import LatenessGate, current_matches, stream_dropped, stream_gate, stream_match, stream_match_batch, stream_sequence_append
+from ..streaming import (
+    LatenessGate,
+    current_matches,
+    live_matches,
+    stream_dropped,
+    stream_gate,
+    stream_match,
+    stream_match_batch,
+    stream_sequence_append,
+)
 from .events import disorder
 from .late import LATE, rates
 from .matching import COMPACT, MAXIMAL, any_sql, next_sql
@@ -18,12 +27,12 @@ from .registry import ARR, A, B, C, arrivals, events, flat, pattern, query, scra
 PORTIONS, FILES = 3, 4
 
 
-def event_stream(spark, d, path):
+def event_stream(spark, d, path, portions=PORTIONS, of=range):
     """The events in arrival order, one write of FILES files per portion; a stream reads a portion at a time."""
     rows = arrivals(spark, d).withColumn("ts", F.to_timestamp("ts")).persist()
-    size = rows.agg((F.count(F.lit(1)) / PORTIONS).cast("long") + 1).first()[0]
+    size = rows.agg((F.count(F.lit(1)) / portions).cast("long") + 1).first()[0]
     portion = F.floor((F.col("arrival_seq") - 1) / size)
-    for n in range(PORTIONS):
+    for n in of(portions):
         rows.where(portion == n).repartition(FILES).write.mode("append").parquet(f"{path}/in")
     rows.unpersist()
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
@@ -62,6 +71,33 @@ def q_store_compact(spark, d):
     return batch_store(spark, d, pattern(A(), B(kleene=True), C(), mode="maximal_compact"))
 
 
+def restarted_store(spark, d, spec, expire):
+    """Six micro-batches, merged before every second one, by two runs of the job over one store."""
+    path = scratch(spark)
+    for half in (range(3), range(3, 6)):
+        stream = event_stream(spark, d, path, 6, lambda n, half=half: half)
+        finished(stream_match_batch(stream, spec, f"{path}/store", f"{path}/checkpoint", compact_every=2, expire=expire))
+    return f"{path}/store"
+
+
+@query("stream_store_compacted", MAXIMAL)
+def q_store_compacted(spark, d):
+    spec = pattern(A(), B(kleene=True), C(), mode="maximal")
+    m = current_matches(spark, restarted_store(spark, d, spec, False), spec)
+    return flat(m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}))
+
+
+@query(
+    "stream_store_expired",
+    f"SELECT * FROM ({any_sql(3)}) WHERE end_ts >= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'click', 'purchase')) - INTERVAL 3 DAY",
+)
+def q_store_expired(spark, d):
+    """What is left when events go after two windows and matches after one: those of the last window, all of them right."""
+    spec = pattern(A(), B(), C())
+    m = live_matches(spark, restarted_store(spark, d, spec, True), spec)
+    return flat(m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}))
+
+
 def keyed(spark, d, spec):
     path = scratch(spark)
     log = stream_match(event_stream(spark, d, path), spec, delay="1 day")
@@ -163,4 +199,4 @@ def q_accuracy(spark, d):
     }
     e = events(spark, d)
     portion = e.agg((F.count(F.lit(1)) / 3).cast("long")).scalar()
-    return accuracy_under_disorder(e, specs, LEVELS, rounds=3, rows_per_round=portion)
+    return accuracy_under_disorder(e, specs, LEVELS, rounds=3, rows_per_round=portion, store=scratch(spark))

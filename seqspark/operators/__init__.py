@@ -12,6 +12,7 @@ from .lateness import (
     running_max_ts,
     watermark_delay,
 )
+from .lifetimes import match_lifetimes, match_provenance, match_status, portion_changelog
 from .match import (
     format_matches,
     idle_events,
@@ -23,13 +24,14 @@ from .match import (
     route_to_queries,
 )
 from .perturb import inject_delay, inject_disorder, inject_duplicates
-from .quality import accuracy_under_disorder
+from .quality import accuracy_under_disorder, changelog_accuracy
 from .sizing import fit_to_data
 from .sets import (
     compare_matches,
     dedup_events,
     distinct_matches,
     first_last_in_window,
+    first_last_per_end,
     sort_by_event_time,
     sort_by_ingestion,
 )

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.time import bucket_of
 from ..plans.base import Prepared, prepare
+from ..plans.chain import next_chain
 from ..plans.scans import running
-from ..spec import PatternSpec
+from ..spec import PatternSpec, Step
 from .combos import early_frame, ends_frame
 from .folds import depends
 from .following import next_runs
@@ -17,65 +20,65 @@ from ..plans.joins import meet_on
 BIG = "decimal(38,0)"
 
 
-def prefix_counts(p: Prepared, rows: DataFrame, depth: int) -> DataFrame:
-    """Add ``_a{i}_{j}``: how many chains of steps i..j lie strictly before each row.
+def block_scan(rows: DataFrame, by: list[str], measures: dict, reverse: bool, p: Prepared) -> DataFrame:
+    """Running sums inside blocks as wide as the window; blocks are cut further where the pattern asks for short chunks."""
+    if p.chunk < p.within:
+        return running(rows, by, "_t", p.chunk, measures, reverse=reverse)
+    scan = W.partitionBy(*by).orderBy(F.col("_t").desc() if reverse else F.col("_t").asc())
+    sums = [F.sum(v).over(scan.rangeBetween(W.unboundedPreceding, -1 if strict else 0)).alias(n) for n, (_, v, strict) in measures.items()]
+    return rows.select("*", *sums)
 
-    ``_a{i}_{j}`` sums, over the earlier events of step j, the chains of steps i..j-1
-    before that event, so each level is one running sum.
-    """
-    for width in range(depth):
-        measures = {}
-        for i in range(depth - width):
-            j = i + width
-            ways = F.lit(1) if width == 0 else F.col(f"_a{i}_{j - 1}")
-            value = F.when(F.col(f"_is{j}"), ways).cast(BIG)
-            measures[f"_a{i}_{j}"] = ("sum", value, True)
-        rows = running(rows, p.spec.keys, "_t", p.chunk, measures, levels=p.levels)
-        for name in measures:
-            rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast(BIG))
-    return rows
-
-
-def between(hi: Column, lo: Column, depth: int) -> Column:
-    """Chains of steps 0..depth-1 inside [lo, hi) from the prefix counts at both places.
-
-    Every chain before ``hi`` splits into the leading steps before ``lo`` and the rest
-    inside, which gives the counts inside by increasing length.
-    """
-    inside: dict[tuple[int, int], Column] = {}
-    for width in range(depth):
-        for i in range(depth - width):
-            m = i + width
-            value = hi[f"_a{i}_{m}"]
-            for j in range(i, m + 1):
-                rest = inside[(j + 1, m)] if j < m else F.lit(1)
-                value = value - (lo[f"_a{i}_{j}"] * rest).cast(BIG)
-            inside[(i, m)] = value.cast(BIG)
-    return inside[(0, depth - 1)]
+
+def points(p: Prepared, steps: list[Step]) -> DataFrame:
+    """One row per key and time with the number of events of every step: ``_t``, ``_k0``, ``_k1``, ..."""
+    numbers = [F.count_if(p.flag(s)).alias(f"_k{i}") for i, s in enumerate(steps)]
+    return p.df.groupBy(*p.spec.keys, F.col("_e")["t"].alias("_t")).agg(*numbers)
 
 
 def count_combinations(p: Prepared) -> DataFrame:
-    """Policy any without one-or-more steps: running sums only, linear in the events.
+    """Policy any without one-or-more steps: products of step-count matrices, linear in the events.
 
-    Each end needs the sums at its own time and at the start of its window; the latter
-    comes from a probe row placed there.
+    Time is cut into blocks as wide as the window, so a window is the end of one block and the beginning of the next.
+    Entry (i, j) of a stretch's upper-triangular matrix is the number of chains of steps i..j inside it; matrices of
+    neighbouring stretches multiply. One scan forwards gives the matrix from the block's start to every end, one
+    backwards that from the start of the end's window (a probe row) to the end of the block before. Sums never reach
+    further back than a window.
     """
     *early, last = p.spec.positive
-    keys, depth = p.spec.keys, len(early)
-    t = F.col("_e")["t"]
-    flags = [p.flag(s).alias(f"_is{i}") for i, s in enumerate(early)]
-    off = [F.lit(False).alias(f"_is{i}") for i in range(depth)]
-    end = F.when(p.flag(last), F.col("_e")["id"]).alias("_end")
-    rows = p.df.select(*keys, t.alias("_t"), *flags, end, F.lit(False).alias("_probe"))
-    probes = p.rows(last).select(
-        *keys, (t - p.within).alias("_t"), *off, F.col("_e")["id"].alias("_end"), F.lit(True).alias("_probe")
+    keys, d, width = p.spec.keys, len(early), max(1, p.within)
+    kind = "bigint" if d < 3 else BIG  # chains of two steps in one window fit, longer ones may not
+    own = points(p, [*early, last]).withColumn("_end", F.when(F.col(f"_k{d}") > 0, F.col("_t")))
+    counts = [F.col(f"_k{i}").cast(kind).alias(f"_k{i}") for i in range(d)]
+    rows = own.select(*keys, "_t", *counts, F.col(f"_k{d}").alias("_ends"), "_end", F.lit(False).alias("_probe"))
+    probes = rows.where("_end is not null").select(
+        *keys, (F.col("_t") - width).alias("_t"), *[F.lit(0).cast(kind).alias(f"_k{i}") for i in range(d)], "_ends", "_end", F.lit(True).alias("_probe")
     )
-    counted = prefix_counts(p, rows.unionByName(probes), depth).filter(F.col("_end").isNotNull())
-    sums = F.struct(*[c for c in counted.columns if c.startswith("_a")])
-    both_ends = counted.groupBy(*keys, "_end").agg(
-        F.max(F.when(~F.col("_probe"), sums)).alias("hi"), F.max(F.when(F.col("_probe"), sums)).alias("lo")
+    blocks, by = rows.unionByName(probes).withColumn("_block", bucket_of(F.col("_t"), width)), [*keys, "_block"]
+
+    def known(name, missing):
+        return F.lit(1).cast(kind) if missing else F.col(name)
+
+    for length in range(d):
+        spans = [(i, i + length) for i in range(d - length)]
+        ahead = {f"_f{i}_{j}": ("sum", (F.col(f"_k{j}") * known(f"_f{i}_{j - 1}", i == j)).cast(kind), True) for i, j in spans}
+        blocks = block_scan(blocks, by, ahead, False, p).withColumns({n: F.coalesce(n, F.lit(0)).cast(kind) for n in ahead})
+    for length in range(d):
+        # chains from step 0 are asked for at the probe and include events at its time; the others stand behind an event
+        back = {}
+        for i in range(d - length):
+            j = i + length
+            value = (F.col(f"_k{i}") * known(f"_r{i + 1}_{j}", i == j)).cast(kind)
+            back[f"_r{i}_{j}"] = ("sum", value, i > 0)
+        blocks = block_scan(blocks, by, back, True, p).withColumns({n: F.coalesce(n, F.lit(0)).cast(kind) for n in back})
+    forth = F.struct(*[F.col(f"_f{i}_{d - 1}") for i in range(d)])
+    behind = F.struct(*[F.col(f"_r0_{j}") for j in range(d)])
+    ends = blocks.where("_end is not null").groupBy(*keys, "_end").agg(
+        F.max(F.when(~F.col("_probe"), forth)).alias("f"), F.max(F.when(F.col("_probe"), behind)).alias("r"), F.max("_ends").alias("_ends")
     )
-    return both_ends.select(*keys, between(F.col("hi"), F.col("lo"), depth).alias("_n"))
+    total = F.col("f")[f"_f0_{d - 1}"] + F.col("r")[f"_r0_{d - 1}"]
+    for m in range(1, d):
+        total = total + F.col("r")[f"_r0_{m - 1}"] * F.col("f")[f"_f{m}_{d - 1}"]
+    return ends.select(*keys, (total.cast(BIG) * F.col("_ends")).cast(BIG).alias("_n"))
 
 
 def count_pairs(p: Prepared, weight) -> DataFrame:
@@ -140,10 +143,103 @@ def count_maximal(p: Prepared) -> DataFrame:
     return per_end.select(*keys, F.greatest(F.col("hi") - F.col("lo"), F.lit(0)).cast(BIG).alias("_n"))
 
 
+def with_closers(p: Prepared, rows: DataFrame) -> DataFrame:
+    """Add ``_a``, ``_h``: starts up to a time, and times of b up to it that some start precedes since the b before.
+
+    ``rows`` has ``_t`` and the counts ``_k0`` (starts) and ``_k1`` (b); probe rows count nothing.
+    """
+    a, b, t = F.col("_k0"), F.col("_k1"), F.col("_t")
+    measures = {"_a": ("sum", a, False), "_pa": ("max", F.when(a > 0, t), True), "_pb": ("max", F.when(b > 0, t), True)}
+    rows = running(rows, p.spec.keys, "_t", p.chunk, measures, levels=p.levels)
+    closer = (b > 0) & F.col("_pa").isNotNull() & (F.col("_pb").isNull() | (F.col("_pa") >= F.col("_pb")))
+    rows = rows.withColumn("_c", F.coalesce(closer, F.lit(False)).cast("long")).drop("_pa", "_pb")
+    rows = running(rows, p.spec.keys, "_t", p.chunk, {"_h": ("sum", F.col("_c"), False)}, levels=p.levels)
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_a", "_h")})
+
+
+def window_points(p: Prepared, hops: list[int]) -> DataFrame:
+    """Per end of ``A B+ C``/``A+ B+ C``: counts at the end, at its window's start, and at what follows that start.
+
+    Columns: the keys, ``_end``, ``_ends``, ``at`` (the end's own point), ``lo`` (the probe just before the window)
+    and ``hop0`` (the next point with an event of step ``hops[0]`` after it, ``nxt`` the next one of ``hops[1]``).
+    """
+    a, b, c = p.spec.positive
+    keys = p.spec.keys
+    own = points(p, [a, b, c]).withColumn("_end", F.when(F.col("_k2") > 0, F.col("_t"))).withColumn("_probe", F.lit(False))
+    none = {n: F.lit(0).cast("long") for n in ("_k0", "_k1")}
+    probes = own.where("_end is not null").withColumns(none).withColumns({"_t": F.col("_t") - p.within - 1, "_probe": F.lit(True)})
+    rows = with_closers(p, own.unionByName(probes))
+    event = F.struct(F.col("_t").alias("t"), "_a", "_h", "_k0", "_c")
+    rows = rows.select(*keys, event.alias("_e"), "_k0", "_k1", F.col("_k2").alias("_ends"), "_end", "_probe")
+    chained = next_chain(rows, keys, p.chunk, [F.col(f"_k{i}") > 0 for i in hops], levels=p.levels).where("_end is not null")
+    return chained.groupBy(*keys, "_end").agg(
+        F.max("_ends").alias("_ends"), F.max(F.when(~F.col("_probe"), F.col("_e"))).alias("at"), F.max(F.when(F.col("_probe"), F.col("_e"))).alias("lo"),
+        F.max(F.when(F.col("_probe"), F.col("hop0"))).alias("hop0"),
+    )
+
+
+def count_compact(p: Prepared) -> DataFrame:
+    """``A B+ C`` compact: the starts before the window's first usable b, and one per later b that closes a start."""
+    ends = window_points(p, [0, 1])
+    b0, at = F.col("hop0")["nxt"], F.col("at")
+    before = b0["_a"] - b0["_k0"] - F.col("lo")["_a"]
+    later = at["_h"] - at["_c"] - b0["_h"]
+    n = F.when(b0["t"] < F.col("_end"), before + later).otherwise(0)
+    return ends.select(*p.spec.keys, (F.coalesce(n, F.lit(0)) * F.col("_ends")).cast(BIG).alias("_n"))
+
+
+def count_two_kleene(p: Prepared) -> DataFrame:
+    """``A+ B+ C`` maximal: one match per b that closes a start inside the window."""
+    ends = window_points(p, [1])
+    b1, at = F.col("hop0"), F.col("at")
+    first = (b1["_a"] - b1["_k0"] > F.col("lo")["_a"]).cast("long")
+    n = F.when(b1["t"] < F.col("_end"), first + at["_h"] - at["_c"] - b1["_h"]).otherwise(0)
+    return ends.select(*p.spec.keys, (F.coalesce(n, F.lit(0)) * F.col("_ends")).cast(BIG).alias("_n"))
+
+
+def count_next_prefix(p: Prepared) -> DataFrame:
+    """``A B+ C`` next prefix: per start the b between it and the latest c of its window."""
+    a, b, c = p.spec.positive
+    keys = p.spec.keys
+    own = points(p, [a, b, c]).withColumn("_start", F.when(F.col("_k0") > 0, F.col("_t"))).withColumn("_probe", F.lit(False))
+    none = {n: F.lit(0).cast("long") for n in ("_k1", "_k2")}
+    probes = own.where("_start is not null").withColumns(none).withColumns({"_t": F.col("_t") + p.within, "_probe": F.lit(True)})
+    rows = own.unionByName(probes)
+    rows = running(rows, keys, "_t", p.chunk, {"_b": ("sum", F.col("_k1"), False)}, levels=p.levels).withColumn("_b", F.coalesce("_b", F.lit(0)))
+    # the b before the latest c; they grow with c, so the largest is the latest c's
+    latest = {"_until": ("max", F.when(F.col("_k2") > 0, F.col("_b") - F.col("_k1")), False)}
+    rows = running(rows, keys, "_t", p.chunk, latest, levels=p.levels).where("_start is not null")
+    starts = rows.groupBy(*keys, "_start").agg(
+        F.max("_k0").alias("_starts"), F.max(F.when(F.col("_probe"), F.col("_until"))).alias("hi"), F.max(F.when(~F.col("_probe"), F.col("_b"))).alias("lo")
+    )
+    n = F.greatest(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0))
+    return starts.select(*keys, (n * F.col("_starts")).cast(BIG).alias("_n"))
+
+
+def count_negation(p: Prepared) -> DataFrame:
+    """``A !N C`` any: per end the starts of its window after the latest negated event."""
+    a, n, c = p.spec.steps
+    keys = p.spec.keys
+    own = points(p, [a, n, c]).withColumn("_end", F.when(F.col("_k2") > 0, F.col("_t"))).withColumn("_probe", F.lit(False))
+    none = {x: F.lit(0).cast("long") for x in ("_k0", "_k1")}
+    probes = own.where("_end is not null").withColumns(none).withColumns({"_t": F.col("_t") - p.within - 1, "_probe": F.lit(True)})
+    rows = running(own.unionByName(probes), keys, "_t", p.chunk, {"_a": ("sum", F.col("_k0"), False)}, levels=p.levels)
+    rows = rows.withColumn("_a", F.coalesce("_a", F.lit(0)))
+    cut = {"_cut": ("max", F.when(F.col("_k1") > 0, F.col("_a")), False)}
+    rows = running(rows, keys, "_t", p.chunk, cut, levels=p.levels).where("_end is not null")
+    ends = rows.groupBy(*keys, "_end").agg(
+        F.max("_k2").alias("_ends"), F.max(F.when(~F.col("_probe"), F.col("_a") - F.col("_k0"))).alias("hi"),
+        F.max(F.when(~F.col("_probe"), F.col("_cut"))).alias("cut"), F.max(F.when(F.col("_probe"), F.col("_a"))).alias("lo"),
+    )
+    found = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce("cut", F.lit(0))), F.lit(0))
+    return ends.select(*keys, (found * F.col("_ends")).cast(BIG).alias("_n"))
+
+
 def count_matches(events: DataFrame, spec: PatternSpec, per_key: bool = False) -> DataFrame:
     """Number of matches (``n_matches``), in total or per partition key."""
     keys = list(spec.keys) if per_key else []
-    simple = not any(depends(s) or s.negated for s in spec.steps)
+    plain = not any(depends(s) for s in spec.steps)
+    simple = plain and not any(s.negated for s in spec.steps)
     any_policy = spec.policy == "any" and simple
     if any_policy and not spec.has_kleene:
         found = count_combinations(prepare(events, spec))
@@ -151,6 +247,14 @@ def count_matches(events: DataFrame, spec: PatternSpec, per_key: bool = False) -
         found = count_maximal(prepare(events, spec))
     elif any_policy and spec.shape == ".+." and spec.mode == "all":
         found = count_pairs(prepare(events, spec), subsets_of)
+    elif any_policy and spec.shape == ".+." and spec.mode == "maximal_compact":
+        found = count_compact(prepare(events, spec))
+    elif any_policy and spec.shape == "++." and spec.mode in ("maximal", "maximal_compact"):
+        found = count_two_kleene(prepare(events, spec))
+    elif spec.policy == "any" and plain and not simple and spec.shape == "..":
+        found = count_negation(prepare(events, spec))
+    elif spec.policy == "next" and simple and spec.mode == "prefix" and spec.shape == ".+.":
+        found = count_next_prefix(prepare(events, spec))
     elif spec.policy == "next" and simple and spec.mode == "maximal" and spec.shape == ".+.":
         found = next_runs(prepare(events, spec)).withColumn("_n", F.lit(1))
     else:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import bucket_of, duration_ticks, from_ticks, ticks
+from ..plans.base import prepare
+from ..plans.sliding import window_extrema
+from ..spec import PatternSpec
 
 
 def dedup_events(df: DataFrame, by=("source", "event_type", "ts"), order: str = "arrival_seq") -> DataFrame:
@@ -72,3 +75,31 @@ def first_last_in_window(
         *by, from_ticks(df, ts, F.col("_k") * width).alias("span_start"),
         F.col("_a.id").alias("first_id"), F.col("_z.id").alias("last_id"),
     )
+
+
+def first_last_per_end(events: DataFrame, spec: PatternSpec) -> DataFrame:
+    """Per event of the last step: the first and last event of every earlier step in its own window.
+
+    Columns: the keys, ``end_ts``, ``end_id`` and per step ``first_<step>`` and ``last_<step>`` (id, ts), null where
+    the window ``[end - within, end)`` holds none; an end that lacks a step has no match.
+    """
+    p = prepare(events, spec)
+    *early, last = spec.positive
+    t = F.col("_e")["t"]
+    who = F.struct(t.alias("t"), F.col("_e")["id"].alias("id"))
+    measures = {}
+    for s in early:
+        for kind, name in (("min", "first"), ("max", "last")):
+            measures[f"{name}_{s.name}"] = (kind, F.when(p.flag(s), who))
+    flags = F.col("_e").isNotNull()
+    for i, s in enumerate(early):
+        flags = p.flag(s) if i == 0 else flags | p.flag(s)
+    rows = p.df.where(flags).withColumn("_t", t)
+    ends = p.rows(last).select(*spec.keys, t.alias("_t"), F.col("_e")["id"].alias("end_id"))
+    out = window_extrema(rows, ends, spec.keys, p.within, p.chunk, measures, strict=True)
+    found = out.join(ends, [*spec.keys, "end_id"])
+
+    def shown(name):
+        return F.when(F.col(name).isNotNull(), F.struct(F.col(name)["id"].alias("id"), p.time(F.col(name)["t"]).alias("ts"))).alias(name)
+
+    return found.select(*spec.keys, p.time(F.col("_t")).alias("end_ts"), "end_id", *[shown(n) for n in measures])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import ticks
 from ..operators.lateness import LATE, adaptive_threshold, classify_lateness, discard_too_late, lateness_score
+from .snapshots import numbered, remove
 
 
 class LatenessGate:
@@ -28,24 +28,32 @@ class LatenessGate:
     ):
         self.sources, self.within, self.path, self.factor, self.a, self.c = sources, within, path, factor, a, c
         self.by, self.types, self.ts, self.order, self.chunk = list(by), list(types), ts, order, chunk
+        self.cached: DataFrame | None = None
 
     def state(self, spark: SparkSession, name: str, revision: int) -> DataFrame | None:
-        """The last state before a revision; None before the first."""
-        try:
-            df = spark.read.parquet(f"{self.path}/{name}").where(F.col("revision") < revision)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-        last = df.agg(F.max("revision")).first()[0]
-        return None if last is None else df.where(F.col("revision") == last).drop("revision")
+        """The last state before a revision; None before the first.
+
+        Older states are deleted: a repeated revision starts from the same one, and only the newest can be repeated.
+        """
+        held = [r for r in numbered(spark, f"{self.path}/{name}", "revision") if r < revision]
+        for r in held[:-2]:
+            remove(spark, f"{self.path}/{name}/revision={r}")
+        return spark.read.parquet(f"{self.path}/{name}/revision={held[-1]}") if held else None
+
+    def release(self) -> None:
+        """Free the cached decisions of the last batch, once both of its parts are written."""
+        if self.cached is not None:
+            self.cached.unpersist()
+            self.cached = None
 
     def __call__(self, batch: DataFrame, revision: int) -> tuple[DataFrame, DataFrame]:
         spark = batch.sparkSession
+        self.release()
         high, scores = self.state(spark, "latest", revision), self.state(spark, "scores", revision)
         judged = classify_lateness(batch, self.sources, self.by, ts=self.ts, order=self.order, chunk=self.chunk, state=high)
         judged = lateness_score(judged, self.within, self.a, 0.0, self.c, ts=self.ts)
-        judged = adaptive_threshold(judged, self.factor, self.types, order=self.order, chunk=self.chunk, state=scores).persist()
+        judged = adaptive_threshold(judged, self.factor, self.types, order=self.order, chunk=self.chunk, state=scores)
+        self.cached = judged.persist()
 
         late = F.col("status") == LATE
         now_high = batch.groupBy(*self.by).agg(F.max(ticks(batch, self.ts)).alias("latest"))
@@ -66,6 +74,7 @@ def stream_gate(sdf: DataFrame, gate: LatenessGate, path: str, checkpoint: str):
         batch = batch.persist()
         for name, rows in zip(("kept", "dropped"), gate(batch, number)):
             rows.write.mode("overwrite").parquet(f"{path}/{name}/revision={number}")
+        gate.release()
         batch.unpersist()
 
     return sdf.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,13 +1,15 @@
 """Live queries over files: restart, late events, equality with the batch answer."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from helpers import id_sets, random_events, spec
 
 from seqspark import adaptive_threshold, apply_changelog, classify_lateness, lateness_score, match
 from seqspark.sources import write_changelog
-from seqspark.streaming import LatenessGate, current_matches, stream_dropped, stream_match, stream_match_batch
+from seqspark.streaming import LatenessGate, compact, correct, current_matches, live_matches, snapshots, stream_dropped, stream_match, stream_match_batch
+from seqspark.streaming.snapshots import numbered
 
 BASE = dt.datetime(2024, 1, 1)
 SCHEMA = "event_id long, ts timestamp, kind string, key long"
@@ -103,3 +105,102 @@ def test_keyed_state_refuses_what_it_cannot_do(spark, tmp_path):
     ):
         with pytest.raises(ValueError):
             stream_match(stream, s)
+
+
+def batches(spark, events, cuts):
+    for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        yield n, timed(spark, events[lo:hi])
+
+
+def files_of(store, kind):
+    """Data files per bucket folder of the snapshots."""
+    return {p.name: len(list(p.glob("*.parquet"))) for p in Path(store, "snapshots", kind).glob("gen=*/*")}
+
+
+@pytest.mark.parametrize("text,policy,mode", [("a b+ c", "any", "maximal_compact"), ("a b c", "next", "all")])
+def test_store_stays_small_over_fifty_batches(spark, tmp_path, text, policy, mode):
+    events = random_events(12, n=150, keys=2, kinds="abc")
+    events = sorted(events, key=lambda e: e["t"] + (e["id"] * 7919) % 40)
+    s, store = spec(text, "20 min", policy=policy, mode=mode), str(tmp_path / "store")
+    for n, batch in batches(spark, events, range(0, 151, 3)):
+        if n and n % 5 == 0:
+            compact(spark, store, s, n)
+        correct(batch, n, s, store)
+        assert len(numbered(spark, f"{store}/events", "revision")) <= 5
+    m = compact(spark, store, s, 50)
+    assert m.upto == 49 and not numbered(spark, f"{store}/changes", "revision")
+    for kind in ("events", "matches"):
+        held = files_of(store, kind)
+        assert held and set(held.values()) == {1} and len(held) == len(m.buckets[kind])
+    assert id_sets(current_matches(spark, store, s)) == id_sets(match(timed(spark, events), s))
+
+
+@pytest.mark.parametrize("fail_at", ["write_buckets", "write_manifest", "clean"])
+def test_a_merge_that_breaks_off_is_repeated(spark, tmp_path, monkeypatch, fail_at):
+    events = random_events(5, n=90, keys=2, kinds="abc")
+    events = sorted(events, key=lambda e: e["t"] + (e["id"] * 7919) % 30)
+    s, store, calls = spec("a b+ c", "15 min", mode="maximal"), str(tmp_path / "store"), []
+    whole = getattr(snapshots, fail_at)
+
+    def breaks(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return whole(*args)
+
+    for n, batch in batches(spark, events, range(0, 91, 15)):
+        if n == 3:
+            with monkeypatch.context() as patch:
+                patch.setattr(snapshots, fail_at, breaks)
+                for _ in range(2):  # the second or first call of the step fails
+                    try:
+                        compact(spark, store, s, n)
+                    except RuntimeError:
+                        break
+                seen = [e for e in events[: 15 * n]]
+                assert id_sets(current_matches(spark, store, s)) == id_sets(match(timed(spark, seen), s))
+            compact(spark, store, s, n)
+        correct(batch, n, s, store)
+        correct(batch, n, s, store)  # a repeated batch changes nothing
+    compact(spark, store, s, 6)
+    assert id_sets(current_matches(spark, store, s)) == id_sets(match(timed(spark, events), s))
+
+
+def test_expiry_refuses_what_its_window_may_miss(spark, tmp_path):
+    events = random_events(3, n=160, keys=2, kinds="abc")
+    minutes = 90
+    for k, e in enumerate(events):
+        e["t"] = e["t"] * 7 + k % 5  # a long stream: many windows of an hour
+    order = sorted(events, key=lambda e: e["t"] + (200 if e["id"] % 9 == 0 else (e["id"] * 31) % 25))
+    s, store = spec("a b c", f"{minutes} min"), str(tmp_path / "store")
+    horizon, accepted = None, []
+    for n, (lo, hi) in enumerate(zip(range(0, 160, 10), range(10, 161, 10))):
+        if n and n % 2 == 0:
+            m = compact(spark, store, s, n, expire=True)
+            horizon = max(e["t"] for e in accepted)
+            width = minutes * 60_000_000
+            newest = m.horizon // 60_000_000
+            assert all((b + 1) * width // 60_000_000 > newest - 2 * minutes for b in m.buckets["events"])
+            assert all((b + 1) * width // 60_000_000 > newest - minutes for b in m.buckets["matches"])
+        part = order[lo:hi]
+        accepted += [e for e in part if horizon is None or e["t"] >= horizon - minutes]
+        correct(timed(spark, part), n, s, store, expire=True)
+    assert len(accepted) < len(events)
+    refused = spark.read.option("recursiveFileLookup", True).parquet(f"{store}/refused")
+    assert {r.event_id for r in refused.collect()} == {e["id"] for e in events} - {e["id"] for e in accepted}
+    newest = max(e["t"] for e in accepted)
+    want = match(timed(spark, accepted), s)
+    cut = BASE + dt.timedelta(minutes=newest - minutes)
+    want = id_sets(want.where(want.end_ts >= cut))
+    assert want and id_sets(live_matches(spark, store, s)) == want
+
+
+def test_gate_keeps_two_states(spark, tmp_path):
+    df = spark.createDataFrame([(i, i, "a", 1, i) for i in range(60)], "event_id long, ts long, event_type string, source long, arrival_seq long")
+    gate = LatenessGate(spark.createDataFrame([("a", 3)], "event_type string, est_interval_ms long"), 50, str(tmp_path), chunk=10)
+    for n in range(6):
+        kept, _ = gate(df.where((df.arrival_seq >= 10 * n) & (df.arrival_seq < 10 * n + 10)), n)
+        assert kept.count() == 10
+        gate.release()
+        assert gate.cached is None
+    assert len(numbered(spark, f"{tmp_path}/latest", "revision")) <= 3
