@@ -1,10 +1,12 @@
 """Live queries over files: restart, late events, equality with the batch answer."""
 
 import datetime as dt
+import shutil
 from pathlib import Path
 
 import pytest
 from helpers import id_sets, random_events, spec
+from pyspark.sql import functions as F
 
 from seqspark import adaptive_threshold, apply_changelog, classify_lateness, lateness_score, match
 from seqspark.sources import write_changelog
@@ -107,90 +109,98 @@ def test_keyed_state_refuses_what_it_cannot_do(spark, tmp_path):
             stream_match(stream, s)
 
 
-def batches(spark, events, cuts):
-    for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        yield n, timed(spark, events[lo:hi])
-
-
 def files_of(store, kind):
     """Data files per bucket folder of the snapshots."""
-    return {p.name: len(list(p.glob("*.parquet"))) for p in Path(store, "snapshots", kind).glob("gen=*/*")}
-
-
-@pytest.mark.parametrize("text,policy,mode", [("a b+ c", "any", "maximal_compact"), ("a b c", "next", "all")])
-def test_store_stays_small_over_fifty_batches(spark, tmp_path, text, policy, mode):
-    events = random_events(12, n=150, keys=2, kinds="abc")
-    events = sorted(events, key=lambda e: e["t"] + (e["id"] * 7919) % 40)
-    s, store = spec(text, "20 min", policy=policy, mode=mode), str(tmp_path / "store")
-    for n, batch in batches(spark, events, range(0, 151, 3)):
-        if n and n % 5 == 0:
-            compact(spark, store, s, n)
-        correct(batch, n, s, store)
-        assert len(numbered(spark, f"{store}/events", "revision")) <= 5
+    return {p.name: len(list(p.glob("*.parquet"))) for p in Path(store, "snapshots", kind).glob("gen=*/*=*")}
+
+
+def deltas(spark, store, n, spec, events):
+    """What a micro-batch leaves in the store, without matching it: its events, and one match per end."""
+    width = 3_600_000_000
+    df = timed(spark, events).withColumn("time_bucket", F.floor(F.unix_micros("ts") / width))
+    df.write.partitionBy("time_bucket").parquet(f"{store}/events/revision={n}")
+    ends = df.where("kind = 'c'").select(
+        F.lit("insert").alias("kind"), "key", F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts"), F.col("event_id").alias("end_id"),
+        F.lit(1).alias("n_events"), F.array("event_id").alias("event_ids"), F.col("event_id").alias("match_id"), F.lit(None).cast("long").alias("old_match_id"),
+        F.col("time_bucket").alias("end_bucket"),
+    )
+    ends.write.partitionBy("end_bucket").parquet(f"{store}/changes/revision={n}")
+
+
+def test_store_stays_small_over_fifty_batches(spark, tmp_path):
+    events = sorted(random_events(12, n=150, keys=2, kinds="abc", span=900), key=lambda e: e["t"] + (e["id"] * 7919) % 40)
+    s, store = spec("a b c", "20 min"), str(tmp_path / "store")
+    for n in range(50):
+        if n and n % 10 == 0:
+            m = compact(spark, store, s, n)
+            assert m.upto == n - 1 and not numbered(spark, f"{store}/events", "revision")
+        deltas(spark, store, n, s, events[3 * n : 3 * n + 3])
     m = compact(spark, store, s, 50)
-    assert m.upto == 49 and not numbered(spark, f"{store}/changes", "revision")
+    assert not numbered(spark, f"{store}/changes", "revision") and len(numbered(spark, f"{store}/manifest", "gen")) == 1
     for kind in ("events", "matches"):
         held = files_of(store, kind)
-        assert held and set(held.values()) == {1} and len(held) == len(m.buckets[kind])
-    assert id_sets(current_matches(spark, store, s)) == id_sets(match(timed(spark, events), s))
+        assert set(held.values()) == {1} and len(held) == len(m.buckets[kind]) > 10
+    rows = snapshots.read_snapshot(spark, store, "events", m).select("event_id").collect()
+    assert sorted(r.event_id for r in rows) == list(range(150))
+    assert id_sets(current_matches(spark, store, s)) == {(e["id"],) for e in events if e["kind"] == "c"}
+
+
+@pytest.fixture(scope="module")
+def half_store(spark, tmp_path_factory):
+    """A store after two batches that overlap in time."""
+    events = sorted(random_events(5, n=90, keys=2, kinds="abc"), key=lambda e: e["t"] + (e["id"] * 7919) % 30)
+    s, store = spec("a b+ c", "15 min", mode="maximal"), str(tmp_path_factory.mktemp("half") / "store")
+    for n in range(2):
+        correct(timed(spark, events[30 * n : 30 * n + 30]), n, s, store)
+    return events, s, store
 
 
-@pytest.mark.parametrize("fail_at", ["write_buckets", "write_manifest", "clean"])
-def test_a_merge_that_breaks_off_is_repeated(spark, tmp_path, monkeypatch, fail_at):
-    events = random_events(5, n=90, keys=2, kinds="abc")
-    events = sorted(events, key=lambda e: e["t"] + (e["id"] * 7919) % 30)
-    s, store, calls = spec("a b+ c", "15 min", mode="maximal"), str(tmp_path / "store"), []
-    whole = getattr(snapshots, fail_at)
+@pytest.mark.parametrize("fail_at,call", [("write_buckets", 2), ("write_manifest", 1), ("clean", 2)])
+def test_a_merge_that_breaks_off_is_repeated(spark, tmp_path, monkeypatch, half_store, fail_at, call):
+    events, s, first = half_store
+    store, calls, whole = str(tmp_path / "store"), [], getattr(snapshots, fail_at)
+    shutil.copytree(first, store)
 
     def breaks(*args):
         calls.append(1)
-        if len(calls) == 2:
+        if len(calls) == call:
             raise RuntimeError("lost")
         return whole(*args)
 
-    for n, batch in batches(spark, events, range(0, 91, 15)):
-        if n == 3:
-            with monkeypatch.context() as patch:
-                patch.setattr(snapshots, fail_at, breaks)
-                for _ in range(2):  # the second or first call of the step fails
-                    try:
-                        compact(spark, store, s, n)
-                    except RuntimeError:
-                        break
-                seen = [e for e in events[: 15 * n]]
-                assert id_sets(current_matches(spark, store, s)) == id_sets(match(timed(spark, seen), s))
-            compact(spark, store, s, n)
-        correct(batch, n, s, store)
-        correct(batch, n, s, store)  # a repeated batch changes nothing
-    compact(spark, store, s, 6)
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, fail_at, breaks)
+        with pytest.raises(RuntimeError):
+            compact(spark, store, s, 2)
+    half = id_sets(match(timed(spark, events[:60]), s))
+    assert id_sets(current_matches(spark, store, s)) == half
+    m = compact(spark, store, s, 2)
+    assert m.upto == 1 and id_sets(current_matches(spark, store, s)) == half
+    for _ in range(2):  # a repeated batch changes nothing
+        correct(timed(spark, events[60:]), 2, s, store)
     assert id_sets(current_matches(spark, store, s)) == id_sets(match(timed(spark, events), s))
 
 
 def test_expiry_refuses_what_its_window_may_miss(spark, tmp_path):
-    events = random_events(3, n=160, keys=2, kinds="abc")
-    minutes = 90
+    events, minutes = random_events(3, n=160, keys=2, kinds="abc"), 90
     for k, e in enumerate(events):
-        e["t"] = e["t"] * 7 + k % 5  # a long stream: many windows of an hour
+        e["t"] = e["t"] * 7 + k % 5  # a long stream: several windows
     order = sorted(events, key=lambda e: e["t"] + (200 if e["id"] % 9 == 0 else (e["id"] * 31) % 25))
     s, store = spec("a b c", f"{minutes} min"), str(tmp_path / "store")
-    horizon, accepted = None, []
-    for n, (lo, hi) in enumerate(zip(range(0, 160, 10), range(10, 161, 10))):
-        if n and n % 2 == 0:
+    horizon, accepted, width = None, [], minutes * 60_000_000
+    for n in range(5):
+        if n:
             m = compact(spark, store, s, n, expire=True)
             horizon = max(e["t"] for e in accepted)
-            width = minutes * 60_000_000
-            newest = m.horizon // 60_000_000
-            assert all((b + 1) * width // 60_000_000 > newest - 2 * minutes for b in m.buckets["events"])
-            assert all((b + 1) * width // 60_000_000 > newest - minutes for b in m.buckets["matches"])
-        part = order[lo:hi]
+            assert all((b + 1) * width > m.horizon - 2 * width for b in m.buckets["events"])
+            assert all((b + 1) * width > m.horizon - width for b in m.buckets["matches"])
+        part = order[32 * n : 32 * n + 32]
         accepted += [e for e in part if horizon is None or e["t"] >= horizon - minutes]
         correct(timed(spark, part), n, s, store, expire=True)
     assert len(accepted) < len(events)
     refused = spark.read.option("recursiveFileLookup", True).parquet(f"{store}/refused")
     assert {r.event_id for r in refused.collect()} == {e["id"] for e in events} - {e["id"] for e in accepted}
-    newest = max(e["t"] for e in accepted)
     want = match(timed(spark, accepted), s)
-    cut = BASE + dt.timedelta(minutes=newest - minutes)
+    cut = BASE + dt.timedelta(minutes=max(e["t"] for e in accepted) - minutes)
     want = id_sets(want.where(want.end_ts >= cut))
     assert want and id_sets(live_matches(spark, store, s)) == want
 
