@@ -11,6 +11,7 @@ from ..plans.base import Prepared, finish, first_of
 from ..plans.chain import next_chain
 from ..spec import Step
 from .folds import bound_steps, depends, greedy
+from .intervals import applies
 from .windows import match_windows
 
 
@@ -140,6 +141,8 @@ def next_maximal(p: Prepared, ends: DataFrame | None) -> DataFrame:
     plain = not any(depends(s) for s in steps)
     if p.spec.shape == ".+." and plain:
         return finish(runs_between(p), p)
+    if p.spec.shape == "++." and applies(p, "maximal"):
+        return match_windows(p, "maximal", first_end=True)
     found = match_windows(p, "maximal")
     keys = p.spec.keys
     last = steps[-1].name

@@ -15,7 +15,7 @@ from ..plans.base import Prepared
 from ..plans.scans import running
 from .folds import depends
 
-COUNTS = ("_na", "_nb", "_pa", "_pc")
+COUNTS = ("_na", "_nb", "_nbs", "_pa", "_pb", "_pc")
 
 
 def applies(p: Prepared, mode: str) -> bool:
@@ -26,17 +26,18 @@ def applies(p: Prepared, mode: str) -> bool:
 
 
 def with_counts(p: Prepared) -> Prepared:
-    """Events with ``_na`` (starts before), ``_nb`` (b up to), ``_pa`` and ``_pc`` (time of the start / end before)."""
+    """Events with ``_na``, ``_nbs`` (starts, b before), ``_nb`` (b up to) and the times of the start, b and end before."""
     a, b, c = p.spec.positive
     t = F.col("_e")["t"]
     measures = {
         "_na": ("sum", F.when(p.flag(a), F.lit(1)), True), "_nb": ("sum", F.when(p.flag(b), F.lit(1)), False),
-        "_pa": ("max", F.when(p.flag(a), t), True), "_pc": ("max", F.when(p.flag(c), t), True),
+        "_nbs": ("sum", F.when(p.flag(b), F.lit(1)), True), "_pa": ("max", F.when(p.flag(a), t), True),
+        "_pb": ("max", F.when(p.flag(b), t), True), "_pc": ("max", F.when(p.flag(c), t), True),
     }
     scanned = running(p.df.withColumn("_t", t), p.spec.keys, "_t", p.chunk, measures, levels=p.levels)
     event = F.col("_e")
     for name in COUNTS:
-        event = event.withField(name, F.coalesce(F.col(name), F.lit(0)) if name in ("_na", "_nb") else F.col(name))
+        event = event.withField(name, F.coalesce(F.col(name), F.lit(0)) if name.startswith("_n") else F.col(name))
     return p.having(scanned.withColumn("_e", event).drop("_t", *COUNTS))
 
 
@@ -51,29 +52,33 @@ def interval_matches(p: Prepared, windows: DataFrame, mode: str, first_end: bool
     w = windows.select(
         *p.spec.keys, end.alias("_end"), F.col(f"_c_{a.name}").alias("_as"), F.col(f"_c_{b.name}").alias("_bs"),
     )
-    # starts before the window, and b up to its begin: what the running counts already held
-    w = w.withColumns({"_a0": F.get("_as", F.lit(0)), "_b0": F.get("_bs", F.lit(0))})
-    earlier_b = F.col("_b0")["_nb"] - F.size(F.filter("_bs", lambda e: e["t"] == F.col("_b0")["t"]))
-    w = w.withColumns({"_na0": F.col("_a0")["_na"], "_nb0": earlier_b})
+    # Expressions inside the lambdas look at single events only: an array made for a lambda may be made again per element.
+    a0, b0 = F.get("_as", F.lit(0)), F.get("_bs", F.lit(0))
     if a.kleene:
-        starts = F.transform("_bs", lambda e: (e["_na"] - F.col("_na0")).cast("int"))
-        w = w.withColumn("_starts", starts)
-        places = F.transform("_starts", lambda n, j: F.struct(n.alias("n"), j.alias("skip"), F.when(j > 0, F.get("_starts", j - 1)).otherwise(0).alias("was")))
-        places = F.filter(places, lambda x: x["n"] > x["was"])
+
+        def place(e, j):
+            opens = F.when(j == 0, e["_na"] > a0["_na"]).otherwise(e["_pa"] >= e["_pb"])
+            # of b at one time only the first can open a set
+            first_of_time = j == e["_nbs"] - b0["_nbs"]
+            return F.struct((e["_na"] - a0["_na"]).cast("int").alias("n"), j.alias("skip"), (first_of_time & opens).alias("ok"), e["t"].alias("t"))
+
+        places = F.filter(F.transform("_bs", place), lambda x: x["ok"])
         if first_end:
-            before, first = F.col("_end")["_pc"], F.col("_a0")
-            same_first = before.isNotNull() & ~F.coalesce(first["_pa"] >= before - p.within, F.lit(False))
-            places = F.filter(places, lambda x: ~(same_first & (F.get("_bs", x["skip"])["t"] < before)))
+            before = F.col("_end")["_pc"]
+            same_first = before.isNotNull() & ~F.coalesce(a0["_pa"] >= before - p.within, F.lit(False))
+            places = F.filter(places, lambda x: ~(same_first & (x["t"] < before)))
     else:
-        skips = F.transform("_as", lambda e: F.greatest(e["_nb"] - F.col("_nb0"), F.lit(0)).cast("int"))
-        w = w.withColumn("_skips", skips)
-        places = F.transform("_skips", lambda n, i: F.struct(i.alias("n"), n.alias("skip"), F.get("_skips", i + 1).alias("next")))
-        places = F.filter(places, lambda x: x["skip"] < F.size("_bs"))
+
+        def place(e, i):
+            following = F.get("_as", i + 1)
+            latest = following.isNull() | (following["_nb"] > e["_nb"])
+            return F.struct(i.alias("n"), (e["_nb"] - b0["_nbs"]).cast("int").alias("skip"), latest.alias("latest"))
+
+        places = F.filter(F.transform("_as", place), lambda x: x["skip"] < F.size("_bs"))
         if mode == "maximal_compact":
             # the starts before the first usable b, and each start that is the latest before its next b
-            usable = F.get("_bs", F.get("_skips", F.lit(0)))
-            w = w.withColumn("_open", (usable["_na"] - F.col("_na0")).cast("int"))
-            places = F.filter(places, lambda x: (x["n"] < F.col("_open")) | x["next"].isNull() | (x["next"] > x["skip"]))
+            usable = F.get("_bs", (a0["_nb"] - b0["_nbs"]).cast("int"))
+            places = F.filter(places, lambda x: (x["n"] < usable["_na"] - a0["_na"]) | x["latest"])
     w = w.withColumns({
         "_places": places, "_ai": F.transform("_as", lambda e: e["id"]), "_bi": F.transform("_bs", lambda e: e["id"]),
         "_av": F.transform("_as", hidden), "_bv": F.transform("_bs", hidden), "_n": F.size("_bs"),

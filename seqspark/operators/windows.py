@@ -15,6 +15,7 @@ from ..plans.base import Prepared, both, either, finish
 from ..plans.joins import meet_on
 from ..plans.scans import running
 from ..spec import Step
+from . import intervals
 from .combos import early_frame, ends_frame
 from .folds import bound_steps, depends, greedy, holds, walk
 
@@ -105,9 +106,13 @@ def all_subsets(p: Prepared, step: Step, mine: Column) -> Column:
     return F.filter(F.transform(found, lambda s: s["taken"]), lambda s: F.size(s) > 0)
 
 
-def match_windows(p: Prepared, mode: str, ends: DataFrame | None = None) -> DataFrame:
+def match_windows(p: Prepared, mode: str, ends: DataFrame | None = None, first_end: bool = False) -> DataFrame:
+    """Matches per end; ``first_end`` (interval shapes only) leaves out those that an earlier end has already."""
     steps = p.spec.positive
     last = steps[-1]
+    if intervals.applies(p, mode):
+        counted = intervals.with_counts(p)
+        return intervals.interval_matches(counted, end_windows(counted, counted, ends), mode, first_end)
     if mode != "all":
         for before, step in zip(steps, steps[1:]):
             if depends(step) and step.kleene and before.kleene:

@@ -186,3 +186,20 @@ def test_condition_may_be_a_pandas_udf(spark):
     df = frame(spark, named(WORKED))
     steps = [Step("a", "kind = 'a'"), Step("b", is_b("kind")), Step("c", "kind = 'c'")]
     assert len(id_sets(match(df, PatternSpec(steps, within=10)))) == 15
+
+
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_counts_without_lists(spark, stream, chunk):
+    events, df = stream
+    w = 9
+    cases = [
+        ("a b c", "any", "all", len(brute.any_all(events, [("a", False), ("b", False), ("c", False)], w))),
+        ("a b c a", "any", "all", len(brute.any_all(events, [(x, False) for x in "abca"], w))),
+        ("a b+ c", "any", "maximal_compact", len(brute.compact(events, "a", "b", "c", w))),
+        ("a+ b+ c", "any", "maximal", len(brute.maximal(events, [("a", True), ("b", True), ("c", False)], w))),
+        ("a b+ c", "next", "prefix", len(brute.prefixes(events, "a", "b", "c", w))),
+        ("a !n c", "any", "all", len(brute.negation(events, "a", "n", "c", w)[0])),
+    ]
+    for text, policy, mode, n in cases:
+        s = spec(text, w, policy=policy, mode=mode).but(chunk=chunk)
+        assert n and count_matches(df, s).first().n_matches == n, text
