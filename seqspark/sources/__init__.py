@@ -4,7 +4,7 @@ from .files import (
     read_ohlcv_events,
     read_stock_events,
 )
-from .kafka import kafka_options, read_kafka_events, replay_range, with_topic, write_kafka
+from .kafka import kafka_options, number_arrivals, read_kafka_events, replay_range, with_topic, write_kafka
 from .messages import (
     MESSAGE_KINDS,
     normalise,
@@ -27,6 +27,7 @@ __all__ = [
     "normalise_fitbit",
     "normalise_location",
     "normalise_scale",
+    "number_arrivals",
     "quarantine",
     "read_check_events",
     "read_json_events",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import ticks
+from ..plans.scans import row_numbers
 
 
 def kafka_options(servers: str, topics: Sequence[str], headers: bool = False) -> dict[str, str]:
@@ -24,7 +24,7 @@ def kafka_messages(raw: DataFrame, headers: bool = False) -> DataFrame:
     """Kafka rows as (kind, value, arrival_seq, ingest_ts, partition, offset, key[, headers]).
 
     Offsets order one partition only, so ``arrival_seq`` is (ingest time, topic, partition, offset): unique, and the
-    order of arrival over all partitions.
+    order of arrival over all partitions.  :func:`number_arrivals` turns it into the long that running scans need.
     """
     extra = ["headers"] if headers else []
     order = F.struct(F.unix_micros("timestamp").alias("at"), "topic", "partition", "offset")
@@ -35,13 +35,34 @@ def kafka_messages(raw: DataFrame, headers: bool = False) -> DataFrame:
     )
 
 
+#: Rows of one micro-batch that a revision's range of numbers has room for.
+BATCH_ROWS = 1 << 40
+
+
+def number_arrivals(batch: DataFrame, revision: int = 0, chunk_us: int = 60_000_000) -> DataFrame:
+    """The same rows with ``arrival_seq`` as a long: the revision's range plus the rank within the batch.
+
+    Apply it to a micro-batch before the lateness gate or a running scan, e.g. in ``foreachBatch`` with its number.
+    Later batches have larger numbers, and a batch that is repeated gets the same ones.  Ranks are taken inside spans
+    of ingest time and shifted by what lies before, so no task sees the whole batch.
+    """
+    at = batch.withColumnRenamed("arrival_seq", "_order").withColumn("_at", F.col("_order")["at"])
+    ranked = row_numbers(at, "_at", "_order", chunk_us, "_rank")
+    number = F.col("_rank").cast("long") + F.lit(revision * BATCH_ROWS)
+    return ranked.withColumn("arrival_seq", number).select(*batch.columns)
+
+
 def read_kafka_events(
     spark: SparkSession, servers: str, topics: Sequence[str], headers: bool = False, streaming: bool = True
 ) -> DataFrame:
-    """Subscribe to topics; pass the result to ``normalise(df, "kind")``."""
+    """Subscribe to topics; pass the result to ``normalise(df, "kind")``.
+
+    A stream orders arrivals by a struct until its micro-batches go through :func:`number_arrivals`; a batch is numbered.
+    """
     reader = spark.readStream if streaming else spark.read
     raw = reader.format("kafka").options(**kafka_options(servers, topics, headers)).load()
-    return kafka_messages(raw, headers)
+    messages = kafka_messages(raw, headers)
+    return messages if streaming else number_arrivals(messages)
 
 
 def replay_options(servers: str, topics: Sequence[str], start_ms: int, end_ms: int) -> dict[str, str]:
@@ -56,7 +77,7 @@ def read_kafka_range(
 ) -> DataFrame:
     """The records between two times, as a batch."""
     options = replay_options(servers, topics, start_ms, end_ms) | {"includeHeaders": str(headers).lower()}
-    return kafka_messages(spark.read.format("kafka").options(**options).load(), headers)
+    return number_arrivals(kafka_messages(spark.read.format("kafka").options(**options).load(), headers))
 
 
 def replay_range(events: DataFrame, start: Column, end: Column, types: Sequence[str] = (), ts: str = "ts") -> DataFrame:

@@ -100,6 +100,32 @@ def test_topics_and_kafka_options(spark):
     assert [(r.kind, r.value, r.partition, r.offset) for r in got] == [("Abc", "{}", 0, 7), ("Abc", "{}", 0, 8), ("Abc", "{}", 1, 3)]
 
 
+def test_kafka_rows_pass_the_lateness_gate(spark, tmp_path):
+    kinds = "abc"
+    rows = []
+    for i in range(30):
+        body = json.dumps({"id": i, "timestamp": f"2024-01-01T00:{(i * 7) % 60:02d}:00", "symbol": kinds[i % 3], "price": 1, "volume": 1})
+        rows.append(("Abc", bytearray(body.encode()), None, i % 2, i // 2, dt.datetime(2024, 1, 1, 1, i // 4)))
+    raw = spark.createDataFrame(rows, "topic string, value binary, key binary, partition int, offset long, timestamp timestamp").repartition(3)
+    order = sorted(range(30), key=lambda i: (rows[i][5], rows[i][3], rows[i][4]))
+    sources = spark.createDataFrame([(k, 60_000) for k in kinds], "event_type string, est_interval_ms long")
+    gate = sq.LatenessGate(sources, "1 h", str(tmp_path / "gate"), by=("event_type",), chunk=10)
+    seen = []
+    for revision, part in enumerate((order[:12], order[12:])):
+        ids = spark.createDataFrame([(i % 2, i // 2) for i in part], "partition int, offset long")
+        batch = sq.number_arrivals(kafka_messages(raw.join(ids, ["partition", "offset"], "left_semi")), revision)
+        events = sq.normalise(batch, "kind")
+        assert dict(events.dtypes)["arrival_seq"] == "bigint"
+        judged = sq.classify_lateness(events, sources, ["event_type"], chunk=10)
+        assert judged.where("status is null").count() == 0
+        kept, dropped = gate(events, revision)
+        both = kept.select("name", "arrival_seq").union(dropped.select("name", "arrival_seq")).collect()
+        seen += [r.name for r in sorted(both, key=lambda r: r.arrival_seq)]
+        assert all(r.arrival_seq >> 40 == revision for r in both)
+        gate.release()
+    assert [int("".join(c for c in x if c.isdigit())) for x in seen] == order
+
+
 def test_unmap_refuses_unknown(spark):
     df = spark.createDataFrame([("a",), ("q",)], "s string")
     with pytest.raises(Exception, match="Unknown symbol"):
