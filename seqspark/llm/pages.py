@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -28,7 +30,7 @@ UNREAD = set("aside dialog footer form header menu nav search".split())
 CONTAINERS = {"article", "main"}
 WORDS = set(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments comentarios "
-    "consent cookie cookies disqus footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices "
+    "adsbygoogle consent cookie cookies disqus footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices "
     "notification popup promo promoted promotion recommended related respond share sharing sidebar sidebars social "
     "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
@@ -36,10 +38,15 @@ WORDS = set(
 LAYOUT = set("banner hidden masthead menu modal nav navbar navigation popup sidebar sidebars toolbar widget widgets".split())
 # parts of a name that leave its meaning to the other parts: site-footer is a footer, has-sidebar is not a sidebar
 PLACES = set(
-    "area bar block bottom box col column container content global header holder inner item items left links list main mobile "
+    "area bar block bottom box button buttons col column container content global header holder icon icons inner item items left links list main mobile "
     "module page panel post posts primary right secondary section sec site slot small sub the top unit wrap wrapper".split()
 )
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# blocks that hold a piece of a text, never the whole of it, and of these the ones that stand for themselves
+PIECES = HEADINGS | set("blockquote caption dd dl dt figcaption figure li menu ol p pre table tbody td tfoot th thead tr ul".split())
+FLAT = HEADINGS | {"p", "pre", "blockquote"}
+PAGE = {"", "html", "body"}
 # elements that end where a like one begins, within one of these parents
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
@@ -50,6 +57,8 @@ class Line:
     links: int  # characters inside links
     container: int  # number of the article or main element around it; 0: none
     mark: int = 0  # number of the innermost marked element around it; 0: none
+    block: int = 0  # number of the block it is a line of
+    heading: bool = False
 
     @property
     def weight(self) -> int:
@@ -61,10 +70,17 @@ class Mark:
     """An element that is left unread unless it turns out to hold the page."""
 
     above: int  # the marked element around it; 0: none
-    kind: str  # layout, remark (comments, adverts, footers) or hidden
+    kind: str  # layout, remark (comments, adverts, footers), header (below the page's own blocks) or hidden
     container: int
 
 
+@dataclass
+class Block:
+    above: int  # the block around it
+    tag: str
+    names: str  # its class
+
+
 def marked_name(token: str) -> set[str]:
     """The words of a class or id that name what the element is: all its parts are words or places."""
     parts = set(token.replace("_", "-").split("-")) - {""}
@@ -73,7 +89,7 @@ def marked_name(token: str) -> set[str]:
 
 
 class Stripper(HTMLParser):
-    """Markup to lines: one per block with text, an empty one for each marked element.
+    """Markup to lines: one per block with text.
 
     Whether a marked element is unread is decided by ``read_lines`` when the whole page is known.
     """
@@ -81,20 +97,26 @@ class Stripper(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, int]] = []  # name, mark (-1: never read), container
+        self.open: list[tuple[str, int, int, int]] = []  # name, mark (-1: never read), container, block
+        self.blocks: list[Block] = [Block(0, "", "")]
         self.parts: list[str] = []
         self.marks: list[Mark | None] = [None]
         self.containers: list[tuple[str, int]] = [("", 0)]  # name, mark
         self.links = 0
 
     def state(self) -> tuple[int, int]:
-        return self.open[-1][1:] if self.open else (0, 0)
+        return self.open[-1][1:3] if self.open else (0, 0)
+
+    def block(self) -> int:
+        return self.open[-1][3] if self.open else 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             mark, inside = self.state()
-            self.lines.append(Line(text, self.links, inside, mark))
+            block = self.block()
+            around = {self.blocks[block].tag, self.blocks[self.blocks[block].above].tag}
+            self.lines.append(Line(text, self.links, inside, mark, block, bool(around & HEADINGS)))
         self.parts, self.links = [], 0
 
     def kind(self, tag: str, attrs: list) -> str:
@@ -106,6 +128,9 @@ class Stripper(HTMLParser):
         if "hidden" in values or values.get("aria-hidden") == "true":
             return "hidden"
         if tag in UNREAD and (tag != "header" or not inside):
+            named = any(map(marked_name, f"{values.get('class', '')} {values.get('id', '')}".split())) or values.get("role") in ROLES
+            if tag == "header" and not named and any(x[0] in BLOCKS and x[0] not in PAGE for x in self.open):
+                return "header"
             return "layout" if tag == "form" else "remark"
         if tag in ("body", "html", "main") or tag == "article" and not inside:
             return ""
@@ -124,6 +149,18 @@ class Stripper(HTMLParser):
             mark = self.marks[mark].above
         return out
 
+    def titles(self) -> set[int]:
+        """Headers inside the page that hold its title: a heading outside links, no menu, and no first heading elsewhere."""
+        own = {m: [x for x in self.lines if x.mark == m] for m in range(1, len(self.marks)) if self.marks[m].kind == "header"}
+        full = {mark.above for mark in self.marks[1:]}
+        found = {
+            m
+            for m, lines in own.items()
+            if m not in full and any(x.heading and x.weight for x in lines) and sum(x.links for x in lines) <= sum(x.weight for x in lines)
+        }
+        free = any(x.heading and self.blocks[x.block].tag == "h1" and not x.mark for x in self.lines)
+        return set() if free else found
+
     def read_lines(self) -> list[Line]:
         """The lines outside unread elements.
 
@@ -137,7 +174,7 @@ class Stripper(HTMLParser):
         for x in self.lines:
             own[x.mark] += x.weight
             mine[x.mark] += x.weight
-            if x.container and x.text:
+            if x.container:
                 name, mark = self.containers[x.container]
                 held[mark].add(name)
         for m in range(n - 1, 0, -1):
@@ -146,11 +183,14 @@ class Stripper(HTMLParser):
                 mine[self.marks[m].above] += mine[m]
             if not self.marks[m].container:
                 held[self.marks[m].above] |= held[m]
-        read, seen = {0}, {}
+        read, seen, titles = {0}, {}, self.titles()
         for m in range(1, n):
             mark = self.marks[m]
             if mark.above not in read:
                 continue
+            if m in titles:
+                read.add(m)
+                continue
             place = mark.above, mark.container
             if place not in seen:
                 around = {0, *self.chain(mark.above)}
@@ -169,9 +209,9 @@ class Stripper(HTMLParser):
             elif inner and not free and rest < (own[m] if mark.kind == "layout" else min(own[m], SURGE)):
                 read.add(m)
             elif mark.container or not free:
-                if mark.kind == "layout" and 2 * mine[m] > total or mark.kind == "remark" and rest < SURGE and own[m] >= 10 * SURGE:
+                if mark.kind == "layout" and 2 * mine[m] > total or mark.kind in ("remark", "header") and rest < SURGE and own[m] >= 10 * SURGE:
                     read.add(m)
-        return [x for x in self.lines if x.mark in read or not x.text and self.marks[x.mark].above in read]
+        return [x for x in self.lines if x.mark in read]
 
     def close_until(self, at: int) -> None:
         self.flush()
@@ -196,16 +236,18 @@ class Stripper(HTMLParser):
         if kind:
             self.flush()
             if kind == "never":
-                self.lines.append(Line("", 0, inside, mark))
                 mark = -1
             else:
                 self.marks.append(Mark(mark, kind, inside))
                 mark = len(self.marks) - 1
-                self.lines.append(Line("", 0, inside, mark))
         if tag in CONTAINERS and mark >= 0 and not inside:
             self.containers.append((tag, mark))
             inside = len(self.containers) - 1
-        self.open.append((tag, mark, inside))
+        block = self.block()
+        if tag in BLOCKS:
+            self.blocks.append(Block(block, tag, " ".join((dict(attrs).get("class") or "").lower().split())))
+            block = len(self.blocks) - 1
+        self.open.append((tag, mark, inside, block))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -231,50 +273,116 @@ class Stripper(HTMLParser):
                 self.links += len(data)
 
 
-def strip(html: str) -> list[Line]:
+def strip(html: str) -> Stripper:
     parser = Stripper()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.read_lines()
-
+    return parser
 
-def main_range(lines: list[Line]) -> tuple[int, int]:
-    """First and last-but-one line of the main text: from the surge of the line-block distribution to its dive.
 
-    A line weighs its characters outside links. Where the page has an article or main element, lines outside weigh
-    nothing and a surge or dive inside such an element moves to its first or last line.
-    """
-    inside = any(x.container and x.text for x in lines)
-    weights = [max(0, len(x.text) - x.links) if not inside or x.container else 0 for x in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(lines))]
+def heaviest(weights: list[int]) -> tuple[int, int, int]:
+    """Weight, start and end of the heaviest run: from a surge of the line-block distribution to its dive."""
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     limit = min(SURGE, max(sums, default=0))
     best, i = (0, 0, 0), 0
-    while i < len(lines):
+    while i < len(weights):
         if sums[i] < limit or not weights[i]:
             i += 1
             continue
         j = i
-        while j < len(lines) and sums[j] > 0:
+        while j < len(weights) and sums[j] > 0:
             j += 1
         best = max(best, (sum(weights[i:j]), -i, j))
         i = j
-    total, start, end = best[0], -best[1], best[2]
-    if not total:
-        return 0, 0
-    if inside:
-        own = {x.container for x in lines[start:end]} - {0}
-        held = [k for k, x in enumerate(lines) if x.container in own]
-        return min(held), max(held) + 1
+    return best[0], -best[1], best[2]
+
+
+def below(weights: list[int], lines: list[Line], blocks: list[Block]) -> list[int]:
+    """The weight of each block's lines, its inner blocks' included (a block's number is above that of the one around it)."""
+    out = [0] * len(blocks)
+    for x, w in zip(lines, weights):
+        out[x.block] += w
+    for k in range(len(blocks) - 1, 0, -1):
+        out[blocks[k].above] += out[k]
+    return out
+
+
+def home_block(lines: list[Line], weights: list[int], start: int, end: int, blocks: list[Block]) -> int:
+    """The block that the run belongs to: the innermost with four fifths of its characters.
+
+    Paragraphs, lists and tables stand for the block around them, and one of several like blocks (sections, elements of
+    one class) for the block around them all.
+    """
+    share = below(weights[start:end], lines[start:end], blocks)
+    home = max(k for k, w in enumerate(share) if 5 * w >= 4 * share[0])
+    kin = Counter(
+        (x.above, x.tag, x.names)
+        for x, w in zip(blocks, below(weights, lines, blocks))
+        if w and (x.tag == "section" or x.names and not PLACES & set(re.split(r"[\s_-]+", x.names)))
+    )
+    while blocks[home].tag not in PAGE:
+        own = blocks[home]
+        like = kin[own.above, own.tag, own.names] > 1 and blocks[own.above].tag not in PAGE
+        if own.tag not in PIECES and not like:
+            break
+        home = own.above
+    return home
+
+
+def widen(lines: list[Line], weights: list[int], start: int, end: int, blocks: list[Block]) -> tuple[int, int]:
+    """The run with all text of its home block, and back to the heading before it if it has none.
+
+    A dive of links or short lines inside the home block is no end of the text. Of text that stands in the page itself
+    only paragraphs and headings count, as everything on the page is inside it.
+    """
+    home = home_block(lines, weights, start, end, blocks)
+    if blocks[home].tag in PAGE:
+        own = [i for i, x in enumerate(lines) if weights[i] and blocks[x.block].above == home and blocks[x.block].tag in FLAT]
+    else:
+        inside = [k == home for k in range(len(blocks))]
+        for k in range(home + 1, len(blocks)):
+            inside[k] = inside[blocks[k].above]
+        own = [i for i, x in enumerate(lines) if weights[i] and inside[x.block]]
+    start, end = min([start, *own]), max([end - 1, *own]) + 1
+    if not lines[start].heading and all(blocks[x.block].tag != "h1" for x in lines[start:end]):
+        gap = 0
+        for i in range(start - 1, -1, -1):
+            gap = 0 if weights[i] else gap + 1
+            if gap == WINDOW:
+                break
+            if lines[i].heading and weights[i]:
+                start = i
+                break
     return start, end
 
 
+def main_lines(lines: list[Line], containers: list[tuple[str, int]], blocks: list[Block]) -> list[Line]:
+    """Lines of the main text, by the line-block distribution of characters outside links.
+
+    A surge or dive inside an article or main element moves to its first or last line; lines outside count only
+    where no such element has text, or where an article holds less than the heaviest run outside (a teaser).
+    """
+    inner = [x.weight if x.container else 0 for x in lines]
+    outer = [0 if x.container else x.weight for x in lines]
+    total, start, end = heaviest(inner)
+    own = {x.container for x in lines[start:end]} - {0}
+    held = [x for x in lines if x.container in own]
+    beside, first, last = heaviest(outer)
+    teaser = beside >= SURGE and beside > sum(x.weight for x in held) and all(containers[k][0] != "main" for k in own)
+    if total and not teaser:
+        low, high = (f(i for i, x in enumerate(lines) if x.container in own) for f in (min, max))
+        return [x for x in lines[low : high + 1] if x.container]
+    if not beside:
+        return []
+    first, last = widen(lines, outer, first, last, blocks)
+    return [x for x in lines[first:last] if not x.container]
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks in page order, one per line; empty if the page has none."""
-    lines = strip(html or "")
-    start, end = main_range(lines)
-    inside = any(x.container for x in lines[start:end])
-    return "\n".join(x.text for x in lines[start:end] if x.text and (x.container or not inside))
+    page = strip(html or "")
+    return "\n".join(x.text for x in main_lines(page.read_lines(), page.containers, page.blocks))
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:

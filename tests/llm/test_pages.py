@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from seqspark.llm.pages import extract, main_text
@@ -52,10 +55,63 @@ def test_marked_elements_beside_the_text_stay_unread():
     assert extract(f"<main>{BODY}</main><main hidden>{remarks}</main>") == LINES
 
 
+HALF = "".join(f"<p>Sentence {i} of the page, which is long enough to be read as text of it.</p>" for i in range(3))
+MORE = HALF.replace("Sentence", "Clause")
+LINKS = "<ul>" + '<li><a href="/x">See also</a></li>' * 3 + "</ul>"
+
+
+def texts(html):
+    return re.sub(r"<[^>]*>", "", re.sub(r"</(?:p|h1|h2|li)>", "\n", html)).strip().split("\n")
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div>{HALF}<script>a</script><script>b</script><script>c</script>{MORE}</div>", HALF + MORE),
+    (f"<div>{HALF}{LINKS}{MORE}</div>", HALF + LINKS + MORE), (f"{HALF}{LINKS}{MORE}", HALF + LINKS + MORE),
+    (f"<div><section>{HALF}</section>{LINKS}<section>{MORE}</section></div>", HALF + LINKS + MORE),
+    (f"<div><h1>Title</h1><p>By A B</p><p>1 May</p>{LINKS}{HALF}</div>", f"<h1>Title</h1><p>By A B</p><p>1 May</p>{LINKS}{HALF}"),
+    (f"<h1>Title</h1><p>By A B</p><p>1 May</p><div>{HALF}</div>", f"<h1>Title</h1><p>By A B</p><p>1 May</p>{HALF}"),
+    (f"<div><header><h1>Title</h1></header>{HALF}</div>", "<h1>Title</h1>" + HALF),
+    (f"<div><header><h1><a href=/>Site</a></h1></header><h1>Title</h1>{HALF}</div>", "<h1>Title</h1>" + HALF),
+    (f"<div><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div><h2>Title</h2>{HALF}</div></div>", "<h2>Title</h2>" + HALF),
+    (f"<article><p>A teaser of some other page.</p></article><div><h1>Title</h1>{HALF}</div>", "<h1>Title</h1>" + HALF),
+    (f"<article>{HALF}<div class='share-buttons'>Tell friends</div><div class=adsbygoogle>Buy now</div>{MORE}</article>", HALF + MORE),
+])
+def test_no_text_of_the_article_is_lost(page, want):
+    for around in ("%s", "<nav><a href=/>Home</a></nav>%s<footer>Words below the page, more than sixty characters of them here.</footer>"):
+        assert extract(f"<html><head><title>T</title></head><body>{around % page}</body></html>").split("\n") == texts(want)
+
+
+def test_generated_pages_without_a_container():
+    """Wrappers, scripts, lists and adverts at random places: all blocks of the text come out, none of the rest."""
+    for seed in range(300):
+        rng = random.Random(seed)
+        want, body = ["A title"], ["<h1>A title</h1>"]
+        for i in range(rng.randint(3, 12)):
+            if rng.random() < 0.3:
+                body.append("<script>var a = '<p>';</script>" * rng.randint(1, 5))
+            if rng.random() < 0.2:
+                body.append('<div class="ad">Buy this now, it is a very good thing to have and to keep.</div>')
+            kind = rng.choice(["p", "p", "p", "short", "list", "links", "h2"])
+            text = f"Block {i} of the text " + "with some words " * (0 if kind in ("short", "h2") else rng.randint(3, 20))
+            lines = [f"{text.strip()} {k}" for k in range(rng.randint(3, 5) if kind in ("list", "links") else 1)]
+            if kind in ("list", "links"):
+                inner = "".join(f"<li><a href=x>{x}</a></li>" if kind == "links" else f"<li>{x}</li>" for x in lines)
+                body.append(f"<ul>{inner}</ul>")
+            else:
+                body.append("<{0}>{1}</{0}>".format("h2" if kind == "h2" else "p", lines[0]))
+            want += lines
+        want.append("The last paragraph closes the page with a sentence of more than sixty characters.")
+        body.append(f"<p>{want[-1]}</p>")
+        page = "".join(body)
+        for _ in range(rng.randint(1, 4)):
+            page = f'<div class="{rng.choice(["page", "x1", "wrapper", "has-sidebar", "content"])}">{page}</div>'
+        page = f'<header><h2>Site</h2></header><nav><a href="/">Home</a></nav>{page}<div class="sidebar">Words beside it.</div><footer>Words below it.</footer>'
+        assert extract(f"<html><body>{page}</body></html>").split("\n") == want, seed
+
+
 def test_every_page_of_the_table(spark):
     """Between the article's tags stand all of its blocks, and nothing else of the page is text."""
     import html as h
-    import re
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r["page_id"]: r for r in main_text(pages).collect()}
