@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, replace_columns, without_spaces
+from .common import keep, replace_columns, with_row, without_spaces
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -56,13 +56,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, keep_first: bool = True, te
     replaced). With ``keep_first`` the first occurrence in order of (key, place) stays, so no text is lost everywhere.
     Lines are compared whole; lines without a word are never removed. Null texts stay null with 0 lines; null sites
     are no site; rows with one key are told apart by a row number, and equal rows are separate; ties in the key go by
-    row number; an empty table gives no rows. Every document stays. ``reread`` says that ``docs`` is a table of files,
-    which gives the same rows in the same order each time it is read; otherwise it is written once first.
+    row number; an empty table gives no rows. Every document stays. ``reread`` says that ``docs`` is a table of Parquet
+    files, whose rows are numbered by their place there; otherwise it is written once first.
     """
     docs = replace_columns(docs, ["n_lines", "n_removed", "__row", "__bad", "__order"])
-    docs = docs if reread else keep(docs, "documents")
     # the row number starts with the key's order, so min(row, place) is the first occurrence
-    rows = docs.withColumn("__order", F.monotonically_increasing_id())
+    rows = with_row(docs, reread, "__order")
     rows = rows.withColumn("__row", F.struct(F.col(key).alias("k"), F.col("__order").alias("r"))).drop("__order")
     lines = keep(explode_lines(rows, text, site), "lines")
     wide = keep(spread_lines(lines, min_sites), "boilerplate")

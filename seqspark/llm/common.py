@@ -38,6 +38,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: File names that are broadcast at most.
+FILES = 100_000
+
+
+def with_row(docs: DataFrame, reread: bool, out: str = "__row") -> DataFrame:
+    """Add a row's number, the same each time the result is read, however its files are split among tasks.
+
+    ``reread`` says that ``docs`` is read from Parquet files, with columns selected or added at most: the number is the
+    rank of its file's name and the reader's own row index. The names come to the driver and are a broadcast, up to FILES
+    of them, counted. A table of more files, and any other input, is written once together with its numbers.
+    """
+    spark = docs.sparkSession
+    if reread:
+        meta = docs.metadataColumn("_metadata")
+        names = docs.select(meta["file_path"].alias("__file")).distinct().limit(FILES + 1).collect()
+        if len(names) <= FILES:
+            ranks = [(name, k) for k, name in enumerate(sorted(r[0] for r in names))]
+            ranks = F.broadcast(spark.createDataFrame(ranks, "__file string, __rank long"))
+            placed = docs.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__at")).join(ranks, "__file")
+            return placed.withColumn(out, F.shiftleft("__rank", 40) + F.col("__at")).drop("__file", "__rank", "__at")
+    return keep(docs.withColumn(out, F.monotonically_increasing_id()), "documents")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Arrow batches of so many rows for the jobs that run inside: whole texts are long rows."""

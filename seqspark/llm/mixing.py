@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, replace_columns, running, values, words
+from .common import keep, replace_columns, running, values, with_row, words
 from .draws import even, tree
 
 
@@ -78,13 +78,12 @@ def mix_sources(docs: DataFrame, shards: int = 8, weights: Sequence[float] = (5,
     Numbers are given in two levels, so a source with most rows is spread over many tasks. Documents of which nothing
     is taken give one row with words 0 and no shard. Null texts have size 0 and are not taken; null sources are one
     source, the last; equal rows are separate documents; an empty table gives no rows; input columns with the names
-    of results are replaced. ``reread`` says that ``docs`` is a table of files, which gives the same rows in the same order
-    each time it is read; otherwise it is written once first.
+    of results are replaced. ``reread`` says that ``docs`` is a table of Parquet files, whose rows are numbered by their
+    place there; otherwise it is written once first.
     """
     results = ["size", "source_size", "target", "copy", "words", "shard", "slot"]
     count = F.size(words(F.col(text))) if size is None else size
-    docs = docs if reread else keep(docs, "documents")
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = with_row(docs, reread)
     # the draw moves row numbers only; documents join their copies at the end
     narrow = docs.select("__row", F.col(source).alias("__source"), count.alias("__count"))
     plan, sources = mix_plan(narrow, weights, budget, most, seed, source="__source", size=F.col("__count"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import keep, small_batches, with_row
 from .components import components
 from .shingles import overlap, set_key, shingle_sets
 
@@ -461,11 +461,10 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rer
     Null and empty texts have n_shingles 0 and are their own component; a null key is carried (component_id is the
     smallest key that is not null, else null); rows with one key are compared each by itself; repeated rows fall
     together; an empty table gives no rows; other columns are not carried. ``reread`` says that ``docs`` is a table of
-    files, which gives the same rows in the same order each time it is read; otherwise it is written once first.
+    Parquet files, whose rows are numbered by their place there; otherwise it is written once first.
     """
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    docs = docs if reread else keep(docs, "documents")
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = with_row(docs, reread)
     with small_batches(docs.sparkSession):  # every step that runs Python is written before this ends
         rows, nodes, groups = _linked_nodes(docs)
 
@@ -480,11 +479,11 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rer
 def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each group of ``jaccard_groups``: the one with the smallest key.
 
-    Rows are told apart by their place in ``docs``, a table of files, so exactly one row of a group stays even where
+    Rows are told apart by their place in ``docs``, a table of Parquet files, so exactly one row of a group stays even where
     keys repeat or are null: nulls come last, the first place decides among equal keys. Null and empty texts are their
     own group each. All columns are carried.
     """
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = with_row(docs, True)
     with small_batches(docs.sparkSession):
         rows, nodes, groups = _linked_nodes(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), "__row"))
     order = F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__row")).alias("lead")
