@@ -95,7 +95,7 @@ def test_queries_agree_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
