@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import keep, replace_columns, running, values
 
 END_ID = 2
+#: Ids that a task gathers before it hands them on.
+HELD_IDS = 2_000_000
 _ENCODERS: dict = {}
 
 
@@ -70,9 +71,19 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool =
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
     ddl = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
+    def batch_of(batch: pa.RecordBatch, at: list[int], out: dict[str, list]) -> pa.RecordBatch:
+        places = pa.array(at, pa.int64())
+        columns = [batch.column(0).take(places), batch.column(2).take(places)]
+        columns += [pa.array(out[name], kind) for name, kind in fields if name != "ids"]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in out["ids"]])]).astype("i4")
+            flat = np.concatenate([np.empty(0, "i4"), *out["ids"]])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        return pa.RecordBatch.from_arrays(columns, names=["__key", "__row", *[name for name, _ in fields]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], defaultdict(list)
+            at, out, held = [], defaultdict(list), 0
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = token_ids(text, tokenizer)
                 for k, (start, length) in enumerate(cut_points(len(ids), limit)):
@@ -82,10 +93,11 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool =
                         out[name].append(x)
                     if with_ids:
                         out["ids"].append(part.astype("i4"))
-            at = pa.array(at, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(2).take(at)]
-            columns += [pa.array(out[name], kind) for name, kind in fields]
-            yield pa.RecordBatch.from_arrays(columns, names=["__key", "__row", *[name for name, _ in fields]])
+                held += len(ids)
+                if held >= HELD_IDS:
+                    yield batch_of(batch, at, out)
+                    at, out, held = [], defaultdict(list), 0
+            yield batch_of(batch, at, out)
 
     kind = rows.schema["__key"].dataType.simpleString()
     done = rows.select("__key", "__text", "__row").mapInArrow(run, f"__key {kind}, __row long, {ddl}")
@@ -262,13 +274,13 @@ def runs(bins: list[Bins]) -> list[dict]:
 
 
 def pack_pieces(parts: DataFrame, limit: int = 1024) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with ``length``, ``__mix`` and ``__row``.
+    """Add ``sequence_id`` and ``offset`` to pieces with ``length``, ``__mix`` and ``__row``, which becomes ``doc_row``.
 
     Only the histogram of lengths (at most ``limit`` rows) comes to the driver, and only the plan (at most some
     thousand runs, bounded by limit squared) is broadcast; pieces of a length are numbered in two levels, so a length
     that most pieces have is spread over many tasks.
     """
-    parts = keep(replace_columns(parts, ["sequence_id", "offset"]), "pieces")
+    parts = keep(replace_columns(parts, ["sequence_id", "offset", "doc_row"]), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = runs(plan_bins(counts, limit))
     ddl = "length bigint, __low bigint, __high bigint, __base bigint, __each bigint, __at bigint"
@@ -278,6 +290,7 @@ def pack_pieces(parts: DataFrame, limit: int = 1024) -> DataFrame:
     step = F.col("__rank") - F.col("__low")
     return ranked.join(F.broadcast(cut), fits).select(
         *[ranked[c] for c in parts.columns if not c.startswith("__")],
+        F.col("__row").alias("doc_row"),
         (F.col("__base") + F.floor(step / F.col("__each"))).cast("long").alias("sequence_id"),
         (F.col("__at") + step % F.col("__each") * ranked["length"]).cast("long").alias("offset"),
     )
@@ -286,19 +299,47 @@ def pack_pieces(parts: DataFrame, limit: int = 1024) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack all documents into as few sequences of at most ``limit`` tokens as the method finds.
 
-    Returns per piece: key, piece, start, length, ids_crc32, ids (if asked for), sequence_id, offset. Null texts are
+    Returns per piece: key, piece, start, length, ids_crc32, ids (if asked for), doc_row, sequence_id, offset. ``doc_row``
+    is one number per input row, so the pieces of rows with the same key can be told apart. Null texts are
     empty and give one piece, the end id alone; a null or repeated key is just carried; equal rows are packed each;
     very long texts are cut, not shortened; an empty table gives no rows; other columns are not carried.
     """
     return pack_pieces(pieces(docs, tokenizer, limit, with_ids, key, text), limit)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids in order of offset. Needs ``ids``."""
+def sequences(packed: DataFrame, with_parts: bool = False) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids in order of offset. Needs ``ids``.
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("offset")
-        ids = np.concatenate([np.asarray(x, "i4") for x in part["ids"]])
-        return pd.DataFrame({"sequence_id": [part["sequence_id"].iloc[0]], "ids": [ids]})
+    ``with_parts`` adds ``parts``, an array with the other columns of every piece in that order. A group is one sequence
+    of at most ``limit`` ids, so at most so many pieces. No pieces give no rows.
+    """
+    others = [c for c in packed.columns if c not in ("sequence_id", "offset", "ids")] if with_parts else []
+    piece = F.struct("offset", *others, "ids")  # offsets differ within a sequence, so they alone decide the order
+    whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(piece)).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")
+    if not with_parts:
+        return whole.select("sequence_id", ids)
+    rest = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("offset", *others)]))
+    return whole.select("sequence_id", ids, rest.alias("parts"))
+
+
+def piece_digest(whole: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per piece of sequences with ``parts``: its place, and ``ids_crc32`` of what the sequence holds there."""
+    names = [f.name for f in whole.schema["parts"].dataType.elementType.fields if f.name != "ids_crc32"]
+    kinds = {f.name: f.dataType.simpleString() for f in whole.schema["parts"].dataType.elementType.fields}
+    ddl = ", ".join(["sequence_id long", "ids_crc32 long", *[f"`{n}` {kinds[n]}" for n in names]])
 
-    return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(join, "sequence_id long, ids array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, ids, parts = batch.columns
+            flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4")
+            first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype("i8")
+            of, part = parts.value_parent_indices(), parts.flatten()
+            low = first[of.to_numpy()] + part.field("offset").to_numpy()
+            high = low + part.field("length").to_numpy()
+            crc = [zlib.crc32(flat[a:b].data) for a, b in zip(low, high)]
+            columns = [sequence.take(of), pa.array(crc, pa.int64()), *[part.field(n) for n in names]]
+            yield pa.RecordBatch.from_arrays(columns, names=["sequence_id", "ids_crc32", *names])
+
+    done = whole.select("sequence_id", "ids", "parts").mapInArrow(run, ddl)
+    return done.select(key, "piece", "start", "length", "ids_crc32", "doc_row", "sequence_id", "offset")

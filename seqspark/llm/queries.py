@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boilerplate import dedup_lines
-from .common import table, words
+from .common import keep, table, words
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .negatives import mine_negatives
 from .oracles import ORACLES
-from .packing import pack_documents
+from .packing import pack_documents, piece_digest, sequences
 from .pages import main_text
 from .passages import fit_quality, held_out, score_quality
 from .quality import quality_rules
@@ -64,7 +64,8 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+    return piece_digest(keep(sequences(packed, with_parts=True), "sequences"))
 
 
 @query

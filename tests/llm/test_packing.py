@@ -8,7 +8,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from seqspark.llm.packing import cut_points, pack_documents, plan_bins, runs, sequences, token_ids  # noqa: E402
+from seqspark.llm.packing import cut_points, pack_documents, piece_digest, plan_bins, runs, sequences, token_ids  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -79,5 +79,36 @@ def test_both_encoders_agree():
         assert token_ids(t, PATH).tolist() == plain.encode(t, add_special_tokens=False).ids + [2]
 
 
+def test_encoders_agree_on_random_texts():
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(PATH), random.Random(3)
+    ranges = [(32, 126), (9, 13), (160, 591), (880, 1279), (1424, 1791), (2304, 2431), (3584, 3711), (12352, 12543),
+              (19968, 40959), (0x1F300, 0x1F64F), (0x2000, 0x206F)]
+    for _ in range(20_000):
+        some = rng.sample(ranges, 3)
+        t = "".join(chr(rng.randint(*rng.choice(some))) for _ in range(rng.randint(0, 40)))
+        assert token_ids(t, PATH).tolist() == plain.encode(t, add_special_tokens=False).ids + [2], t
+
+
+def test_digest_is_read_from_the_sequences(spark, docs, monkeypatch):
+    import seqspark.llm.packing as packing
+
+    monkeypatch.setattr(packing, "HELD_IDS", 500)
+    packed = packing.pack_pieces(packing.pieces(docs, PATH, 256, with_ids=True), 256)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "doc_row", "sequence_id", "offset"]
+    got = piece_digest(sequences(packed, with_parts=True))
+    assert got.columns == names
+    want = packed.select(*names).collect()
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want))
+    assert len({(r["doc_row"], r["piece"]) for r in want}) == len(want)
+    # a sequence that holds other ids gives another digest
+    from pyspark.sql import functions as F
+
+    broken = sequences(packed, with_parts=True).withColumn("ids", F.reverse("ids"))
+    assert Counter(map(tuple, piece_digest(broken).collect())) != Counter(map(tuple, want))
+
+
 def test_no_rows(no_docs):
     assert pack_documents(no_docs, PATH).collect() == []
+    assert piece_digest(sequences(pack_documents(no_docs, PATH), with_parts=True)).collect() == []

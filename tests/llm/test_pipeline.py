@@ -86,6 +86,59 @@ def test_mix_and_packing(stages):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
+def written(spark, rows, path):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_every_stage_takes_an_empty_table(spark, tmp_path, name, stage):
+    out = stage(spark, written(spark, [], str(tmp_path / "none")), SF)
+    assert out.collect() == []
+    assert name == "packed" or out.columns == corpus_pipeline.COLUMNS
+
+
+def odd_rows():
+    a, b = ("the of " + " ".join(f"{x}{i}" for i in range(58)) for x in "ab")
+    return [(1, a, "en", "x", 0), (1, a, "en", "x", 0), (1, b, None, None, None), (None, b, "en", None, 0), (2, None, "en", "x", 0),
+            (3, "", "en", None, 0), (4, " \n ", "en", "y", 0), (5, "w " * 30_000, "en", "y", 0)]
+
+
+def test_quality_and_lines_take_nulls_and_repeats(spark, tmp_path):
+    rows = odd_rows()
+    docs = written(spark, rows, str(tmp_path / "docs"))
+    kept = corpus_pipeline.quality(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((k, t) for k, t, *_ in rows[:4])
+    lines = corpus_pipeline.lines(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in lines) == Counter((k, t) for k, t, *_ in rows)
+
+
+def test_mixture_takes_nulls_and_repeats(spark, tmp_path):
+    rows = odd_rows()
+    out = corpus_pipeline.mixture(spark, written(spark, rows, str(tmp_path / "docs")), SF).collect()
+    size = {s: sum(len((t or "").split()) for _, t, _, x, _ in rows if x == s) for s in ("x", "y", None)}
+    taken = {s: sum(len(r.text.split()) for r in out if r.source == s) for s in size}
+    # 45,360 words by 5:2:1; x and the null source (the last) stop at twice their words, y takes the rest
+    assert size == {"x": 120, "y": 30_000, None: 120}
+    assert taken == {"x": 240, None: 240, "y": 45_360 - 480}
+    assert {r.doc_id for r in out} == {1, None, 5}
+
+
+def test_packed_holds_nulls_repeats_and_copies(spark, tmp_path):
+    from seqspark.llm.packing import END_ID, cut_points, token_ids
+    from seqspark.llm.queries import tokenizer
+
+    rows = odd_rows()
+    out = corpus_pipeline.packed(spark, written(spark, rows, str(tmp_path / "docs")), SF).collect()
+    lengths = [(k, len(token_ids(t or "", tokenizer()))) for k, t, *_ in rows]
+    want = Counter((k, p, *cut) for k, n in lengths for p, cut in enumerate(cut_points(n, 1024)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in out) == want
+    assert len({r.doc_row for r in out}) == len(rows) and END_ID == 2
+    place = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    for before, after in zip(place, place[1:]):
+        assert after[1] == (before[1] + before[2] if before[0] == after[0] else 0)
+
+
 def test_run_is_its_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[-1][1])
 
