@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqspark.llm.boilerplate import dedup_lines
 from seqspark.llm.common import keep
 from seqspark.llm.mixing import mix_sources
-from seqspark.llm.packing import pack_documents
+from seqspark.llm.packing import pack_documents, piece_digest, sequences
 from seqspark.llm.quality import quality_rules
 from seqspark.llm.queries import tokenizer
 from seqspark.llm.similarity import first_of_groups
@@ -17,12 +17,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, unchanged.
+
+    Null, empty and short texts (under 50 words) go; a row is judged by its text alone, so repeated rows all stay or all
+    go and ids and sources may be null; an empty table gives no rows.
+    """
     return quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that stand on many sites."""
+    """Every document, without lines that stand on many sites.
+
+    Rows with null or empty texts, repeated rows and null ids all stay; a null text stays null; a null source is no site;
+    an empty table gives no rows.
+    """
     return dedup_lines(docs.select(*COLUMNS), reread=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -32,7 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row per document copy, the copy at a source's border cut to the words it gives."""
+    """The mix of sources: a row per document copy, the copy at a source's border cut to the words it gives.
+
+    Documents without words (null texts among them) give nothing; null sources are one source, the last; rows that
+    repeat an id are documents of their own; texts of any length are taken whole; an empty table gives no rows.
+    """
     mixed = mix_sources(docs.select(*COLUMNS), reread=True).where("words > 0")
     # a copy that gives all its words stays as it is
     parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
@@ -42,8 +54,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
-    return pack_documents(docs, tokenizer(), with_ids=False)
+    """All documents packed into sequences, which are written to the shared folder; a row per piece, read from them.
+
+    Null texts give the end id alone; equal rows and copies of a document are packed each, told apart by ``doc_row``;
+    long texts are cut into pieces; an empty table gives no rows.
+    """
+    packed = pack_documents(docs.select(*COLUMNS), tokenizer())
+    return piece_digest(keep(sequences(packed, with_parts=True), "sequences"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]
