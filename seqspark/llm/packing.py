@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, replace_columns, running, values
+from .common import keep, replace_columns, values
 
 END_ID = 2
 #: Ids that a task gathers before it hands them on.
@@ -63,13 +63,14 @@ def cut_points(total: int, limit: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenise every whole text (null: empty), end it with END_ID and cut what is longer than ``limit``.
 
-    Returns per piece: key, piece, start, length, ids_crc32, ``ids`` if asked for, and ``__mix``, a hash of the row.
+    Returns per piece: key, piece, start, length, ids_crc32, ``ids`` if asked for; ``__row``, whose top bits are the
+    number of the partition, and ``__nth``, the piece's number from 0 among the pieces of its length in that partition.
     """
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("__nth", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] if with_ids else []
     rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    ddl = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    ddl = "piece int, start long, length long, ids_crc32 long, __nth long" + (", ids array<int>" if with_ids else "")
 
     def batch_of(batch: pa.RecordBatch, at: list[int], out: dict[str, list]) -> pa.RecordBatch:
         places = pa.array(at, pa.int64())
@@ -82,6 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool =
         return pa.RecordBatch.from_arrays(columns, names=["__key", "__row", *[name for name, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = defaultdict(int)
         for batch in batches:
             at, out, held = [], defaultdict(list), 0
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -89,8 +91,10 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool =
                 for k, (start, length) in enumerate(cut_points(len(ids), limit)):
                     part = ids[start : start + length]
                     at.append(i)
-                    for name, x in zip(("piece", "start", "length", "ids_crc32"), (k, start, length, zlib.crc32(part.tobytes()))):
+                    facts = (k, start, length, zlib.crc32(part.tobytes()), seen[length])
+                    for name, x in zip(("piece", "start", "length", "ids_crc32", "__nth"), facts):
                         out[name].append(x)
+                    seen[length] += 1
                     if with_ids:
                         out["ids"].append(part.astype("i4"))
                 held += len(ids)
@@ -101,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, with_ids: bool =
 
     kind = rows.schema["__key"].dataType.simpleString()
     done = rows.select("__key", "__text", "__row").mapInArrow(run, f"__key {kind}, __row long, {ddl}")
-    return done.withColumn("__mix", F.xxhash64("__row", "piece")).withColumnRenamed("__key", key)
+    return done.withColumnRenamed("__key", key)
 
 
 @dataclass
@@ -274,18 +278,26 @@ def runs(bins: list[Bins]) -> list[dict]:
 
 
 def pack_pieces(parts: DataFrame, limit: int = 1024) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with ``length``, ``__mix`` and ``__row``, which becomes ``doc_row``.
+    """Add ``sequence_id`` and ``offset`` to pieces with ``length``, ``__nth`` and ``__row``, which becomes ``doc_row``.
 
     Only the histogram of lengths (at most ``limit`` rows) comes to the driver, and only the plan (at most some
-    thousand runs, bounded by limit squared) is broadcast; pieces of a length are numbered in two levels, so a length
-    that most pieces have is spread over many tasks.
+    thousand runs, bounded by limit squared) is broadcast by hint. A piece's number among all of its length is its number
+    in its partition plus what earlier partitions hold, so pieces are neither sorted nor shuffled to be numbered,
+    however many have one length. The counts by partition are a written table: Spark broadcasts it below its own size
+    limit and shuffles both sides beyond.
     """
     parts = keep(replace_columns(parts, ["sequence_id", "offset", "doc_row"]), "pieces")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    part_of = F.shiftright("__row", 33)  # monotonically_increasing_id keeps the partition there
+    by_part = parts.groupBy(part_of.alias("__part"), "length").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = by_part.select("__part", "length", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    held = keep(held, "piece-counts")
+    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     plan = runs(plan_bins(counts, limit))
     ddl = "length bigint, __low bigint, __high bigint, __base bigint, __each bigint, __at bigint"
     cut = values(parts.sparkSession, plan, ddl)
-    ranked = running(parts, "length", "__mix", "__row", "__rank")
+    ranked = parts.withColumn("__part", part_of).join(held.drop("__n"), ["__part", "length"])
+    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__nth"))
     fits = (ranked["length"] == cut["length"]) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high"))
     step = F.col("__rank") - F.col("__low")
     return ranked.join(F.broadcast(cut), fits).select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boilerplate import dedup_lines
-from .common import keep, table, words
+from .common import table, words
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .negatives import mine_negatives
@@ -65,7 +65,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer())
-    return piece_digest(keep(sequences(packed, with_parts=True), "sequences"))
+    return piece_digest(sequences(packed, with_parts=True))
 
 
 @query
