@@ -54,13 +54,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences, which are written to the shared folder; a row per piece, read from them.
+    """All documents packed into sequences; a row per piece, read from the sequences.
 
     Null texts give the end id alone; equal rows and copies of a document are packed each, told apart by ``doc_row``;
     long texts are cut into pieces; an empty table gives no rows.
     """
     packed = pack_documents(docs.select(*COLUMNS), tokenizer())
-    return piece_digest(keep(sequences(packed, with_parts=True), "sequences"))
+    return piece_digest(sequences(packed, with_parts=True))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]
