@@ -112,3 +112,41 @@ def test_invalidate(spark):
     old = rows(spark, (1, 2, 9), (1, 3, 9))
     new = rows(spark, (1, 2, 7))
     assert id_sets(invalidate(old, new, ["key"])) == {(1, 2, 9)}
+
+
+def gone_by_pairs(old, new):
+    """The definition of invalidate over all pairs."""
+    out = set()
+    for k, ids, end in old:
+        for j, other, stop in old + new:
+            n = min(len(ids), len(other)) - 1
+            if k == j and ids[0] == other[0] and ids[:n] == other[:n] and stop < end:
+                out.add((k, tuple(ids)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_invalidate_is_its_definition(spark, seed):
+    """Many matches begin with one event; matches of one event, repeats in both tables and equal prefixes occur."""
+    rng = random.Random(seed)
+
+    def some(n):
+        rows = set()
+        for _ in range(n):
+            size = rng.randint(1, 5)
+            rows.add((rng.choice([1, 1, 1, 2]), tuple(sorted(rng.sample(range(9), size)))))
+        return [(k, list(ids), ids[-1]) for k, ids in sorted(rows)]
+
+    old, new = some(40), some(30)
+
+    def table(rows):
+        df = spark.createDataFrame(rows, "key int, event_ids array<long>, end_ts long")
+        return df.select(
+            "key", F.get("event_ids", F.lit(0)).alias("start_ts"), "end_ts", F.col("end_ts").alias("end_id"),
+            F.size("event_ids").alias("n_events"), "event_ids", F.xxhash64("event_ids").alias("match_id"),
+        )
+
+    got = invalidate(table(old), table(new), ["key"])
+    rows = [(r["key"], tuple(r["event_ids"])) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == gone_by_pairs(old, new) != set()
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
