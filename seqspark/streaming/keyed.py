@@ -1,16 +1,20 @@
 """Continuous matching with keyed state.
 
-State is kept per (keys, time bucket): an event goes to its own bucket and the next one, an
-end only counts in its own.  A group therefore holds two windows of events at most, also
-for a very busy key or none at all, and is dropped once the watermark has passed it.
+State is kept per (slot, time bucket), where a slot holds the keys of one hash value: an event
+goes to its own bucket and the next one, an end only counts in its own.  A group therefore holds
+two windows of events of its keys at most, also for a very busy key or none at all, and is dropped
+once the watermark has passed it.  Calls and state accesses follow the slots, not the keys.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -75,60 +79,74 @@ def end_matches(events, end, steps, within, policy):
     yield from left(last - 1, end[0], None, (end[1],))
 
 
+STATE = "keys array<string>, t array<long>, id array<long>, own array<boolean>, flags array<long>"
+
+
 class KeyedMatcher(StatefulProcessor):
-    """Keeps a group's events and emitted matches, and reports what changes."""
+    """Keeps the events of a group, one state row per micro-batch, and reports what new ones change.
+
+    What was reported before follows from the events kept, so it is not kept itself.
+    """
 
-    def __init__(self, steps, within, policy, keys, out_schema, with_correction, width, grace):
+    def __init__(self, steps, within, policy, out_schema, with_correction, width, grace):
         self.steps, self.within, self.policy = steps, within, policy
-        self.keys, self.columns = keys, out_schema.names
+        self.columns = out_schema.names
         self.with_correction, self.width, self.grace = with_correction, width, grace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState(
-            "events", "t long, id long, own boolean, flags array<boolean>"
-        )
-        self.found = handle.getMapState("found", "ids string", "end_id long")
+        self.events = handle.getListState("events", STATE)
+        # which steps the bits of an event's flags name
+        self.bits = [tuple(bool(m >> i & 1) for i in range(len(self.steps))) for m in range(1 << len(self.steps))]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bucket = key[-1]
-        known = {(e[0], e[1]): (e[0], e[1], e[3], e[2]) for e in self.events.get()} if self.events.exists() else {}
-        fresh = set()
+        held, fresh = defaultdict(dict), defaultdict(dict)
+        begun = False
+        for kept in self.events.get():
+            begun = True
+            for k, t, i, own, flags in zip(*kept):
+                held[k][t, i] = (own, flags)
         for pdf in rows:
-            for t, i, own, flags in zip(pdf["tick"], pdf["eid"], pdf["own"], pdf["flags"]):
-                if (t, i) not in known:
-                    known[(t, i)] = (int(t), int(i), [bool(f) for f in flags], bool(own))
-                    fresh.add(int(t))
-        if not fresh:
+            for k, t, i, own, flags in zip(*[pdf[c].tolist() for c in ("key", "tick", "eid", "own", "flags")]):
+                event = (int(t), int(i))
+                if event not in held[k] and event not in fresh[k]:
+                    fresh[k][event] = (bool(own), int(flags))
+        new = [(k, *event, *what) for k, events in fresh.items() for event, what in events.items()]
+        if not new:
             return
-        self.events.put([(t, i, own, flags) for t, i, flags, own in known.values()])
-        expiry = (int(bucket) + 1) * self.width // 1000 + self.grace
-        if not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(expiry)
-        ordered = sorted(known.values())
-        old = {k[0]: v[0] for k, v in self.found.iterator()} if self.found.exists() else {}
-        changes = []
-        for end in ordered:
-            if not (end[3] and end[2][-1] and any(t <= end[0] <= t + self.within for t in fresh)):
-                continue
-            new = {",".join(map(str, m)) for m in end_matches(ordered, end, self.steps, self.within, self.policy)}
-            mine = {ids for ids, e in old.items() if e == end[1]}
-            changes += list(self.changes(mine, new, end[1]))
-        times = {i: t for t, i in known}
-        out = []
-        for kind, ids, was in changes:
-            if kind == "delete" or was is not None:
-                self.found.removeKey((was if was is not None else ids,))
-            if kind != "delete":
-                self.found.updateValue((ids,), (int(ids.split(",")[-1]),))
-            ev = [int(x) for x in ids.split(",")]
-            out.append([*key[:-1], kind, times[ev[0]], times[ev[-1]], ev[-1], ev,
-                        [int(x) for x in was.split(",")] if was is not None else None])
+        self.events.appendValue(tuple(map(list, zip(*new))))
+        if not begun:
+            self.handle.registerTimer((int(key[-1]) + 1) * self.width // 1000 + self.grace)
+        out = [row for k, events in fresh.items() if events for row in self.corrected(k, held[k], events)]
         if out:
             import pandas as pd
 
             yield pd.DataFrame(out, columns=self.columns)
 
+    def corrected(self, key, held, fresh):
+        """The changes of one key's matches when ``fresh`` events join the ``held`` ones."""
+        known = held | fresh
+        before, after, come = self.ordered(held), self.ordered(known), sorted(t for t, _ in fresh)
+        times = {i: t for t, i in known}
+        for end in after:
+            near = bisect_right(come, end[0])
+            if not (known[end[:2]][0] and end[2][-1] and near and come[near - 1] >= end[0] - self.within):
+                continue
+            old = self.matches(before, end) if end[:2] in held else set()
+            for kind, ids, was in self.changes(old, self.matches(after, end), end[1]):
+                ev = [int(x) for x in ids.split(",")]
+                yield [key, kind, times[ev[0]], times[ev[-1]], ev[-1], ev,
+                       [int(x) for x in was.split(",")] if was is not None else None]
+
+    def ordered(self, events):
+        return sorted((t, i, self.bits[flags]) for (t, i), (_, flags) in events.items())
+
+    def matches(self, events, end):
+        """Texts of the ids of an end's matches; only its window of the sorted events is looked at."""
+        lo, hi = (end[0] - self.within,), (end[0] + 1,)
+        window = events[bisect_left(events, lo):bisect_left(events, hi)]
+        return {",".join(map(str, m)) for m in end_matches(window, end, self.steps, self.within, self.policy)}
+
     def changes(self, old, new, end):
         """Updates, inserts and deletes for one end; an update contains what it replaces."""
         gone, come = sorted(old - new), sorted(new - old, key=lambda m: (m.count(","), m))
@@ -148,22 +166,54 @@ class KeyedMatcher(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.events.clear()
-        self.found.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def key_text(sdf: DataFrame, keys) -> Column:
+    """An event's keys as one text that ``key_columns`` turns back."""
+    texts = []
+    for k in keys:
+        kind = sdf.schema[k].dataType
+        if isinstance(kind, T.BinaryType):
+            texts.append(F.hex(k))
+        elif isinstance(kind, T.TimestampType):
+            texts.append(F.unix_micros(F.col(k)).cast("string"))
+        elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            texts.append(F.to_json(F.struct(F.col(k).alias("k"))))
+        else:
+            texts.append(F.col(k).cast("string"))
+    return F.to_json(F.array(*texts)) if texts else F.lit("[]")
+
+
+def key_columns(sdf: DataFrame, keys, text: Column) -> list[Column]:
+    out = []
+    for n, k in enumerate(keys):
+        kind, one = sdf.schema[k].dataType, F.from_json(text, "array<string>")[n]
+        if isinstance(kind, T.BinaryType):
+            one = F.unhex(one)
+        elif isinstance(kind, T.TimestampType):
+            one = F.timestamp_micros(one.cast("long"))
+        elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            one = F.from_json(one, T.StructType([T.StructField("k", kind)]))["k"]
+        else:
+            one = one.cast(kind)
+        out.append(one.alias(k))
+    return out
+
+
 def stream_match(
-    sdf: DataFrame, spec: PatternSpec, delay: str = "10 minutes", with_correction: bool = True
+    sdf: DataFrame, spec: PatternSpec, delay: str = "10 minutes", with_correction: bool = True, slots: int = 512
 ) -> DataFrame:
     """Changelog of a live stream: inserts as ends arrive, corrections as late events do.
 
     Takes policy any (plain steps, or one-or-more steps in mode maximal) and policy next
     with at most the middle step of three one-or-more; ids must be integers.  Events later
     than ``delay`` are lost with their state; longer histories, other modes and conditions
-    on earlier events belong to ``stream_match_batch``.
+    on earlier events belong to ``stream_match_batch``.  Keys share state by a hash of
+    ``slots`` values; more slots make smaller groups, and the number stays with the checkpoint.
     """
     steps = spec.positive
     if any(s.negated or s.folds or s.cross_when for s in spec.steps):
@@ -182,16 +232,17 @@ def stream_match(
     used = F.lit(False)
     for s in steps:
         used = used | F.coalesce(as_column(s.when), F.lit(False))
+    flags = [F.when(as_column(s.when), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(steps)]
     rows = timed.filter(used).select(
-        *spec.keys, "event_time", t.alias("tick"), F.col(spec.id).cast("long").alias("eid"),
-        F.array(*[F.coalesce(as_column(s.when), F.lit(False)) for s in steps]).alias("flags"),
+        key_text(sdf, spec.keys).alias("key"), "event_time", t.alias("tick"), F.col(spec.id).cast("long").alias("eid"),
+        reduce(lambda a, b: a + b, flags).cast("long").alias("flags"),
         F.explode(F.array(F.struct(own.alias("k"), F.lit(True).alias("own")),
                           F.struct((own + 1).alias("k"), F.lit(False).alias("own")))).alias("b"),
     ).withColumns({"bucket": F.col("b.k"), "own": F.col("b.own")}).drop("b")
-    key_fields = [sdf.schema[k] for k in spec.keys]
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
     out = T.StructType(
         [
-            *key_fields,
+            T.StructField("key", T.StringType()),
             T.StructField("kind", T.StringType()),
             T.StructField("start_tick", T.LongType()),
             T.StructField("end_tick", T.LongType()),
@@ -201,14 +252,13 @@ def stream_match(
         ]
     )
     processor = KeyedMatcher(
-        [s.kleene for s in steps], within, spec.policy, spec.keys, out, with_correction, width,
-        width // 1000 + 1,
+        [s.kleene for s in steps], within, spec.policy, out, with_correction, width, width // 1000 + 1,
     )
-    changes = rows.groupBy(*spec.keys, "bucket").transformWithStateInPandas(
+    changes = rows.groupBy("slot", "bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="EventTime"
     )
     return changes.select(
-        "kind", *spec.keys,
+        "kind", *key_columns(sdf, spec.keys, F.col("key")),
         F.timestamp_micros("start_tick").alias("start_ts"), F.timestamp_micros("end_tick").alias("end_ts"),
         "end_id", F.size("event_ids").alias("n_events"), "event_ids",
         F.xxhash64("event_ids").alias("match_id"),

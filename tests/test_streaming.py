@@ -57,6 +57,24 @@ def test_keyed_state_survives_restart(spark, tmp_path, text, policy, mode):
     assert {r.kind for r in log.select("kind").distinct().collect()} > {"insert"}
 
 
+def test_keys_share_the_state_of_their_slot(spark, tmp_path):
+    events = random_events(8, n=120, keys=30, kinds="abc")
+    s, held = spec("a b c", "30 min"), {}
+    df = timed(spark, events).withColumn("key", F.concat(F.lit('k,"'), "key"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for slots in (2, 1000):
+        log = stream_match(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), s, delay="2 hours", slots=slots)
+        job = log.writeStream.foreachBatch(lambda b, n: write_changelog(b, str(tmp_path / f"log{slots}"), n))
+        job = job.option("checkpointLocation", str(tmp_path / f"cp{slots}")).trigger(availableNow=True).start()
+        job.awaitTermination()
+        held[slots] = job.recentProgress[0]["stateOperators"][0]["numRowsUpdated"]
+        got = apply_changelog(None, spark.read.parquet(str(tmp_path / f"log{slots}")), ["key"])
+        want = match(df, s)
+        assert got.select("key", "event_ids").exceptAll(want.select("key", "event_ids")).count() == 0
+        assert id_sets(got) == id_sets(want) and want.count() > 10
+    assert held[2] * 3 < held[1000]
+
+
 def test_dropped_rows_are_those_the_watermark_leaves_out(spark, tmp_path):
     events = random_events(9, n=90, keys=1, kinds="abc")
     s, inbox = spec("a b c", "7 min"), tmp_path / "in"
