@@ -207,10 +207,10 @@ def test_counts_without_lists(spark, stream, chunk):
 
 def test_a_pattern_without_keys_is_spread_however_small_its_input(spark):
     events = random_events(6, n=90, keys=1, span=900)
-    df, s = frame(spark, events).coalesce(1), spec("a b c", 20, partition_by=[])
+    df, s = frame(spark, events).coalesce(1), spec("a b c", 90, partition_by=[])
     m = match(df, s)
     # a number of partitions that is asked for is one that Spark does not merge
     assert "REPARTITION_BY_NUM" in m._jdf.queryExecution().toString()
     abc = [sorted((e["t"], e["id"]) for e in events if e["kind"] == k) for k in "abc"]
-    want = {(a[1], b[1], c[1]) for a in abc[0] for b in abc[1] for c in abc[2] if a[0] < b[0] < c[0] <= a[0] + 20}
+    want = {(a[1], b[1], c[1]) for a in abc[0] for b in abc[1] for c in abc[2] if a[0] < b[0] < c[0] <= a[0] + 90}
     assert want and id_sets(m) == want and {r.n_events for r in m.select("n_events").collect()} == {3}
