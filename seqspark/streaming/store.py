@@ -19,10 +19,10 @@ from ..functions.time import bucket_of, duration_ticks, ticks
 from ..operators.corrections import CORE, apply_changelog, diff_matches, expire_matches
 from ..operators.lateness import affected_ends
 from ..operators.match import match_at_end
-from ..operators.near import near_ends
+from ..operators.near import near_ends, slim
 from ..plans.base import relevant_events
 from ..spec import PatternSpec
-from .snapshots import bucket_width, compact, read_deltas, read_manifest, read_snapshot, stored_matches, with_bucket
+from .snapshots import bucket_width, compact, read_deltas, read_manifest, read_snapshot, remove, stored_matches, with_bucket
 
 
 def current_matches(spark: SparkSession, store: str, spec: PatternSpec) -> DataFrame:
@@ -62,19 +62,25 @@ def correct(
             gate.release()
 
 
+def written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _correct(batch, revision, spec, store, with_correction, gate, expire) -> None:
     spark = batch.sparkSession
     if gate is not None:
         batch, dropped = gate(batch, revision)
         dropped.write.mode("overwrite").parquet(f"{store}/dropped/revision={revision}")
     used = batch if spec.policy == "contiguous" else relevant_events(batch, spec)
-    used = used.where(F.col(spec.ts).isNotNull()).dropDuplicates([*spec.keys, spec.id])
-    width = bucket_width(used, spec)
+    used = used.where(F.col(spec.ts).isNotNull())
+    width, unique = bucket_width(used, spec), [*spec.keys, spec.id]
     fresh = used.withColumn("time_bucket", bucket_of(ticks(used, spec.ts), width))
     manifest = read_manifest(spark, store)
     if expire and manifest.horizon is not None:
         in_time = ticks(used, spec.ts) >= manifest.horizon - duration_ticks(used, spec.ts, spec.within)
-        fresh.where(~in_time).drop("time_bucket").write.mode("overwrite").parquet(f"{store}/refused/revision={revision}")
+        refused = fresh.where(~in_time).drop("time_bucket").dropDuplicates(unique)
+        refused.write.mode("overwrite").parquet(f"{store}/refused/revision={revision}")
         fresh = fresh.where(in_time)
     # one entry per window that the batch touches
     touched = sorted(r[0] for r in fresh.select("time_bucket").distinct().collect())
@@ -88,24 +94,27 @@ def _correct(batch, revision, spec, store, with_correction, gate, expire) -> Non
         read_snapshot(spark, store, "events", manifest, near, with_bucket(fresh.schema, "time_bucket", revision=False)),
         read_deltas(spark, store, "events", manifest, revision, near, with_bucket(fresh.schema, "time_bucket")),
     ]
-    seen = None
+    fresh, seen = fresh.dropDuplicates(unique), None
     for part in parts:
         if part is not None:
             part = part.select(*columns, "time_bucket")
             seen = part if seen is None else seen.unionByName(part)
     if seen is not None:
-        known = seen.select("time_bucket", *spec.keys, spec.id)
-        fresh = fresh.join(known, ["time_bucket", *spec.keys, spec.id], "left_anti")
+        known = seen.select("time_bucket", *unique)
+        fresh = fresh.join(known, ["time_bucket", *unique], "left_anti")
     here = f"{store}/events/revision={revision}"
     fresh.write.mode("overwrite").partitionBy("time_bucket").parquet(here)
     fresh = spark.read.schema(fresh.schema).parquet(here)
-    events = fresh.select(*columns)
+    events, used_by = slim(fresh.select(*columns), spec)
+    late = events
     if seen is not None:
-        events = events.unionByName(seen.select(*columns))
-    ends = affected_ends(fresh.select(*columns), events, spec).persist()
-    # The plans below read these events several times.
-    around = near_ends(events, ends, spec).persist()
-    new = match_at_end(around, spec, ends, near=True).select(*spec.keys, *CORE)
+        events = events.unionByName(slim(seen.select(*columns), spec)[0])
+    # The plans below read both several times: tables of as many files as their rows need, where a cache keeps all
+    # shuffle partitions of every batch.
+    work = f"{store}/work/revision={revision}"
+    ends = written(affected_ends(late, events, used_by), f"{work}/ends")
+    around = written(near_ends(events, ends, used_by), f"{work}/around")
+    new = match_at_end(around, used_by, ends, near=True).select(*spec.keys, *CORE)
 
     ends_near = sorted({b + k for b in touched for k in (-1, 0, 1)})
     old = stored_matches(spark, store, spec, revision, ends_near)
@@ -115,8 +124,7 @@ def _correct(batch, revision, spec, store, with_correction, gate, expire) -> Non
     )
     changes = changes.withColumn("end_bucket", bucket_of(ticks(changes, "end_ts"), width))
     changes.write.mode("overwrite").partitionBy("end_bucket").parquet(f"{store}/changes/revision={revision}")
-    ends.unpersist()
-    around.unpersist()
+    remove(spark, work)
 
 
 def stream_match_batch(

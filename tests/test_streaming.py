@@ -8,9 +8,11 @@ import pytest
 from helpers import id_sets, random_events, spec
 from pyspark.sql import functions as F
 
-from seqspark import adaptive_threshold, apply_changelog, classify_lateness, lateness_score, match
+from seqspark import PatternSpec, Step, adaptive_threshold, apply_changelog, classify_lateness, lateness_score, match
+from seqspark.operators.near import slim
 from seqspark.sources import write_changelog
 from seqspark.streaming import LatenessGate, compact, correct, current_matches, live_matches, snapshots, stream_dropped, stream_match, stream_match_batch
+from seqspark.streaming import store as streaming_store
 from seqspark.streaming.snapshots import numbered
 
 BASE = dt.datetime(2024, 1, 1)
@@ -232,3 +234,37 @@ def test_gate_keeps_two_states(spark, tmp_path):
         gate.release()
         assert gate.cached is None
     assert len(numbered(spark, f"{tmp_path}/latest", "revision")) <= 3
+
+
+def test_a_batch_matches_on_small_tables_without_unused_columns(spark, tmp_path, monkeypatch):
+    events, s, store = random_events(7, n=60, keys=3, kinds="abc"), spec("a b+ c", "15 min", mode="maximal"), str(tmp_path / "store")
+    df, read, whole = timed(spark, events).withColumn("props", F.lit("x")), [], streaming_store.match_at_end
+
+    def seen(around, *args, **kw):
+        read.append((around.rdd.getNumPartitions(), around.columns))
+        return whole(around, *args, **kw)
+
+    monkeypatch.setattr(streaming_store, "match_at_end", seen)
+    monkeypatch.setattr(streaming_store, "remove", lambda *_: None)  # the tables stay to be counted
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for n in range(2):
+            correct(df.where(F.col("event_id") % 2 == n), n, s, store)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert all(parts < 16 and "props" not in columns for parts, columns in read) and len(read) == 2
+    assert id_sets(current_matches(spark, store, s)) == id_sets(match(df, s))
+
+
+def test_slim_events_match_alike_under_all_conditions(spark):
+    events = [e | {"v": e["id"] % 7} for e in random_events(6, n=80, keys=2, kinds="abcn")]
+    rows = [(e["id"], BASE + dt.timedelta(minutes=e["t"]), e["kind"], e["key"], e["v"]) for e in events]
+    df = spark.createDataFrame(rows, SCHEMA + ", v long").withColumn("kind", F.when(F.col("event_id") % 11 > 0, F.col("kind")))
+    b = Step("b", F.col("kind") == "b", kleene=True, first_when="v > 1", iter_when=lambda cur, prev: cur["v"] >= prev["v"])
+    one = PatternSpec([Step("a", "kind = 'a'"), b, Step("c", "kind = 'c'")], "20 min", partition_by=["key"], payload=["v"])
+    two = PatternSpec([Step("a", "kind = 'a'"), Step("n", "kind = 'n'", negated=True), Step("c", "kind = 'c'")], "20 min", partition_by=["key"], policy="next")
+    for s in (one, two):
+        narrow, used_by = slim(df, s)
+        assert "kind" not in narrow.columns
+        assert id_sets(match(narrow, used_by)) == id_sets(match(df, s)) != set()
