@@ -37,6 +37,8 @@ def end_matches(events, end, steps, within, policy):
     last = len(steps) - 1
     inside = [e for e in events if end[0] - within <= e[0] < end[0]]
     of = [[e for e in inside if e[2][i]] for i in range(last + 1)]
+    if not all(of[:last]):
+        return
 
     # Of several ends at one time the lowest id is the next one.
     ends = of[last] + [e for e in events if e[0] == end[0] and e[1] <= end[1] and e[2][last]]
@@ -101,16 +103,18 @@ class KeyedMatcher(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, fresh = defaultdict(dict), defaultdict(dict)
+        come = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in ("key", "tick", "eid", "own", "flags")])]
+        met = {r[0] for r in come}
         begun = False
         for kept in self.events.get():
             begun = True
             for k, t, i, own, flags in zip(*kept):
-                held[k][t, i] = (own, flags)
-        for pdf in rows:
-            for k, t, i, own, flags in zip(*[pdf[c].tolist() for c in ("key", "tick", "eid", "own", "flags")]):
-                event = (int(t), int(i))
-                if event not in held[k] and event not in fresh[k]:
-                    fresh[k][event] = (bool(own), int(flags))
+                if k in met:
+                    held[k][t, i] = (own, flags)
+        for k, t, i, own, flags in come:
+            event = (int(t), int(i))
+            if event not in held[k] and event not in fresh[k]:
+                fresh[k][event] = (bool(own), int(flags))
         new = [(k, *event, *what) for k, events in fresh.items() for event, what in events.items()]
         if not new:
             return
@@ -125,15 +129,23 @@ class KeyedMatcher(StatefulProcessor):
 
     def corrected(self, key, held, fresh):
         """The changes of one key's matches when ``fresh`` events join the ``held`` ones."""
-        known = held | fresh
-        before, after, come = self.ordered(held), self.ordered(known), sorted(t for t, _ in fresh)
-        times = {i: t for t, i in known}
-        for end in after:
-            near = bisect_right(come, end[0])
-            if not (known[end[:2]][0] and end[2][-1] and near and come[near - 1] >= end[0] - self.within):
+        known, last = held | fresh, 1 << len(self.steps) - 1
+        ends = sorted(e for e, (own, flags) in known.items() if own and flags & last)
+        come = sorted(t for t, _ in fresh)
+        # only ends with a fresh event in their window can change
+        ends = [e for e in ends if (near := bisect_right(come, e[0])) and come[near - 1] >= e[0] - self.within]
+        if not ends:
+            return
+        before, after = self.ordered(held), self.ordered(known)
+        times = None
+        for t, i in ends:
+            end = (t, i, self.bits[known[t, i][1]])
+            old, new = self.matches(before, end) if (t, i) in held else set(), self.matches(after, end)
+            if old == new:
                 continue
-            old = self.matches(before, end) if end[:2] in held else set()
-            for kind, ids, was in self.changes(old, self.matches(after, end), end[1]):
+            times = times or {i: t for t, i in known}
+            texts = [{",".join(map(str, m)) for m in found} for found in (old, new)]
+            for kind, ids, was in self.changes(*texts, i):
                 ev = [int(x) for x in ids.split(",")]
                 yield [key, kind, times[ev[0]], times[ev[-1]], ev[-1], ev,
                        [int(x) for x in was.split(",")] if was is not None else None]
@@ -142,10 +154,10 @@ class KeyedMatcher(StatefulProcessor):
         return sorted((t, i, self.bits[flags]) for (t, i), (_, flags) in events.items())
 
     def matches(self, events, end):
-        """Texts of the ids of an end's matches; only its window of the sorted events is looked at."""
+        """The ids of an end's matches; only its window of the sorted events is looked at."""
         lo, hi = (end[0] - self.within,), (end[0] + 1,)
         window = events[bisect_left(events, lo):bisect_left(events, hi)]
-        return {",".join(map(str, m)) for m in end_matches(window, end, self.steps, self.within, self.policy)}
+        return set(end_matches(window, end, self.steps, self.within, self.policy))
 
     def changes(self, old, new, end):
         """Updates, inserts and deletes for one end; an update contains what it replaces."""
@@ -233,11 +245,13 @@ def stream_match(
     for s in steps:
         used = used | F.coalesce(as_column(s.when), F.lit(False))
     flags = [F.when(as_column(s.when), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(steps)]
+    flag = reduce(lambda a, b: a + b, flags).cast("long")
+    # Under policy any an event that is an end and nothing else serves no other end.
+    early = F.lit(True) if spec.policy == "next" else F.coalesce(flag != 1 << len(steps) - 1, F.lit(True))
+    copies = F.array(F.struct(own.alias("k"), F.lit(True).alias("own")), F.struct((own + 1).alias("k"), F.lit(False).alias("own")))
     rows = timed.filter(used).select(
         key_text(sdf, spec.keys).alias("key"), "event_time", t.alias("tick"), F.col(spec.id).cast("long").alias("eid"),
-        reduce(lambda a, b: a + b, flags).cast("long").alias("flags"),
-        F.explode(F.array(F.struct(own.alias("k"), F.lit(True).alias("own")),
-                          F.struct((own + 1).alias("k"), F.lit(False).alias("own")))).alias("b"),
+        flag.alias("flags"), F.explode(F.filter(copies, lambda b: b["own"] | early)).alias("b"),
     ).withColumns({"bucket": F.col("b.k"), "own": F.col("b.own")}).drop("b")
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
     out = T.StructType(

@@ -77,6 +77,17 @@ def test_keys_share_the_state_of_their_slot(spark, tmp_path):
     assert held[2] * 3 < held[1000]
 
 
+@pytest.mark.parametrize("policy,copies", [("any", 1), ("next", 2)])
+def test_ends_go_to_a_second_bucket_only_where_they_count_there(spark, tmp_path, policy, copies):
+    events = [{"id": i, "t": 1, "kind": "c", "key": 0} for i in range(3)]
+    timed(spark, events).coalesce(1).write.parquet(str(tmp_path / "in"))
+    log = stream_match(source(spark, tmp_path / "in"), spec("a b c", "30 min", policy=policy), delay="2 hours")
+    job = log.writeStream.foreachBatch(lambda b, n: b.collect()).option("checkpointLocation", str(tmp_path / "cp"))
+    job = job.trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert job.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] == copies
+
+
 def test_dropped_rows_are_those_the_watermark_leaves_out(spark, tmp_path):
     events = random_events(9, n=90, keys=1, kinds="abc")
     s, inbox = spec("a b c", "7 min"), tmp_path / "in"
