@@ -5,6 +5,8 @@ Each job reads the events as a file stream, in arrival order, until nothing is l
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..operators import accuracy_under_disorder, apply_changelog, match
@@ -24,18 +26,32 @@ from .late import LATE, rates
 from .matching import COMPACT, MAXIMAL, any_sql, next_sql
 from .registry import ARR, A, B, C, arrivals, events, flat, pattern, query, scratch
 
-PORTIONS, FILES = 3, 4
+PORTIONS, FILES, ROWS_PER_FILE = 3, 4, 250_000
 
 
-def event_stream(spark, d, path, portions=PORTIONS, of=range):
-    """The events in arrival order, one write of FILES files per portion; a stream reads a portion at a time."""
+@contextmanager
+def arrived(spark, d):
+    """The events in arrival order, kept while their portions are written."""
     rows = arrivals(spark, d).withColumn("ts", F.to_timestamp("ts")).persist()
-    size = rows.agg((F.count(F.lit(1)) / portions).cast("long") + 1).first()[0]
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def portions_stream(spark, rows, path, portions, of=range):
+    """One write of FILES files (more where they would be large) per portion; a stream reads a portion at a time."""
+    size = rows.count() // portions + 1
+    files = max(FILES, -(-size // ROWS_PER_FILE))
     portion = F.floor((F.col("arrival_seq") - 1) / size)
     for n in of(portions):
-        rows.where(portion == n).repartition(FILES).write.mode("append").parquet(f"{path}/in")
-    rows.unpersist()
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
+        rows.where(portion == n).repartition(files).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+
+
+def event_stream(spark, d, path, portions=PORTIONS):
+    with arrived(spark, d) as rows:
+        return portions_stream(spark, rows, path, portions)
 
 
 def finished(query):
@@ -74,9 +90,10 @@ def q_store_compact(spark, d):
 def restarted_store(spark, d, spec, expire):
     """Six micro-batches, merged before every second one, by two runs of the job over one store."""
     path = scratch(spark)
-    for half in (range(3), range(3, 6)):
-        stream = event_stream(spark, d, path, 6, lambda n, half=half: half)
-        finished(stream_match_batch(stream, spec, f"{path}/store", f"{path}/checkpoint", compact_every=2, expire=expire))
+    with arrived(spark, d) as rows:
+        for half in (range(3), range(3, 6)):
+            stream = portions_stream(spark, rows, path, 6, lambda n, half=half: half)
+            finished(stream_match_batch(stream, spec, f"{path}/store", f"{path}/checkpoint", compact_every=2, expire=expire))
     return f"{path}/store"
 
 

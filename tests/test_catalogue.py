@@ -1,5 +1,6 @@
 """The registered queries against DuckDB on the smallest tables."""
 
+import importlib
 import os
 
 import pytest
@@ -33,3 +34,26 @@ def test_query(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.execute(oracle_sql()[name]).df()
     assert canonical(got).equals(canonical(want))
+
+
+def test_the_runs_of_a_restarted_store_share_their_arrivals(spark, tmp_path, monkeypatch):
+    made, streams = [], importlib.import_module("seqspark.catalogue.streams")
+    rows = spark.range(1, 61).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 2 AS user_id", "'view' AS event_type", "id AS arrival_seq")
+    monkeypatch.setattr(streams, "arrivals", lambda *_: made.append(1) or rows)
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 2)
+    monkeypatch.setattr(streams, "scratch", lambda _: str(tmp_path))
+    taken = []
+
+    class Job:
+        def awaitTermination(self):
+            pass
+
+    def job(stream, *_, **kw):
+        files = {r["f"] for r in spark.read.parquet(f"{tmp_path}/in").selectExpr("input_file_name() AS f").collect()}
+        taken.append((spark.read.parquet(f"{tmp_path}/in").count(), len(files)))
+        return Job()
+
+    monkeypatch.setattr(streams, "stream_match_batch", job)
+    streams.restarted_store(spark, None, None, False)
+    assert len(made) == 1 and [n for n, _ in taken] == [33, 60]
+    assert taken[0][1] > 3 * streams.FILES  # portions of 11 rows in files of two
