@@ -214,3 +214,29 @@ def test_a_pattern_without_keys_is_spread_however_small_its_input(spark):
     abc = [sorted((e["t"], e["id"]) for e in events if e["kind"] == k) for k in "abc"]
     want = {(a[1], b[1], c[1]) for a in abc[0] for b in abc[1] for c in abc[2] if a[0] < b[0] < c[0] <= a[0] + 90}
     assert want and id_sets(m) == want and {r.n_events for r in m.select("n_events").collect()} == {3}
+
+
+def test_a_pattern_without_keys_lists_its_matches_from_sorted_events(spark, monkeypatch):
+    from seqspark.operators import combos
+
+    monkeypatch.setattr(combos, "ENDS_A_GROUP", 2)
+    events = [{**e, "key": 0} for e in random_events(7, n=70)]
+    df, ends = frame(spark, events), frame(spark, events).filter("event_id % 2 = 0").selectExpr("event_id AS end_id")
+    for text, w in (("a c", 6), (ABC, 7), ("a b c a", 9), ("a b c", 0)):
+        s, want = spec(text, w, partition_by=[]), brute.any_all(events, [(x, False) for x in text.split()], w)
+        assert id_sets(match(df, s)) == want and bool(want) == (w > 0)
+        assert id_sets(match_at_end(df, s, ends)) == {m for m in want if m[-1] % 2 == 0}
+        # every event twice: a match once per choice of copies
+        assert match(df.union(df), s).count() == len(want) * 2 ** len(text.split())
+    kept, lost = brute.negation(events, *"anc", 6)
+    s = spec("a !n c", 6, partition_by=[])
+    assert id_sets(match(df, s)) == kept and id_sets(negated_matches(df, s)) == lost
+
+
+def test_a_pattern_without_keys_makes_times_per_event_and_tests_no_start_in_vain(spark):
+    df = frame(spark, random_events(8)).selectExpr("*", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, ts) AS at")
+    m = match(df, spec(ABC, "5 min", partition_by=[], ts="at"))
+    plan = m.select("start_ts", "end_ts")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Generate" in above and "convert_timezone" not in above
+    assert m.schema["start_ts"].dataType.simpleString() == "timestamp_ntz" and m.schema["a"].dataType.names == ["t", "id"]
